@@ -11,6 +11,8 @@ from roadlens.functions import numeric as N
 from roadlens.functions import text as T
 from roadlens.operators import joins as J
 from roadlens.operators import scan as S
+from roadlens.operators.quantiles import exact_quantiles
+from roadlens.session import materialize
 
 TRIP = ("Id", "Condition", "Map")
 
@@ -90,20 +92,25 @@ def synthesize_missing_starts(
     delays = (
         parsed.where("_is_start")
         .join(origin, [trip, *group])
-        .select(F.col(trip).alias("_other"), *group, "_tl", (F.col(at) - F.col("_origin")).alias("_delay"))
+        .select(*group, "_tl", (F.col(at) - F.col("_origin")).alias("_delay"))
     )
-    missing = lights.where(~F.col("_has")).join(origin, [trip, *group])
-    pooled = missing.join(delays, [*group, "_tl"]).where(F.col("_other") != F.col(trip))
-    bound = pooled.groupBy(trip, *group, "_tl").agg(
+    # a trip that lacks the start has no delay of its own here, so the pool of a
+    # light never has to exclude the trip it is used for
+    bound = delays.groupBy(*group, "_tl").agg(
         (F.avg("_delay") + sigmas * F.stddev_samp("_delay")).alias("_bound")
     )
+    usual = delays.join(bound, [*group, "_tl"]).where(F.col("_delay") <= F.col("_bound"))
+    medians = exact_quantiles(usual, [*group, "_tl"], "_delay", {"_median": 0.5})
     made = (
-        pooled.join(bound, [trip, *group, "_tl"])
-        .where(F.col("_delay") <= F.col("_bound"))
-        .groupBy(trip, *group, "_tl")
-        .agg((F.first("_origin") + F.median("_delay")).alias(at))
-        .where(F.col(at).isNotNull())
-        .select(trip, *group, at, F.concat(F.lit("Start traffic light "), F.col("_tl").cast("string")).alias(label))
+        lights.where(~F.col("_has"))
+        .join(origin, [trip, *group])
+        .join(medians, [*group, "_tl"])
+        .select(
+            trip,
+            *group,
+            (F.col("_origin") + F.col("_median")).alias(at),
+            F.concat(F.lit("Start traffic light "), F.col("_tl").cast("string")).alias(label),
+        )
     )
     return events.unionByName(made, allowMissingColumns=True)
 
@@ -267,8 +274,6 @@ def time_runs(
     frames: DataFrame, *, keys: Sequence[str] = TRIP, clock: str = "_world", chunk_bits: int = S.CHUNK_BITS
 ) -> DataFrame:
     """:func:`run_elapsed` in world-time order, joined back to frames in their own order."""
-    from roadlens.session import materialize
-
     out = "time_since_event_start_world"
     kept = materialize(frames.drop(out), "events")
     narrow = kept.select(*keys, F.col(S.SEQ).alias("_row"), clock, T.clean_event(F.col("SpacialEvent")).alias("_ev"))

@@ -89,14 +89,23 @@ def asof_join(
 
 
 def nearest_row(
-    frames: DataFrame, targets: DataFrame, keys: Sequence[str], at: str, target_at: str
+    frames: DataFrame,
+    targets: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    target_at: str,
+    *,
+    exclude: Sequence[str] = (),
+    adjacent: bool = False,
 ) -> DataFrame:
     """For each (few) target the ``_seq`` of the frame closest in time.
 
     ``frames`` is a sequenced table in time order. A tie goes to the earlier
-    frame. Chunk bounds serve as an index: only chunks that can hold the nearest
-    frame are joined, and the frames themselves are never shuffled unless the
-    targets are too many to broadcast. Targets of keys without frames are dropped.
+    frame; with ``adjacent`` several frames of one earlier time give the last of
+    them, the one next to the target. ``exclude`` names target columns with ``_seq`` values not to be used.
+    Chunk bounds serve as an index: only chunks that can hold the nearest frame
+    are joined, and the frames themselves are never shuffled unless the targets
+    are too many to broadcast. Targets of keys without frames are dropped.
     """
     keys = list(keys)
     ids = targets.columns
@@ -107,26 +116,33 @@ def nearest_row(
     )
     t = F.col(target_at)
     w = Window.partitionBy(*ids)
+    # every chunk owns a row at distance _reach, so with e excluded rows the
+    # (e + 1)-th smallest reach bounds the answer from above
+    nth = F.when(F.col("_rank") == len(exclude) + 1, F.col("_reach"))
     chunks = (
         targets.where(t.isNotNull())
         .distinct()
         .join(bounds, keys)
         .withColumn("_reach", F.least(F.abs(t - F.col("_lo")), F.abs(t - F.col("_hi"))))
         .withColumn("_floor", F.greatest(F.col("_lo") - t, t - F.col("_hi"), F.lit(0.0)))
-        .withColumn("_best", F.min("_reach").over(w))
+        .withColumn("_rank", F.row_number().over(w.orderBy("_reach", S.CHUNK)))
+        .withColumn("_best", F.coalesce(F.min(nth).over(w), F.lit(float("inf"))))
         .where(F.col("_floor") <= F.col("_best"))
         .select(*ids, S.CHUNK)
     )
+    earlier = F.col("_frame_at") < t
+    place = F.when(earlier, -F.col(S.SEQ)).otherwise(F.col(S.SEQ)) if adjacent else F.col(S.SEQ)
+    rank = F.struct(
+        F.abs(F.col("_frame_at") - t).alias("gap"), (~earlier).alias("later"), place.alias("place"),
+        F.col(S.SEQ).alias("seq"),
+    )
     return (
         frames.select(*keys, S.CHUNK, S.SEQ, F.col(at).alias("_frame_at"))
         .where(F.col("_frame_at").isNotNull())
         .join(chunks, [*keys, S.CHUNK])
+        .where(reduce(lambda a, b: a & b, [~F.col(S.SEQ).eqNullSafe(F.col(x)) for x in exclude], F.lit(True)))
         .groupBy(*ids)
-        .agg(
-            F.min(F.struct(F.abs(F.col("_frame_at") - t).alias("gap"), F.col(S.SEQ).alias("seq"))).alias(
-                "_hit"
-            )
-        )
+        .agg(F.min(rank).alias("_hit"))
         .select(*ids, F.col("_hit.seq").alias(S.SEQ))
     )
 
