@@ -255,6 +255,14 @@ def world_seconds(frames: DataFrame, *, keys: Sequence[str], text: str, out: str
     return whole.withColumn(out, value).drop("_num", "_clock", "_date", "_n_num", "_n", "_n_clock", "_origin")
 
 
+def spread_events(frames: DataFrame, *, keys: Sequence[str] = TRIP) -> DataFrame:
+    """Spread point events over their spans: pair filling, then the collision tail."""
+    base = frames.withColumn("BaseEvent", T.clean_event(F.col("SpacialEvent")))
+    filled = materialize(fill_between(base, event_pairs(base, keys=keys), keys=keys), "filled")
+    tailed = fill_collision_tail(filled, keys=keys)
+    return tailed.withColumn("BaseEvent", T.clean_event(F.col("SpacialEvent")))
+
+
 def propagate_events(
     frames: DataFrame, *, keys: Sequence[str] = TRIP, world_time: str = "WorldTime", chunk_bits: int = S.CHUNK_BITS
 ) -> DataFrame:
@@ -262,11 +270,7 @@ def propagate_events(
 
     ``frames`` is sequenced by simulation time and carries SpacialEvent and Reason.
     """
-    base = frames.withColumn("BaseEvent", T.clean_event(F.col("SpacialEvent")))
-    filled = fill_between(base, event_pairs(base, keys=keys), keys=keys)
-    tailed = fill_collision_tail(filled, keys=keys)
-    named = tailed.withColumn("BaseEvent", T.clean_event(F.col("SpacialEvent")))
-    clocked = world_seconds(named, keys=keys, text=world_time)
+    clocked = world_seconds(spread_events(frames, keys=keys), keys=keys, text=world_time)
     return time_runs(clocked, keys=keys, chunk_bits=chunk_bits)
 
 

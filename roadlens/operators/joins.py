@@ -50,7 +50,10 @@ def asof_join(
         .agg(F.min_by(payload, order).alias("_payload"))
     )
     payload_type = partner.schema["_payload"].dataType
-    both = left.select("*", F.col(at).alias("_t"), F.lit(1).alias("_side")).withColumn(
+    # the merged rows get numbers of their own, those of the left side are kept aside
+    own = [c for c in (S.SEQ, S.CHUNK) if c in left.columns]
+    kept = left.withColumnsRenamed({c: f"_left{c}" for c in own})
+    both = kept.select("*", F.col(at).alias("_t"), F.lit(1).alias("_side")).withColumn(
         "_payload", F.lit(None).cast(payload_type)
     ).unionByName(partner.withColumn("_side", F.lit(0)), allowMissingColumns=True)
 
@@ -82,7 +85,7 @@ def asof_join(
         hit = F.when(F.abs(hit["at"] - t) <= tolerance, hit)
     found = found.withColumn("_hit", F.when(t.isNotNull(), hit))
     return found.select(
-        *left.columns,
+        *[F.col(f"_left{c}").alias(c) if c in own else F.col(c) for c in left.columns],
         *[F.col(f"_hit.{v}").alias(f"{prefix}{v}") for v in values],
         F.col("_hit.at").alias(f"{prefix}at"),
     )

@@ -61,8 +61,8 @@ def compare(df, con, sql):
             if type(a) is not type(b) and a is not None and b is not None:
                 return f"type of {c}: {a!r} vs {b!r}"
     if got != want:
-        diff = [(g, w) for g, w in zip(got, want) if g != w]
-        return f"{len(diff)} of {len(got)} rows differ on {got_cols}: {diff[:3]}"
+        only, twin = set(got) - set(want), set(want) - set(got)
+        return f"{len(only)} of {len(got)} rows differ: {sorted(only, key=repr)[:3]} twin {sorted(twin, key=repr)[:3]} on {got_cols}"
     return ""
 
 
