@@ -17,7 +17,6 @@ _ROUNDED = [
 ]
 _ROUND_SQL = ", ".join(f"round({c}, 8) AS {c}" for c in _ROUNDED)
 _DELTAS = ["delta_distance", "Speed_delta", "TTC_delta"]
-_DELTA_SQL = ", ".join(f"round({c}, 3) AS {c}" for c in _DELTAS)
 
 
 def _rounded(df, digits=8, columns=_ROUNDED):
@@ -43,10 +42,10 @@ def tumble_windows(spark, sf):
 @query(
     "window_features",
     f"""WITH {V.DRIVE_SQL}
-SELECT * REPLACE ({_ROUND_SQL}, {_DELTA_SQL}) FROM feat2""",
+SELECT * REPLACE ({_ROUND_SQL}) FROM feat2""",
 )
 def window_features(spark, sf):
-    return _rounded(_rounded(V.features(spark, sf)), 3, _DELTAS)
+    return _rounded(V.features(spark, sf))
 
 
 @query(
@@ -264,8 +263,8 @@ def iqr_outliers(spark, sf):
     "survival_rows",
     f"""WITH {V.DRIVE_SQL},
 f AS (SELECT event_id, min(window_index) AS fw FROM feat2 WHERE yellow_transition = 1 GROUP BY event_id)
-SELECT event_id, window_index, coalesce(CAST(window_index = fw AS INTEGER), 0) AS event, round(least(TTC_min, 20), 8) AS TTC_capped,
-  round(ln(1 + least(TTC_min, 20)), 8) AS TTC_log FROM feat2 LEFT JOIN f USING (event_id) WHERE fw IS NULL OR window_index <= fw""",
+SELECT event_id, window_index, coalesce(CAST(window_index = fw AS INTEGER), 0) AS event, round(CASE WHEN TTC_min IS NOT NULL THEN least(TTC_min, 20) END, 8) AS TTC_capped,
+  round(ln(1 + CASE WHEN TTC_min IS NOT NULL THEN least(TTC_min, 20) END), 8) AS TTC_log FROM feat2 LEFT JOIN f USING (event_id) WHERE fw IS NULL OR window_index <= fw""",
 )
 def survival_rows(spark, sf):
     out = W.survival_rows(materialize(V.features(spark, sf), "features"), hit="yellow_transition")

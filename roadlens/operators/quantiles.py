@@ -43,15 +43,20 @@ def exact_quantiles(
 
 
 def average_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", chunk_bits: int = S.CHUNK_BITS
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    out: str = "rank",
+    chunk_bits: int = S.CHUNK_BITS,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Per key and distinct value: its count ``ties`` and the average rank of those ties."""
+    """Per key and distinct value: its count ``ties`` (or weight) and the average rank of those ties."""
     keys = list(keys)
     group = keys or ["_all"]
     base = df.where(F.col(value).isNotNull())
     if not keys:
         base = base.withColumn("_all", F.lit(1))
-    counts = base.groupBy(*group, value).agg(F.count(F.lit(1)).alias("ties"))
+    counts = base.groupBy(*group, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("ties"))
     seq = S.sequence(counts, group, [value], chunk_bits)
     below = S.scan(seq, group, _below=S.running_sum("ties", inclusive=False))
     ranked = below.select(
