@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-_MODULES = ("labels", "spatial", "temporal", "windows")
+_MODULES = ("labels", "spatial", "temporal", "windows", "stats", "quality")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

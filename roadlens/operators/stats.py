@@ -139,7 +139,11 @@ def ols(df: DataFrame, x: str, y: str, *, keys: Sequence[str] = ()) -> DataFrame
 def ols_band(fit: DataFrame, grid: DataFrame, x: str, t_crit: float = 1.96) -> DataFrame:
     """Fitted line with its confidence band on a grid that carries the fit's keys."""
     keys = [c for c in grid.columns if c in fit.columns]
-    joined = grid.join(fit, keys) if keys else grid.join(F.broadcast(fit), how="cross")
+    parts = ("n", "slope", "intercept", "x_mean", "ss_x", "rmse")
+    if keys:
+        joined = grid.join(fit, keys)
+    else:  # one fit: six numbers
+        joined = grid.withColumns({c: F.lit(v) for c, v in fit.select(*parts).first().asDict().items()})
     line = F.col("intercept") + F.col("slope") * F.col(x)
     se = F.col("rmse") * F.sqrt(1 / F.col("n") + F.pow(F.col(x) - F.col("x_mean"), 2) / F.col("ss_x"))
     return joined.select(*grid.columns, line.alias("fitted"), (line - t_crit * se).alias("lower"), (line + t_crit * se).alias("upper"))
@@ -213,11 +217,11 @@ def anova_f(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     pairs = ", ".join(f"'{c}', double(`{c}`)" for c in features)
     long = df.selectExpr(f"`{y}` as y", f"stack({len(features)}, {pairs}) as (feature, v)").where("v is not null and y is not null")
     per = long.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
-    grand = per.groupBy("feature").agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
-    both = per.join(grand, "feature").groupBy("feature", "N", "k").agg(
+    grand = per.groupBy("feature").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
+    both = per.join(grand, "feature").groupBy("feature", "total", "k").agg(
         F.sum(F.col("n") * F.pow(F.col("m") - F.col("g"), 2)).alias("_b"), F.sum(F.col("n") * F.col("s")).alias("_w")
     )
-    f = (F.col("_b") / (F.col("k") - 1)) / (F.col("_w") / (F.col("N") - F.col("k")))
+    f = (F.col("_b") / (F.col("k") - 1)) / (F.col("_w") / (F.col("total") - F.col("k")))
     return both.select("feature", f.alias("f_value")).orderBy(F.desc("f_value"), "feature")
 
 

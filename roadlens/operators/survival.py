@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from roadlens.functions import special
 from roadlens.operators import scan as S
 from roadlens.operators.stats import _keyed, _unkeyed
+from roadlens.session import materialize
 
 
 def _time_counts(df: DataFrame, group: list[str], duration: str, event: str) -> DataFrame:
@@ -205,8 +206,6 @@ def cox_univariate(df: DataFrame, features: Sequence[str], **options) -> list[di
 
 
 def _cox_groups(df, groups, start, stop, event, penalizer, l1_ratio, max_iter, tol, chunk_bits) -> list[list[dict]]:
-    from roadlens.session import materialize
-
     used = list(dict.fromkeys(f for g in groups for f in g))
     k = max(len(g) for g in groups)
     rows = df.select(F.col(start).cast("double").alias("start"), F.col(stop).cast("double").alias("stop"), F.col(event).alias("event"),
@@ -247,7 +246,7 @@ def _cox_groups(df, groups, start, stop, event, penalizer, l1_ratio, max_iter, t
         cov = np.linalg.pinv(hess[i]) if i in hess else np.full((len(g), len(g)), np.nan)
         fit = []
         for j, f in enumerate(g):
-            b, se = beta[i][j] / scale[f], math.sqrt(max(cov[j, j], 0.0)) / scale[f]
+            b, se = float(beta[i][j]) / scale[f], math.sqrt(max(cov[j, j], 0.0)) / scale[f]
             z = b / se if se > 0 else 0.0
             p = math.erfc(abs(z) / math.sqrt(2))
             lo, hi = b - 1.959963984540054 * se, b + 1.959963984540054 * se
