@@ -14,6 +14,7 @@ from roadlens.operators import joins as J
 from roadlens.operators import scan as S
 from roadlens.operators import trips as TR
 from roadlens.operators.events import TRIP
+from roadlens.session import materialize
 
 # The event names per map and the reach of a collision.
 GAP_PATTERNS = {
@@ -195,7 +196,7 @@ def time_to_collision(
         F.when(F.col("_branch") == "generic", F.col("relevant_object_name")).otherwise(F.col("police_name")).alias("ttc_object_name"),
     )
 
-    several = F.filter(F.transform(F.split("relevant_object_name", ","), F.trim), lambda n: n != "")
+    several = F.filter(F.transform(F.split("relevant_object_name", ","), lambda n: F.trim(n)), lambda n: n != "")
     names = F.when(F.col("_branch") == "oncoming", several).otherwise(F.array("relevant_object_name"))
     chased = live.where(F.col("_branch").isin("oncoming", "walker") & ~T.is_blank(F.col("relevant_object_name"))).select(
         *keys, S.SEQ, at, "_branch", x.alias("_x"), y.alias("_y"), v.alias("_v"), yaw.alias("_yaw"), F.posexplode(names)
@@ -207,10 +208,11 @@ def time_to_collision(
     args = [F.col(c) for c in ("_x", "_y", "_v", "_yaw", "_o_x", "_o_y", "_o_vx", "_o_vy")]
     ttc = F.when(F.col("_branch") == "oncoming", G.ttc_range_rate(*args)).otherwise(G.ttc_quadratic(*args))
     reach = G.planar(F.col("_x"), F.col("_y"), F.col("_o_x"), F.col("_o_y")) <= max_distance
-    best = F.min(F.struct(F.col("_ttc").alias("ttc"), F.col("_pos").alias("pos"), F.col("Name").alias("name")))
+    # a narrow written table: the long formulas are then compiled once, over plain columns
+    timed = materialize(near.where(reach & F.col("_o_vx").isNotNull()), "chased").select(*keys, S.SEQ, "Name", "_pos", ttc.alias("_ttc"))
+    best = F.min(F.when(F.col("_ttc").isNotNull(), F.struct(F.col("_ttc").alias("ttc"), F.col("_pos").alias("pos"), F.col("Name").alias("name"))))
     hit = (
-        near.where(reach & F.col("_o_vx").isNotNull()).withColumn("_ttc", ttc).where("_ttc is not null")
-        .groupBy(*keys, S.SEQ).agg(best.alias("_b"))
+        timed.groupBy(*keys, S.SEQ).agg(best.alias("_b")).where(F.col("_b").isNotNull())
         .select(*keys, S.SEQ, F.col("_b.ttc").alias("time_to_collision"), F.col("_b.name").alias("ttc_object_name"))
     )
     return plain.where("time_to_collision is not null").unionByName(hit)
