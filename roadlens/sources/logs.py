@@ -111,9 +111,14 @@ def read_records(
 
 def magnitude(value: Column) -> Column:
     """Vector length of a JSON object (missing parts are 0); a plain number passes through."""
-    parts = F.from_json(value, "x string, y string, z string")
-    square = lambda p: F.pow(F.coalesce(N.number(parts[p]), F.lit(0.0)), 2)
-    return F.when(F.ltrim(value).startswith("{"), F.sqrt(square("x") + square("y") + square("z"))).otherwise(N.number(value))
+
+    def length(v: Column) -> Column:
+        square = lambda p: F.pow(F.coalesce(N.number(v[p]), F.lit(0.0)), 2)
+        return F.sqrt(square("x") + square("y") + square("z"))
+
+    # the lambda binds the parsed object, so the text is parsed once
+    parsed = F.array(F.from_json(value, "x string, y string, z string"))
+    return F.when(F.ltrim(value).startswith("{"), F.get(F.transform(parsed, length), F.lit(0))).otherwise(N.number(value))
 
 
 def ego_records(records: DataFrame) -> DataFrame:
