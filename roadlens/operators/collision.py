@@ -112,7 +112,7 @@ def first_police(tracks: DataFrame, *, keys: Sequence[str] = TRIP) -> DataFrame:
 def distance_to_police(frames: DataFrame, police: DataFrame, *, keys: Sequence[str] = TRIP) -> DataFrame:
     """Distance of every frame to the trip's police car; trips without one drop out."""
     gap = G.haversine(F.col("Latitude"), F.col("Longitude"), F.col("police_lat"), F.col("police_lon"))
-    return frames.join(police, list(keys)).select(
+    return J.lookup(frames, police, list(keys)).select(
         *keys, S.SEQ, "SimulationTime", gap.alias("distance_to_police"), F.col("police_name").alias("police_object_name")
     )
 
@@ -176,7 +176,7 @@ def time_to_collision(
     phase = F.trim(F.coalesce("TrafficLight_JunctionPhase", F.lit("-")))
     usable = (v > 0) & yaw.isNotNull() & x.isNotNull() & y.isNotNull() & ~phase.isin("InsideJunction", "LeavingJunction", "")
     small = police.join(stops, keys, "full").join(overtakes, keys, "full")
-    live = frames.where(usable).join(small, keys, "left")
+    live = J.lookup(frames.where(usable), small, keys, "left")
     gap = F.coalesce(F.col("Map").isin("A", "B") & F.lower("SpacialEvent").contains(T.GAP_EVENT), F.lit(False))
     border = F.coalesce("stop_time", "overtake_time")
     facing_police = gap & F.coalesce(F.col(at) < border, F.lit(False)) & F.col("police_x").isNotNull()

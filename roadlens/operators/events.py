@@ -184,9 +184,7 @@ def fill_collision_tail(
     stops = frames.where(crash).groupBy(*keys).agg(F.min(S.SEQ).alias("_stop"))
     named = ~T.is_blank(F.col(label)) & ~F.col(label).isin(*T.SENTINELS)
     last = (
-        frames.where(named)
-        .select(*keys, S.SEQ, label)
-        .join(stops, list(keys))
+        J.lookup(frames.where(named).select(*keys, S.SEQ, label), stops, list(keys))
         .where(F.col(S.SEQ) < F.col("_stop"))
         .groupBy(*keys, "_stop")
         .agg(F.max(F.struct(F.col(S.SEQ).alias("seq"), F.col(label).alias("name"))).alias("_last"))
@@ -195,7 +193,7 @@ def fill_collision_tail(
     empty = T.is_blank(F.col(label)) | (F.col(label) == T.NO_EVENT)
     inside = (F.col(S.SEQ) > F.col("_last")) & (F.col(S.SEQ) < F.col("_stop")) & empty
     return (
-        frames.join(last, list(keys), "left")
+        J.lookup(frames, last, list(keys), "left")
         .withColumn(base, F.when(inside, F.col("_tail")).otherwise(F.col(base)))
         .withColumn(label, F.when(inside, F.col("_tail")).otherwise(F.col(label)))
         .select(*frames.columns)

@@ -11,8 +11,19 @@ from pyspark.sql import functions as F
 from roadlens.operators import scan as S
 
 
-def _all_equal(left: Sequence[Column], right: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right)])
+SALTS = 32
+
+
+def lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join rows with per-key values such that one hot key never fills one task.
+
+    The input partition number salts the rows, and every per-key row is copied
+    to each salt. Copies of one row spread as well, and a repeated task salts
+    its rows as before. Spark still broadcasts ``small`` where its measured size allows.
+    """
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def asof_join(

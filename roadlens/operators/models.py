@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadlens.operators import joins as J
 from roadlens.operators import stats as ST
 from roadlens.operators import windows as W
 from roadlens.operators.quantiles import exact_quantiles
@@ -29,7 +30,7 @@ def class_weights(df: DataFrame, y: str, keys: Sequence[str] = ()) -> DataFrame:
     base, group = ST._keyed(df, keys)
     counts = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_p"))
     mine = F.when(F.col(y) == 1, F.col("_p")).otherwise(F.col("_n") - F.col("_p"))
-    joined = base.join(counts, group).withColumn("weight", F.col("_n") / (2 * mine))
+    joined = J.lookup(base, counts, group).withColumn("weight", F.col("_n") / (2 * mine))
     return ST._unkeyed(joined.drop("_n", "_p"))
 
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,28 +188,26 @@ def first_of_all(c: str | Column) -> Scan:
 
 def scan(df: DataFrame, keys: Sequence[str], **specs: Scan) -> DataFrame:
     """Add one column per spec to a table made by :func:`sequence`."""
-    keys = list(keys)
+    # one struct key: it is equal to itself even where parts are null, and the plain
+    # equality lets the join reuse the partitioning of the window, without a second shuffle
+    keyed = df.withColumn("_key", F.struct(*keys))
     w = _Windows(
-        Window.partitionBy(*keys, CHUNK).orderBy(SEQ),
-        Window.partitionBy(*keys).orderBy(CHUNK),
+        Window.partitionBy("_key", CHUNK).orderBy(SEQ),
+        Window.partitionBy("_key").orderBy(CHUNK),
     )
-    rows = df.select(
+    rows = keyed.select(
         "*",
         F.lag(F.lit(1)).over(w.rows).isNull().alias(w.head),
         F.lead(F.lit(1)).over(w.rows).isNull().alias(w.tail),
         *[s.local(w).alias(f"_l_{n}") for n, s in specs.items()],
     )
-    summaries = df.groupBy(*keys, CHUNK).agg(*[s.summary().alias(f"_s_{n}") for n, s in specs.items()])
+    summaries = keyed.groupBy("_key", CHUNK).agg(*[s.summary().alias(f"_s_{n}") for n, s in specs.items()])
     carries = summaries.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_key").alias("_k_key"),
         F.col(CHUNK).alias("_k_chunk"),
         *[s.carry(F.col(f"_s_{n}"), w).alias(f"_c_{n}") for n, s in specs.items()],
     )
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
-        F.col(CHUNK) == F.col("_k_chunk"),
-    )
+    same = (F.col("_key") == F.col("_k_key")) & (F.col(CHUNK) == F.col("_k_chunk"))
     merged = {n: s.merge(F.col(f"_l_{n}"), F.col(f"_c_{n}"), w) for n, s in specs.items()}
     kept = [c for c in df.columns if c not in specs]
     return rows.join(carries, same, "left").select(*kept, *[c.alias(n) for n, c in merged.items()])
@@ -230,7 +227,6 @@ def neighbours(
     processed independently, with the ``before``/``after`` rows next to a block
     copied into it, so a frame never needs a row of another block.
     """
-    keys = list(keys)
     block_rows = max(block_rows, before, after, 1)
     pos = scan(df, keys, _pos=running_count(F.lit(1), inclusive=False))
     own = F.floor(F.col("_pos") / block_rows).cast("long")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions import special
+from roadlens.operators import joins as J
 from roadlens.operators import scan as S
 from roadlens.operators.quantiles import average_ranks
 
@@ -130,7 +131,7 @@ def ols(df: DataFrame, x: str, y: str, *, keys: Sequence[str] = ()) -> DataFrame
         F.regr_r2(y, x).alias("r2"), F.avg(x).alias("x_mean"), F.regr_sxx(y, x).alias("ss_x"),
     )
     resid = F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)
-    err = base.join(fit.select(*group, "slope", "intercept"), group).groupBy(*group).agg(
+    err = J.lookup(base, fit.select(*group, "slope", "intercept"), group).groupBy(*group).agg(
         F.avg(F.abs(resid)).alias("mae"), F.sqrt(F.avg(resid * resid)).alias("rmse")
     )
     return _unkeyed(fit.join(err, group))
@@ -186,7 +187,7 @@ def density(df: DataFrame, value: str, low: float, high: float, points: int, *,
     scott = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     sized = stats.withColumn("h", scott).withColumn("w", (F.col("hi") - F.col("lo")) / bins)
     cell = F.when(F.col("w") > 0, F.floor((F.col(value) - F.col("lo")) / F.col("w"))).otherwise(F.lit(0))
-    cells = base.join(sized, group).groupBy(*group, "n", "h", cell.alias("c")).agg(F.count(F.lit(1)).alias("m"), F.avg(value).alias("v"))
+    cells = J.lookup(base, sized, group).groupBy(*group, "n", "h", cell.alias("c")).agg(F.count(F.lit(1)).alias("m"), F.avg(value).alias("v"))
     step = (high - low) / (points - 1)
     grid = cells.withColumn("x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) + i * step)))
     z = (F.col("x") - F.col("v")) / F.col("h")

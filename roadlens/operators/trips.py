@@ -112,7 +112,7 @@ def relative_time(frames: DataFrame, keys: Sequence[str], at: str, out: str) ->
     A pre-aggregated minimum joined back: no window holds a whole trip.
     """
     start = frames.groupBy(*keys).agg(F.min(at).alias("_t0"))
-    return frames.join(start, list(keys), "left").withColumn(out, F.col(at) - F.col("_t0")).drop("_t0")
+    return J.lookup(frames, start, list(keys), "left").withColumn(out, F.col(at) - F.col("_t0")).drop("_t0")
 
 
 def monotone_violations(
@@ -127,7 +127,7 @@ def monotone_violations(
 def first_flag(frames: DataFrame, keys: Sequence[str], hit: Column, *, out: str) -> DataFrame:
     """1 on the first hit of a group, 0 on its other rows, null in groups without a hit."""
     first = frames.where(hit).groupBy(*keys).agg(F.min(S.SEQ).alias("_first"))
-    joined = frames.join(first, list(keys), "left")
+    joined = J.lookup(frames, first, list(keys), "left")
     return joined.withColumn(out, (F.col(S.SEQ) == F.col("_first")).cast("int")).drop("_first")
 
 

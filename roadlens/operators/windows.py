@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadlens.operators import joins as J
 from roadlens.operators import scan as S
 from roadlens.operators import trips as TR
 from roadlens.operators.quantiles import exact_quantiles
@@ -46,7 +47,7 @@ def place_in_windows(frames: DataFrame, keys: Sequence[str], at: str, size: floa
     on a window edge belongs to no window; empty windows keep their index.
     """
     span = frames.groupBy(*keys).agg(F.min(at).alias("_t0"), F.max(at).alias("_t1"))
-    placed = frames.where(F.col(at).isNotNull()).join(span, list(keys))
+    placed = J.lookup(frames.where(F.col(at).isNotNull()), span, list(keys))
     k = F.floor((F.col(at) - F.col("_t0")) / size).cast("long")
     begin = F.col("_t0") + F.col("window_index") * F.lit(float(size))
     return (
@@ -155,12 +156,12 @@ def window_targets(
     inside = F.coalesce((F.col("start_time") <= f) & (f <= F.col("end_time")), F.lit(False))
     soon = F.coalesce((f > F.col("end_time")) & (f <= F.col("end_time") + horizon), F.lit(False))
     first = feedback.groupBy(key).agg(F.min("feedback_at").alias("feedback_at"))
-    timed = windows.join(first, key, "left").withColumn(out, inside.cast("int")).withColumn(
+    timed = J.lookup(windows, first, [key], "left").withColumn(out, inside.cast("int")).withColumn(
         "feedback_next_1s", soon.cast("int")
     )
     hit = timed.where(F.col(out) == 1).groupBy(key).agg(F.min("window_index").alias("_hit"))
     return (
-        timed.join(hit, key, "left")
+        J.lookup(timed, hit, [key], "left")
         .where(F.col("_hit").isNull() | (F.col("window_index") <= F.col("_hit")))
         .drop("_hit", "feedback_at")
     )
@@ -315,7 +316,7 @@ def horizon_windows(
     """
     keys = list(keys)
     span = windows.groupBy(*keys).agg(F.min(at).alias("_t0"), (F.max(at) + 1).alias("_t1"))
-    rows = windows.join(span, keys).withColumn("win", F.explode(F.array(*[F.lit(int(w)) for w in sizes])))
+    rows = J.lookup(windows, span, keys).withColumn("win", F.explode(F.array(*[F.lit(int(w)) for w in sizes])))
     since = F.col(at) - F.col("_t0")
     k = F.floor(since / F.col("win")).cast("long")
     placed = rows.withColumn("_k", k).where(F.col("_t0") + (F.col("_k") + 1) * F.col("win") <= F.col("_t1"))
@@ -353,7 +354,7 @@ def assign_segments(
     near, junction = phase == "Approaching", phase.isin("InsideJunction", "LeavingJunction")
     entered = F.when(phase == "InsideJunction", F.struct(t.alias("t"), light.alias("light")))
     one = windows.groupBy(key).agg(F.min(F.when(F.col("yellow_transition") == 1, t)).alias("_y"), F.min(entered).alias("_in"))
-    first = windows.join(one, key)
+    first = J.lookup(windows, one, [key])
     two = first.groupBy(key, "_y", "_in").agg(
         F.max(F.when((t >= F.col("_y")) & (light == "Red"), t)).alias("_red"),
         F.min(F.when((t >= F.col("_in.t")) & junction & (F.col("is_stopped") == 1), t)).alias("_stop"),
@@ -372,7 +373,7 @@ def assign_segments(
         )
         .otherwise(F.when((t >= y) & moving, 2).when(near & (t < y), 1))
     )
-    return windows.join(two, key).withColumn(out, seg).drop("_y", "_in", "_red", "_stop")
+    return J.lookup(windows, two, [key]).withColumn(out, seg).drop("_y", "_in", "_red", "_stop")
 
 
 def segment_times(windows: DataFrame, *, key: str = "event_id", at: str = "start_time", ttc: str = "TTC_min") -> DataFrame:
@@ -381,7 +382,7 @@ def segment_times(windows: DataFrame, *, key: str = "event_id", at: str = "start
     early = windows.withColumn("TTC_imputed", F.when(F.col("segment").isin(1, 2), filled))
     timed = TR.relative_time(early, [key], at, "time_from_event_start")
     start = timed.where("segment is not null").groupBy(key, "segment").agg(F.min(at).alias("_s"))
-    return timed.join(start, [key, "segment"], "left").withColumn("time_from_seg_start", F.col(at) - F.col("_s")).drop("_s")
+    return J.lookup(timed, start, [key, "segment"], "left").withColumn("time_from_seg_start", F.col(at) - F.col("_s")).drop("_s")
 
 
 def first_nonnull(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
@@ -425,7 +426,7 @@ def flag_outliers(df: DataFrame, column: str, *, factor: float = 1.5, out: str =
 def survival_rows(windows: DataFrame, *, key: str = "event_id", order: str = "window_index", hit: str = "feedback_next_1s", cap: float = 20.0) -> DataFrame:
     """Windows up to the first hit, ``event`` = 1 there; capped and logged TTC."""
     first = windows.where(F.col(hit) == 1).groupBy(key).agg(F.min(order).alias("_first"))
-    kept = windows.join(first, key, "left").where(F.col("_first").isNull() | (F.col(order) <= F.col("_first")))
+    kept = J.lookup(windows, first, [key], "left").where(F.col("_first").isNull() | (F.col(order) <= F.col("_first")))
     capped = F.when(F.col("TTC_min").isNotNull(), F.least(F.col("TTC_min"), F.lit(cap)))
     event = F.coalesce(F.col(order) == F.col("_first"), F.lit(False)).cast("int")
     return kept.withColumn("event", event).withColumn("TTC_capped", capped).withColumn("TTC_log", F.log1p(capped)).drop("_first")
@@ -496,7 +497,7 @@ def group_folds(
     mixed = groups.withColumn("_h", F.xxhash64(F.col(group), F.lit(seed)))
     seq = S.sequence(mixed, ["_stratum"], ["_h", group], chunk_bits)
     placed = S.scan(seq, ["_stratum"], _pos=S.running_count(F.lit(1), inclusive=False))
-    return df.join(placed.select(group, (F.col("_pos") % k).cast("int").alias(out)), group)
+    return J.lookup(df, placed.select(group, (F.col("_pos") % k).cast("int").alias(out)), [group])
 
 
 def split_groups(df: DataFrame, *, group: str, label: str, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from roadlens import schema as C
 from roadlens.functions import numeric as N
 from roadlens.functions import text as X
+from roadlens.operators import joins as J
 
 TRIP = ["Id", "Condition", "Map"]
 
@@ -139,7 +140,7 @@ def ego_records(records: DataFrame) -> DataFrame:
         F.count("Type").alias("_types"), F.count("FrameID").alias("_ids"), F.min("ord").alias("_first")
     )
     place = F.col("ord") - F.col("_first")
-    both = typed.join(known, TRIP)
+    both = J.lookup(typed, known, TRIP)
     return both.withColumn(
         "Type",
         F.when(F.col("_types") > 0, F.col("Type")).otherwise(F.when(place % 2 == 0, "GPS").otherwise("Car_Telemetries")),
@@ -185,7 +186,7 @@ def pair_frames(gps: DataFrame, telemetry: DataFrame, keys: Sequence[str] = TRIP
     keys = list(keys)
     g, t = gps.where("FrameID is not null"), telemetry.where("FrameID is not null")
     off = pair_offsets(g, t, keys)
-    shifted = t.join(off, keys).withColumn("FrameID", F.col("FrameID") - F.col("off")).drop("off")
+    shifted = J.lookup(t, off, keys).withColumn("FrameID", F.col("FrameID") - F.col("off")).drop("off")
     return g.join(shifted, [*keys, "FrameID"])
 
 
