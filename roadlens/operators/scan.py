@@ -44,7 +44,7 @@ def sequence(
     partition ids are part of ``_seq``, so they have to be frozen.
     """
     base = df.drop(SEQ, CHUNK)
-    # no explicit hash: the sort's range partitioner splits hot trips by time
+    # the sort is range-partitioned by keys and order, so a hot trip is split by time
     ordered = base.sort(*[F.col(k) for k in keys], *[as_col(o) for o in order])
     numbered = ordered.select("*", F.monotonically_increasing_id().alias(SEQ))
     return materialize(numbered.withColumn(CHUNK, F.shiftright(SEQ, chunk_bits)), "sequence")
