@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from roadlens.functions.numeric import ratio
+
 # Fixed values of the motion rules.
 EARTH_RADIUS_M = 6371000.0
 MIN_CLOSING_SPEED = 0.5  # m/s
@@ -31,7 +33,7 @@ def signed_line_distance(px, py, ax, ay, bx, by) -> Column:
     """Distance to the line AB, positive on its left; distance to A if A = B."""
     dx, dy = bx - ax, by - ay
     length = F.hypot(dx, dy)
-    side = (dx * (py - ay) - dy * (px - ax)) / length
+    side = ratio(dx * (py - ay) - dy * (px - ax), length)
     return F.when(length < 1e-9, F.hypot(px - ax, py - ay)).otherwise(side)
 
 
@@ -52,7 +54,7 @@ def ttc_range_rate(
     vx, vy = velocity(speed, yaw)
     rx, ry = ox - x, oy - y
     gap = F.hypot(rx, ry)
-    closing = -(rx * (ovx - vx) + ry * (ovy - vy)) / gap
+    closing = ratio(-(rx * (ovx - vx) + ry * (ovy - vy)), gap)
     return F.when(gap < touch, F.lit(0.0)).when(closing > min_closing, gap / closing)
 
 
@@ -72,7 +74,7 @@ def ttc_quadratic(x, y, speed, yaw, ox, oy, ovx, ovy, min_dist: float = MIN_GAP_
     c = rx * rx + ry * ry - min_dist * min_dist
     disc = b * b - 4 * a * c
     root = F.sqrt(F.when(disc >= 0, disc))
-    ahead = [F.when(t > eps, t) for t in ((-b - root) / (2 * a), (-b + root) / (2 * a))]
+    ahead = [F.when(t > eps, t) for t in (ratio(-b - root, 2 * a), ratio(-b + root, 2 * a))]
     return F.when(c <= 0, F.lit(0.0)).when((a >= eps) & (disc >= 0), F.least(*ahead))
 
 

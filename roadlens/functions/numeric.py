@@ -35,6 +35,11 @@ def datetime_seconds(c: Column) -> Column:
     return F.unix_micros(F.try_to_timestamp(c)) / F.lit(1e6)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is zero (plain division by zero is an error)."""
+    return a / F.nullif(b.cast("double"), F.lit(0.0))
+
+
 def clip(c: Column, lower: float | None = None, upper: float | None = None) -> Column:
     """Clamp to the bounds; null stays null."""
     out = c

@@ -88,7 +88,7 @@ _LIGHT = r"(start|end)?\s*traffic\s*light\s*(\d+)"
 
 def light_number(c: Column) -> Column:
     """Number of the traffic light named in an event, else null."""
-    return F.nullif(F.regexp_extract(F.lower(c), _LIGHT, 2), F.lit("")).cast("long")
+    return F.nullif(F.regexp_extract(F.lower(c), _LIGHT, 2), F.lit("")).try_cast("long")
 
 
 def light_event_kind(c: Column) -> Column:

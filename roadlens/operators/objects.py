@@ -42,7 +42,7 @@ def match_objects(
         tracks.where(F.col("Name").startswith("traffic.traffic_light"))
         .select(*keys, "Name")
         .distinct()
-        .withColumn("_light", F.nullif(F.regexp_extract("Name", r"(\d+)$", 1), F.lit("")).cast("long"))
+        .withColumn("_light", F.nullif(F.regexp_extract("Name", r"(\d+)$", 1), F.lit("")).try_cast("long"))
     )
     by_id = named.join(lights, ["Map", "_light"]).select(*keys, "SpacialEvent", "Name")
     boxes = points.where(F.col("traffic_light_id").isNull()).select(

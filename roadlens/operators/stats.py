@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions import special
+from roadlens.functions.numeric import ratio
 from roadlens.operators import joins as J
 from roadlens.operators import scan as S
 from roadlens.operators.quantiles import average_ranks
@@ -62,8 +63,8 @@ def mann_whitney(df: DataFrame, x: str, y: str, *, keys: Sequence[str] = (), chu
     n0, n1 = F.col("n0"), F.col("n1")
     n = n0 + n1
     u = F.col("_r0") - n0 * (n0 + 1) / 2
-    sd = F.sqrt(n0 * n1 / 12 * (n + 1 - F.col("_tie") / (n * (n - 1))))
-    z = (F.greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5) / sd
+    sd = F.sqrt(n0 * n1 / 12 * (n + 1 - ratio(F.col("_tie"), n * (n - 1))))
+    z = ratio(F.greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5, sd)
     return _unkeyed(g.select(*group, "n0", "n1", u.alias("u"), z.alias("z"), F.least(F.lit(1.0), special.erfc(z / F.sqrt(F.lit(2.0)))).alias("p")))
 
 
@@ -77,7 +78,7 @@ def threshold_curve(df: DataFrame, score: str, y: str, *, keys: Sequence[str] =
     )
     tp = F.col("_pp") - F.coalesce("_p", F.lit(0))
     fp = F.col("_nn") - F.coalesce("_n", F.lit(0))
-    precision, recall = tp / (tp + fp), tp / F.col("_pp")
+    precision, recall = ratio(tp, tp + fp), ratio(tp, F.col("_pp"))
     f1 = 2 * precision * recall / (precision + recall + 1e-9)
     return _unkeyed(run.select(*group, F.col("score").alias("threshold"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1")))
 
@@ -98,16 +99,23 @@ def class_metrics(df: DataFrame, score: str, y: str, threshold: Column | float,
         F.count_if(hit & (F.col(y) == 1)).alias("tp"), F.count_if(hit & (F.col(y) != 1)).alias("fp"), F.count_if(~hit & (F.col(y) == 1)).alias("fn")
     )
     tp = F.col("tp")
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    out = g.withColumn("precision", ratio(tp, tp + F.col("fp"))).withColumn("recall", ratio(tp, tp + F.col("fn")))
-    return _unkeyed(out.withColumn("f1", ratio(2 * tp, 2 * tp + F.col("fp") + F.col("fn"))))
+    share = lambda a, b: F.coalesce(ratio(a, b), F.lit(0.0))
+    out = g.withColumn("precision", share(tp, tp + F.col("fp"))).withColumn("recall", share(tp, tp + F.col("fn")))
+    return _unkeyed(out.withColumn("f1", share(2 * tp, 2 * tp + F.col("fp") + F.col("fn"))))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of the rows with both values; null where one side does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def pearson(df: DataFrame, x: str, y: str, *, keys: Sequence[str] = ()) -> DataFrame:
     """Correlation, its t score with n - 2 degrees of freedom, and the normal-approximated p-value."""
     base, group = _keyed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys)
-    g = base.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    g = base.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), correlation(F.col(x), F.col(y)).alias("r"))
+    t = F.col("r") * F.sqrt(ratio(F.col("n") - 2, F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0))))
     return _unkeyed(g.withColumn("t", t).withColumn("p", special.normal_p(t)))
 
 
@@ -119,7 +127,7 @@ def corr_by_group(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str,
     cols = list(dict.fromkeys(c for p in pairs for c in p))
     steps = S.scan(df, keys, **{f"_p_{c}": S.lag(c) for c in cols})
     step = lambda c: F.col(c) - F.col(f"_p_{c}")
-    g = steps.groupBy(*keys).agg(*[F.corr(step(a), step(b)).alias(f"corr_{a}_{b}") for a, b in pairs])
+    g = steps.groupBy(*keys).agg(*[correlation(step(a), step(b)).alias(f"corr_{a}_{b}") for a, b in pairs])
     return g.withColumn("weakest", F.least(*[F.abs(f"corr_{a}_{b}") for a, b in pairs]))
 
 
@@ -146,7 +154,7 @@ def ols_band(fit: DataFrame, grid: DataFrame, x: str, t_crit: float = 1.96) -> D
     else:  # one fit: six numbers
         joined = grid.withColumns({c: F.lit(v) for c, v in fit.select(*parts).first().asDict().items()})
     line = F.col("intercept") + F.col("slope") * F.col(x)
-    se = F.col("rmse") * F.sqrt(1 / F.col("n") + F.pow(F.col(x) - F.col("x_mean"), 2) / F.col("ss_x"))
+    se = F.col("rmse") * F.sqrt(1 / F.col("n") + ratio(F.pow(F.col(x) - F.col("x_mean"), 2), F.col("ss_x")))
     return joined.select(*grid.columns, line.alias("fitted"), (line - t_crit * se).alias("lower"), (line + t_crit * se).alias("upper"))
 
 
@@ -190,8 +198,8 @@ def density(df: DataFrame, value: str, low: float, high: float, points: int, *,
     cells = J.lookup(base, sized, group).groupBy(*group, "n", "h", cell.alias("c")).agg(F.count(F.lit(1)).alias("m"), F.avg(value).alias("v"))
     step = (high - low) / (points - 1)
     grid = cells.withColumn("x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) + i * step)))
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    kernel = F.col("m") * F.exp(-z * z / 2) / (F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))
+    z = ratio(F.col("x") - F.col("v"), F.col("h"))
+    kernel = ratio(F.col("m") * F.exp(-z * z / 2), F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))
     return _unkeyed(grid.groupBy(*group, "x", "n").agg(F.sum(kernel).alias("_k")).select(*group, "x", (F.col("_k") / F.col("n")).alias("density")))
 
 
@@ -222,7 +230,7 @@ def anova_f(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     both = per.join(grand, "feature").groupBy("feature", "total", "k").agg(
         F.sum(F.col("n") * F.pow(F.col("m") - F.col("g"), 2)).alias("_b"), F.sum(F.col("n") * F.col("s")).alias("_w")
     )
-    f = (F.col("_b") / (F.col("k") - 1)) / (F.col("_w") / (F.col("total") - F.col("k")))
+    f = ratio(ratio(F.col("_b"), F.col("k") - 1), ratio(F.col("_w"), F.col("total") - F.col("k")))
     return both.select("feature", f.alias("f_value")).orderBy(F.desc("f_value"), "feature")
 
 

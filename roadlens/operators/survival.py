@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions import special
+from roadlens.functions.numeric import ratio
 from roadlens.operators import scan as S
 from roadlens.operators.stats import _keyed, _unkeyed
 from roadlens.session import materialize
@@ -37,7 +38,7 @@ def kaplan_meier(
     run = S.scan(n, group, _sum=S.running_sum("_log"), _dead=S.running_count("_zero"), _green=S.running_sum("_var"))
     s = F.when(F.col("_dead") > 0, F.lit(0.0)).otherwise(F.exp(F.coalesce("_sum", F.lit(0.0))))
     log_s = F.col("_sum")
-    spread = z * F.sqrt("_green") / log_s
+    spread = ratio(z * F.sqrt("_green"), log_s)
     curve = F.log(-log_s)
     proper = (F.col("_dead") == 0) & (log_s < 0)
     out = run.select(
@@ -71,7 +72,7 @@ def log_rank(df: DataFrame, duration: str, event: str, group: str, *, keys: Sequ
     d = F.col("d").cast("double")
     v = F.when(n > 1, d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1))
     g = run.groupBy(*by).agg(F.sum("d1").alias("observed"), F.sum(d * n1 / n).alias("expected"), F.sum(v).alias("variance"))
-    chi2 = F.pow(F.col("observed") - F.col("expected"), 2) / F.col("variance")
+    chi2 = ratio(F.pow(F.col("observed") - F.col("expected"), 2), F.col("variance"))
     return _unkeyed(g.withColumn("chi2", chi2).withColumn("p", special.chi2_p(chi2)))
 
 

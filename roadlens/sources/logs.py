@@ -128,7 +128,7 @@ def ego_records(records: DataFrame) -> DataFrame:
         *TRIP,
         "ord",
         X.normalize_type(F.col("Type")).alias("Type"),
-        N.number(F.col("FrameID")).cast("long").alias("FrameID"),
+        N.number(F.col("FrameID")).try_cast("long").alias("FrameID"),
         "WorldTime",
         *[N.number(F.col(c)).alias(c) for c in ("SimulationTime", "Longitude", "Latitude", "Speed", "SteeringAngle", "Brake")],
         magnitude(F.col("Acceleration")).alias("Acceleration"),
@@ -268,7 +268,7 @@ def read_points(spark: SparkSession, path: str, maps: DataFrame | None = None) -
         F.monotonically_increasing_id().alias("ord"),
         N.number(F.col("`SimulationPosition.x`")).alias("x"),
         N.number(F.col("`SimulationPosition.y`")).alias("y"),
-        N.number(_col(raw, "traffic_light_id")).cast("long").alias("traffic_light_id"),
+        N.number(_col(raw, "traffic_light_id")).try_cast("long").alias("traffic_light_id"),
         *[N.number(_col(raw, c)).alias(c) for c in ("ped_start_lat", "ped_start_lon", "ped_end_lat", "ped_end_lon")],
     )
     return out if maps is None else out.join(maps.select("Map").distinct(), "Map", "left_semi")

@@ -6,7 +6,10 @@ import pytest
 
 from drives import write_drives
 from roadlens import schema as C
+from roadlens.operators import windows as W
+from roadlens.plans import dataset as D
 from roadlens.plans import enrich as P
+from roadlens.plans import validate as V
 from roadlens.sources import logs
 
 
@@ -170,3 +173,25 @@ def test_failures_and_resume(spark, paths, written):
     assert [r["Id"] for r in logs.pending(good, spark.read.parquet(out)).collect()] == ["C03"]
     only, _ = logs.split_manifest(logs.read_manifest(spark, paths["manifest_csv"]), only_ids=["C02"])
     assert [r["Id"] for r in only.collect()] == ["C02"]
+
+
+def test_window_dataset(spark, written):
+    frames = spark.read.parquet(written[0])
+    win = D.build_windows(frames, sizes=(1.0, 2.0)).cache()
+    ones = {r["window_index"]: r for r in win.where("window_size_sec = 1 and Id = 'C01'").collect()}
+    # the event runs from 2.0 s to 7.0 s, feedback at its second 1.0, on the edge of windows 0 and 1
+    assert set(ones) == {0} and ones[0]["event_id"] == "c01__avatar__traffic light 1"
+    assert ones[0][W.FEEDBACK] == 1 and ones[0]["TrafficLight_current"] == "Yellow" and ones[0]["current_phase"] == "Approaching"
+    other = win.where("window_size_sec = 2 and Id = 'C02'").orderBy("window_index").collect()
+    assert [r["window_index"] for r in other] == [0, 1, 2] and other[0]["yellow_transition"] == 0
+    table = D.model_table(win.where("window_size_sec = 1"))
+    assert {r["segment"] for r in table.where("Id = 'C02'").select("segment").collect()} <= {1, 2, 3, None}
+    assert table.where("TTC_imputed > 6").count() == 0
+
+
+def test_validation_report(spark, written):
+    rows = {r["check_id"]: r for r in V.report(spark.read.parquet(written[0])).collect()}
+    assert len(rows) == len(V.checks()) + 10
+    bad = {k for k, r in rows.items() if r["status"] == "FAIL"}
+    assert bad == set(), {k: (rows[k]["n_rows_failed"], rows[k]["example_failing_rows"]) for k in bad}
+    assert rows["Speed.range"]["n_rows_checked"] == 802 and rows["BaseEvent.recomputed"]["status"] == "PASS"

@@ -190,3 +190,16 @@ def test_cross_validation_and_trees(spark):
         assert ST.roc_auc(M.classifier_scores(fit, df, ["a", "b"]), "score", "feedback_next").first()["auc"] > 0.9
     effect = M.partial_effect(df, M.logistic(df, ["a", "b"], "feedback_next"), "a", ["b"], points=5).orderBy("a").collect()
     assert [e["score"] for e in effect] == sorted(e["score"] for e in effect)
+
+
+def test_constant_data_gives_nulls_and_no_error(spark):
+    df = spark.createDataFrame([("k", float(i), 1.0, 0) for i in range(4)], "k string, x double, c double, y int")
+    assert ST.pearson(df, "x", "c").first()["r"] is None
+    assert ST.ols(df, "c", "x").first()["slope"] is None
+    assert ST.roc_auc(df, "x", "y").first()["auc"] is None
+    assert ST.mann_whitney(df, "x", "y").first()["z"] is None
+    assert ST.best_threshold(df, "x", "y").first()["f1"] is None
+    assert {r["f_value"] for r in ST.anova_f(df, ["x", "c"], "y").collect()} == {None}
+    assert SV.log_rank(df, "x", "y", "y").first()["chi2"] is None
+    assert {r["density"] for r in ST.density(df, "c", 0.0, 2.0, 3).collect()} == {None}
+    assert ST.pearson(df.withColumn("z", 2 * F.col("x")), "x", "z").first()["r"] == pytest.approx(1.0)
