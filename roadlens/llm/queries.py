@@ -1,6 +1,6 @@
 """All queries of this subpackage and their SQL twins."""
 
-from roadlens.llm import bpe_codec, matroska, token_counts  # noqa: F401
+from roadlens.llm import bpe_codec, language_cnn, matroska, token_counts  # noqa: F401
 from roadlens.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
