@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import ids_of, map_slices, query, slices, table, texts_of
+from roadlens.llm.common import ids_of, map_slices, query, slices, stored, table, texts_of
 from roadlens.llm.word_bpe import Vocabulary, chunks, encode_chunks
 
 #: Words in the lexicon at most (a few MB as an automaton, whatever the corpus); the longest word it takes.
@@ -155,12 +155,21 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", size: int = LEXICON) -> Lexicon:
-    """The ``size`` most frequent words of the corpus (ties by text) with their ids.
+    """The most frequent words of the corpus, at most ``size``, with their ids.
 
-    Only these reach the driver; the bound does not depend on the corpus. It decides what is looked up and
-    what is merged, never what comes out.
+    A histogram of the counts in steps of a sixteenth of a power of two (some hundred rows) gives the least count
+    that leaves no more than ``size`` words; only these reach the driver. The bound does not depend on the
+    corpus. It decides what is looked up and what is merged, never what comes out.
     """
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = stored(word_counts(docs, text_col).where("n > 1"), "words")
+    step = F.floor(F.log2("n") * 16).cast("int")
+    held, least = 0, 1 << 30
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        held += r["count"]
+        if held > size:
+            break
+        least = r["step"]
+    top = counts.where(step >= least).collect()
     words: dict[bytes, np.ndarray] = {}
     for batch, ids, ends in encode_chunks(vocabulary, [r.word for r in top if not any(s in r.word for s in vocabulary.special)]):
         words.update((c.encode(), ids[a:b]) for c, a, b in zip(batch, ends[:-1], ends[1:]))
