@@ -24,7 +24,7 @@ from roadlens.llm.word_bpe import Vocabulary, chunks, encode_chunks
 #: Words in the lexicon at most (a few MB as an automaton, whatever the corpus); the longest word it takes.
 LEXICON, LONGEST = 1 << 16, 64
 #: Words a worker remembers between texts.
-KEPT = 1 << 18
+KEPT = 1 << 19
 
 
 class Lexicon:

@@ -13,6 +13,7 @@ import regex
 #: Fixed values of the vocabulary file: its pre-token pattern, and white space of str.split() that the pattern takes as text.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 CONTROL_SPACE = "\x1c\x1d\x1e\x1f"
+MARKS = ".,;:!?)|\""
 
 NO_RANK = np.int32(2**31 - 1)
 
@@ -118,8 +119,12 @@ def chunks(text: str) -> list[str]:
 
 def pieces(chunk: str) -> list[bytes]:
     """Pre-tokens of a chunk: composed form, lower case character by character, cut by the pattern."""
-    chunk = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-    return [p.encode() for p in PIECE.findall(chunk.lower())]
+    chunk = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")).lower()
+    if chunk.isalpha():  # most chunks: letters only, or letters and one mark
+        return [chunk.encode()]
+    if chunk[-1] in MARKS and chunk[:-1].isalpha():
+        return [chunk[:-1].encode(), chunk[-1:].encode()]
+    return [p.encode() for p in PIECE.findall(chunk)]
 
 
 def encode_chunks(vocabulary: Vocabulary, new: Iterable[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
