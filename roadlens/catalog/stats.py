@@ -155,10 +155,9 @@ def histogram(spark, sf):
 
 @query(
     "density",
-    f"""WITH {_RET_SQL}, s AS (SELECT y, count(*) AS n, stddev_samp(score) * pow(count(*), -0.2) AS h, min(score) AS lo, (max(score) - min(score)) / 1000 AS w FROM r GROUP BY y),
-c AS (SELECT r.y, n, h, floor((score - lo) / w) AS c, count(*) AS m, avg(score) AS v FROM r JOIN s USING (y) GROUP BY r.y, n, h, floor((score - lo) / w)),
+    f"""WITH {_RET_SQL}, s AS (SELECT y, count(*) AS n, stddev_samp(score) * pow(count(*), -0.2) AS h FROM r GROUP BY y),
 x AS (SELECT unnest(generate_series(0, 20)) * 5000.0 AS x)
-SELECT y, CAST(x AS DOUBLE) AS x, round(sum(m * exp(-((x - v) / h) * ((x - v) / h) / 2) / (h * sqrt(2 * pi()))) / n * 1000, 8) AS density FROM c, x GROUP BY y, x, n""",
+SELECT y, CAST(x AS DOUBLE) AS x, round(sum(exp(-((x - score) / h) * ((x - score) / h) / 2) / (h * sqrt(2 * pi()))) / n * 1000, 8) AS density FROM r JOIN s USING (y), x GROUP BY y, x, n""",
 )
 def density(spark, sf):
     out = ST.density(_returns(spark, sf), "score", 0.0, 100000.0, 21, keys=["y"])

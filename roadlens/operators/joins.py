@@ -11,19 +11,13 @@ from pyspark.sql import functions as F
 from roadlens.operators import scan as S
 
 
-SALTS = 32
+def lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with per-key values, at most one row per key.
 
-
-def lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join rows with per-key values such that one hot key never fills one task.
-
-    The input partition number salts the rows, and every per-key row is copied
-    to each salt. Copies of one row spread as well, and a repeated task salts
-    its rows as before. Spark still broadcasts ``small`` where its measured size allows.
+    A plain equi-join: Spark broadcasts ``small`` where its measured size allows, and otherwise splits the
+    partitions that it measures to be skewed, so a hot key does not fill one task and nothing is copied beforehand.
     """
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return df.join(small, list(keys), how)
 
 
 def asof_join(
@@ -111,54 +105,58 @@ def nearest_row(
     *,
     exclude: Sequence[str] = (),
     adjacent: bool = False,
+    chunk_bits: int = S.CHUNK_BITS,
 ) -> DataFrame:
-    """For each (few) target the ``_seq`` of the frame closest in time.
+    """For each target the ``_seq`` of the frame closest in time.
 
-    ``frames`` is a sequenced table in time order. A tie goes to the earlier
-    frame; with ``adjacent`` several frames of one earlier time give the last of
+    A tie goes to the earlier frame; with ``adjacent`` several frames of one earlier time give the last of
     them, the one next to the target. ``exclude`` names target columns with ``_seq`` values not to be used.
-    Chunk bounds serve as an index: only chunks that can hold the nearest frame
-    are joined, and the frames themselves are never shuffled unless the targets
-    are too many to broadcast. Targets of keys without frames are dropped.
+    Targets are the left side of an as-of scan: targets and frame times are put into one order and scanned once,
+    so the cost is a sort of n + m narrow rows, whatever the trip sizes. With e excluded frames, a time carries the
+    e + 1 frames next to it on either side, which always hold the answer. Targets of keys without frames are dropped.
     """
     keys = list(keys)
-    ids = targets.columns
-    bounds = (
-        frames.where(F.col(at).isNotNull())
-        .groupBy(*keys, S.CHUNK)
-        .agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    )
-    t = F.col(target_at)
-    w = Window.partitionBy(*ids)
-    # every chunk owns a row at distance _reach, so with e excluded rows the
-    # (e + 1)-th smallest reach bounds the answer from above
-    nth = F.when(F.col("_rank") == len(exclude) + 1, F.col("_reach"))
-    chunks = (
-        targets.where(t.isNotNull())
-        .distinct()
-        .join(bounds, keys)
-        .withColumn("_reach", F.least(F.abs(t - F.col("_lo")), F.abs(t - F.col("_hi"))))
-        .withColumn("_floor", F.greatest(F.col("_lo") - t, t - F.col("_hi"), F.lit(0.0)))
-        .withColumn("_rank", F.row_number().over(w.orderBy("_reach", S.CHUNK)))
-        .withColumn("_best", F.coalesce(F.min(nth).over(w), F.lit(float("inf"))))
-        .where(F.col("_floor") <= F.col("_best"))
-        .select(*ids, S.CHUNK)
-    )
-    earlier = F.col("_frame_at") < t
-    place = F.when(earlier, -F.col(S.SEQ)).otherwise(F.col(S.SEQ)) if adjacent else F.col(S.SEQ)
-    rank = F.struct(
-        F.abs(F.col("_frame_at") - t).alias("gap"), (~earlier).alias("later"), place.alias("place"),
-        F.col(S.SEQ).alias("seq"),
-    )
-    return (
-        frames.select(*keys, S.CHUNK, S.SEQ, F.col(at).alias("_frame_at"))
-        .where(F.col("_frame_at").isNotNull())
-        .join(chunks, [*keys, S.CHUNK])
-        .where(reduce(lambda a, b: a & b, [~F.col(S.SEQ).eqNullSafe(F.col(x)) for x in exclude], F.lit(True)))
-        .groupBy(*ids)
-        .agg(F.min(rank).alias("_hit"))
-        .select(*ids, F.col("_hit.seq").alias(S.SEQ))
-    )
+    ids, need = targets.columns, len(exclude) + 1
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    rows = frames.where(known & F.col(at).isNotNull()).select(*keys, F.col(at).cast("double").alias("_t"), F.col(S.SEQ).alias("_row"))
+
+    def first(order: Column) -> Column:
+        return F.row_number().over(Window.partitionBy(*keys, "_t").orderBy(order))
+
+    frame = F.struct(F.col("_t").alias("t"), F.col("_row").alias("row"))
+    if need == 1:
+        times = rows.groupBy(*keys, "_t").agg(F.array(F.min(frame)).alias("_next"), F.array((F.max if adjacent else F.min)(frame)).alias("_prev"))
+    else:
+        down = F.col("_row").desc() if adjacent else F.col("_row")
+        few = rows.withColumns({"_a": first(F.col("_row")), "_z": first(down)}).where((F.col("_a") <= need) | (F.col("_z") <= need))
+        gather = lambda c: F.collect_list(F.when(F.col(c) <= need, frame))  # noqa: E731  at most ``need`` frames
+        times = S.sequence(few.groupBy(*keys, "_t").agg(gather("_a").alias("_next"), gather("_z").alias("_prev")), keys, ["_t"], chunk_bits)
+        for _ in exclude:  # each pass hands the lists on by one more time
+            times = S.scan(times, keys, _before=S.lag("_prev"), _after=S.lead("_next"))
+            times = times.withColumns({
+                "_prev": F.array_distinct(F.concat("_prev", F.coalesce("_before", F.slice("_prev", 1, 0)))),
+                "_next": F.array_distinct(F.concat("_next", F.coalesce("_after", F.slice("_next", 1, 0)))),
+            }).drop("_before", "_after")
+        times = times.drop(S.SEQ, S.CHUNK)
+    asked = targets.where(known & F.col(target_at).isNotNull()).distinct()
+    marked = asked.select(*[F.col(c) if c in keys else F.col(c).alias(f"_id_{c}") for c in ids], F.col(target_at).cast("double").alias("_t"), F.lit(0).alias("_side"))
+    # a target stands before the frames of its own time: what lies behind it is strictly earlier
+    both = marked.unionByName(times.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    seq = S.sequence(both, keys, ["_t", "_side"], chunk_bits)
+    found = S.scan(seq, keys, _prev=S.last_known("_prev"), _next=S.next_known("_next")).where("_side = 0")
+    t = F.col("_t")
+
+    def ranked(side: str, later: int) -> Column:
+        place = (lambda f: -f["row"]) if adjacent and not later else (lambda f: f["row"])
+        return F.coalesce(
+            F.transform(side, lambda f: F.struct(F.abs(f["t"] - t).alias("gap"), F.lit(later).alias("later"), place(f).alias("place"), f["row"].alias("seq"))),
+            F.array().cast("array<struct<gap:double,later:int,place:bigint,seq:bigint>>"),
+        )
+
+    choice = F.concat(ranked("_prev", 0), ranked("_next", 1))
+    out = found.select(*[F.col(c) if c in keys else F.col(f"_id_{c}").alias(c) for c in ids], choice.alias("_choice"))
+    free = F.filter("_choice", lambda f: reduce(lambda a, b: a & b, [~f["seq"].eqNullSafe(F.col(x)) for x in exclude], F.lit(True)))
+    return out.select(*ids, F.array_min(free)["seq"].alias(S.SEQ)).where(F.col(S.SEQ).isNotNull())
 
 
 def bucket_width(intervals: DataFrame, start: str, end: str, share: float = 0.95) -> float:

@@ -20,22 +20,25 @@ def exact_quantiles(
     """One row per key with linearly interpolated quantiles of the non-null values.
 
     The built-in exact percentile keeps every distinct value of a group in one
-    buffer. Here the values are sorted across tasks, positions are counted, and
-    only the rows at the wanted positions are kept.
+    buffer. Here equal values are first counted, so that a value most rows have is one row; the distinct
+    values are sorted across tasks, the rows below each are summed, and only the values at the wanted positions are kept.
     """
     keys = list(keys)
     group = keys or ["_all"]
     narrow = df.select(*keys, S.as_col(value).cast("double").alias("_v")).where("_v is not null")
     if not keys:
         narrow = narrow.withColumn("_all", F.lit(1))
-    seq = S.sequence(narrow, group, ["_v"], chunk_bits)
-    ranked = S.scan(seq, group, _i=S.running_count(F.lit(1), inclusive=False), _n=S.total_count(F.lit(1)))
+    counts = narrow.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    seq = S.sequence(counts, group, ["_v"], chunk_bits)
+    ranked = S.scan(seq, group, _below=S.running_sum("_c", inclusive=False), _n=S.total_sum("_c"))
+    below = F.coalesce("_below", F.lit(0))
     aggs = []
     for name, q in probs.items():
         spot = (F.col("_n") - 1) * F.lit(float(q))
         lo, hi = F.floor(spot), F.ceil(spot)
-        low = F.max(F.when(F.col("_i") == lo, F.col("_v")))
-        high = F.max(F.when(F.col("_i") == hi, F.col("_v")))
+        at = lambda place: (place >= below) & (place < below + F.col("_c"))
+        low = F.max(F.when(at(lo), F.col("_v")))
+        high = F.max(F.when(at(hi), F.col("_v")))
         part = F.max(spot - lo)
         aggs.append((low + (high - low) * part).alias(name))
     out = ranked.groupBy(*group).agg(*aggs)

@@ -80,7 +80,7 @@ def _relative(path: Column, root: str) -> Column:
     plain = F.regexp_replace(path, r"^[a-zA-Z0-9]+:/+", "/")
     slashed = F.translate(plain, "\\", "/")
     stem = root.split(":", 1)[-1].replace("//", "/").rstrip("/") + "/"
-    return F.when(slashed.startswith(stem), F.substring(slashed, len(stem) + 1, 1 << 20)).otherwise(slashed)
+    return F.when(slashed.startswith(stem), F.substr(slashed, F.lit(len(stem) + 1))).otherwise(slashed)
 
 
 def read_records(
