@@ -119,15 +119,19 @@ def vector_magnitude(spark, sf):
 
 @query(
     "numeric_coercion",
-    """SELECT doc_id, TRY_CAST(split_part(text, ' ', 1) AS DOUBLE) AS first_word, TRY_CAST(lang AS DOUBLE) AS lang_number, CAST(n_chars AS DOUBLE) AS chars FROM documents""",
+    """WITH w AS (SELECT doc_id, TRY_CAST(unnest(string_split(text, ' ')) AS DOUBLE) AS x FROM documents),
+n AS (SELECT doc_id, count(*) AS words, count(x) AS numbers, min(x) AS least, max(x) AS largest FROM (SELECT doc_id, CASE WHEN isfinite(x) THEN x END AS x FROM w) GROUP BY doc_id)
+SELECT doc_id, words, numbers, least, largest, TRY_CAST(lang AS DOUBLE) AS lang_number, CAST(n_chars AS DOUBLE) AS chars FROM documents LEFT JOIN n USING (doc_id)""",
 )
 def numeric_coercion(spark, sf):
-    """Text read as numbers; anything else becomes null."""
+    """Every word of a text read as a number; anything else becomes null."""
     d = D.table(spark, sf, "documents")
-    return d.select(
-        "doc_id", N.number(F.split_part("text", F.lit(" "), F.lit(1))).alias("first_word"), N.number(F.col("lang")).alias("lang_number"),
-        N.number(F.col("n_chars").cast("string")).alias("chars"),
+    words = d.select("doc_id", F.explode(F.split("text", " ")).alias("word")).select("doc_id", N.number(F.col("word")).alias("x"))
+    numbers = words.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("words"), F.count("x").alias("numbers"), F.min("x").alias("least"), F.max("x").alias("largest")
     )
+    whole = d.select("doc_id", N.number(F.col("lang")).alias("lang_number"), N.number(F.col("n_chars").cast("string")).alias("chars"))
+    return whole.join(numbers, "doc_id", "left")
 
 
 @query(

@@ -31,9 +31,9 @@ def grid_auc(spark, sf):
 def logistic_documents(spark, sf):
     """Toxic documents by length: coefficient, odds ratio and p of a plain logit."""
     o = D.outcome(spark, sf).withColumn("log_length", F.log1p("score"))
-    terms = M.logistic(o, ["log_length"], "y", balanced=False, penalty=0.0)[0]["terms"]
-    rows = [(t["feature"], t["coef"], t["odds_ratio"], t["ci_lower"], t["ci_upper"], t["p"]) for t in terms]
-    return spark.createDataFrame(rows, "feature string, coef double, odds_ratio double, ci_lower double, ci_upper double, p double")
+    fit = M.logistic(o, ["log_length"], "y", balanced=False, penalty=0.0)[0]
+    rows = [(t["feature"], t["coef"], t["odds_ratio"], t["ci_lower"], t["ci_upper"], t["p"], fit["converged"]) for t in fit["terms"]]
+    return spark.createDataFrame(rows, "feature string, coef double, odds_ratio double, ci_lower double, ci_upper double, p double, converged boolean")
 
 
 @query("cross_validation")
@@ -46,14 +46,14 @@ def cross_validation(spark, sf):
 def boosted_trees(spark, sf):
     """Importances and training AUC of boosted trees."""
     data = _merged(spark, sf)
-    model = M.fit_classifier("boost", data, _FEATURES, "feedback_next", rounds=10)
+    model = M.fit_classifier("boost", data, _FEATURES, "feedback_next", rounds=50)
     auc = ST.roc_auc(M.classifier_scores(model, data, _FEATURES), "score", "feedback_next").first()["auc"]
     return spark.createDataFrame([(f, v, auc) for f, v in M.importances(model, _FEATURES)], "feature string, importance double, auc double")
 
 
 @query("smote_orders")
 def smote_orders(spark, sf):
-    """Class sizes of returned items before and after oversampling."""
+    """Class sizes of orders in part delivery before and after oversampling."""
     li = D.table(spark, sf, "orders").select(
         (F.col("o_totalprice") / 100000).alias("price"), (F.col("o_custkey") / 1000).alias("cust"), (F.col("o_orderstatus") == "P").cast("int").alias("y")
     )

@@ -128,21 +128,21 @@ def n_row_windows(spark, sf):
 _CELLS_SQL = f"""{V.DRIVE_SQL},
 d AS (SELECT event_id, CAST(window_index AS DOUBLE) AS s, Speed_mean, least(coalesce(TTC_min, 999), 6) AS ttc, hit FROM win),
 sp AS (SELECT event_id, min(s) AS s0, max(s) + 1 AS s1 FROM d GROUP BY event_id),
-wr AS (SELECT d.*, s0, s1, w.w, CAST(floor((s - s0) / w.w) AS BIGINT) AS k FROM d JOIN sp USING (event_id), (VALUES (1),(2),(3)) w(w)),
+wr AS (SELECT d.*, s0, s1, w.w, CAST(floor((s - s0) / w.w) AS BIGINT) AS k FROM d JOIN sp USING (event_id), (VALUES (1),(2),(3),(4),(5)) w(w)),
 cw AS (SELECT event_id, w, k, s0, min(ttc) AS TTC_min, avg(Speed_mean) AS Speed_mean FROM wr WHERE s0 + (k + 1) * w <= s1 GROUP BY event_id, w, k, s0),
 cells AS (SELECT c.event_id, c.w AS win, h.h AS horizon, c.k AS window_no, TTC_min, Speed_mean,
   CAST(EXISTS (SELECT 1 FROM d WHERE d.event_id = c.event_id AND d.hit = 1 AND d.s >= c.s0 + (c.k + 1) * c.w
-     AND d.s < c.s0 + (c.k + 1) * c.w + h.h) AS INTEGER) AS target FROM cw c, (VALUES (1),(3)) h(h))"""
+     AND d.s < c.s0 + (c.k + 1) * c.w + h.h) AS INTEGER) AS target FROM cw c, (VALUES (1),(2),(3),(4),(5)) h(h))"""
 
 
 def cells(spark, sf):
-    """Grid cells: sizes 1-3 and horizons 1 and 3, in days."""
+    """Grid cells: sizes and horizons 1-5, in days."""
     d = V.windows(spark, sf).select(
         "event_id", F.col("window_index").cast("double").alias("s"), "Speed_mean",
         F.least(F.coalesce("TTC_min", F.lit(W.TTC_FILL)), F.lit(W.TTC_CEILING)).alias("ttc"), "hit",
     )
     return W.horizon_windows(
-        materialize(d, "days"), sizes=[1, 2, 3], horizons=[1, 3], at="s", hit="hit",
+        materialize(d, "days"), sizes=[1, 2, 3, 4, 5], horizons=[1, 2, 3, 4, 5], at="s", hit="hit",
         features={"TTC_min": ("ttc", "min"), "Speed_mean": ("Speed_mean", "mean")},
     )
 

@@ -50,7 +50,8 @@ def logistic(
 
     ``penalty=0, balanced=False`` is the plain maximum-likelihood fit with
     meaningful standard errors. Keys with fewer than ``min_class`` rows of a
-    class are reported without coefficients.
+    class are reported without coefficients. ``converged`` tells whether the steps came below ``tol``
+    within ``max_iter`` of them; perfectly separable data never do.
     """
     k = len(features) + 1
     g = F.col(key).cast("string") if key else F.lit("all")
@@ -87,7 +88,7 @@ def logistic(
                 live.discard(c)
     out = []
     for c, (n, p) in sorted(counts.items()):
-        fit: dict = {"key": c, "n": n, "positives": p, "terms": []}
+        fit: dict = {"key": c, "n": n, "positives": p, "terms": [], "converged": c in fitted and c not in live}
         if c in fitted:
             cov = np.linalg.pinv(hess[c])
             for i, name in enumerate(["intercept", *features]):
@@ -148,16 +149,16 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def classifier(kind: str, *, seed: int = 42, c: float = 1.0, rows: int = 1, rounds: int = 100):
-    """Estimator with the weight column: l1, forest, boost or svm (linear kernel)."""
+    """Estimator with the weight column: l1, forest, boost or svm (linear kernel). The linear ones run until they converge."""
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if kind == "l1":
-        return MC.LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * rows), standardization=False, maxIter=200, **common)
+        return MC.LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * rows), standardization=False, maxIter=10_000, **common)
     if kind == "forest":
         return MC.RandomForestClassifier(numTrees=rounds, seed=seed, **common)
     if kind == "boost":
         return MC.GBTClassifier(maxIter=rounds, seed=seed, **common)
     if kind == "svm":
-        return MC.LinearSVC(regParam=1.0 / (c * rows), maxIter=200, **common)
+        return MC.LinearSVC(regParam=1.0 / (c * rows), maxIter=10_000, **common)
     raise ValueError(f"unknown classifier {kind!r}")
 
 

@@ -185,12 +185,12 @@ def check_bounding_box(df: DataFrame, column: str, low: float = 0.01, high: floa
     return one.select(*_row(column, f"{column}.box", "semantic", F.col("n"), F.col("bad"), "WARN", F.lit(f"{a:.6g} .. {b:.6g}")))
 
 
-def check_monotone(df: DataFrame, keys: Sequence[str], column: str, tolerance: float = 0.0) -> DataFrame:
+def check_monotone(df: DataFrame, keys: Sequence[str], column: str, tolerance: float = 0.0, bad: str = "FAIL") -> DataFrame:
     """Steps below ``tolerance`` within a trip; ``df`` is sequenced by the keys."""
     steps = S.scan(df, keys, _prev=S.lag(column))
     step = F.col(column) - F.col("_prev")
     one = steps.agg(F.count(step).alias("n"), F.count_if(step < tolerance).alias("bad"))
-    return one.select(*_row(column, f"{column}.monotone", "semantic", F.col("n"), F.col("bad"), "FAIL", F.lit("")))
+    return one.select(*_row(column, f"{column}.monotone", "semantic", F.col("n"), F.col("bad"), bad, F.lit("")))
 
 
 def check_phase_order(df: DataFrame, keys: Sequence[str], column: str, order: Sequence[str]) -> DataFrame:

@@ -251,7 +251,7 @@ def _cox_groups(df, groups, start, stop, event, penalizer, l1_ratio, max_iter, t
             z = b / se if se > 0 else 0.0
             p = math.erfc(abs(z) / math.sqrt(2))
             lo, hi = b - 1.959963984540054 * se, b + 1.959963984540054 * se
-            fit.append({"feature": f, "coef": b, "se": se, "hr": math.exp(b), "ci_lower": math.exp(lo), "ci_upper": math.exp(hi), "p": p, "significant": p < 0.05})
+            fit.append({"feature": f, "coef": b, "se": se, "hr": math.exp(b), "ci_lower": math.exp(lo), "ci_upper": math.exp(hi), "p": p, "significant": p < 0.05, "converged": i not in live})
         out.append(fit)
     return out
 
@@ -260,14 +260,14 @@ def _soft_step(beta: np.ndarray, grad: np.ndarray, h: np.ndarray, l1: float) ->
     """Minimise the quadratic model plus the L1 term by coordinate steps (k numbers)."""
     target = h @ beta + grad
     b = beta.copy()
-    for _ in range(200):
+    for _ in range(100_000):
         old = b.copy()
         for i in range(len(b)):
             rest = target[i] - h[i] @ b + h[i, i] * b[i]
             b[i] = math.copysign(max(abs(rest) - l1, 0.0), rest) / h[i, i] if h[i, i] > 0 else 0.0
-        if np.max(np.abs(b - old)) < 1e-12:
-            break
-    return b
+        if np.max(np.abs(b - old)) <= 1e-12 * max(1.0, np.max(np.abs(b))):
+            return b
+    raise ArithmeticError("the coordinate steps of the penalised model do not converge")
 
 
 def log_hazard(df: DataFrame, fit: Sequence[dict], out: str = "log_hazard") -> DataFrame:

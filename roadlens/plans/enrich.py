@@ -151,12 +151,16 @@ def run(
     done: DataFrame | None = None,
     **paths: str,
 ) -> None:
-    """Read, enrich and append all trips that the output does not hold yet."""
+    """Read, enrich and append all trips that the output does not hold yet.
+
+    The trips of ``output`` itself count as done; ``done`` names further ones.
+    """
     good, rejected = logs.split_manifest(
         logs.read_manifest(spark, manifest_csv), only_ids=only_ids, only_condition=only_condition
     )
-    todo = good if done is None else logs.pending(good, done)
-    todo = materialize(todo, "manifest")
+    for held in (sinks.finished(spark, output), done):
+        good = good if held is None else logs.pending(good, held)
+    todo = materialize(good, "manifest")
     inputs = read_inputs(spark, manifest=todo, **paths)
     result = materialize(enrich(inputs), "result")
     sinks.append_frames(result, output)

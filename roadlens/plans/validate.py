@@ -43,9 +43,8 @@ def checks() -> list[Q.Check]:
         Q.check_range("distance_from_relevant_object", 0),
         Q.check_range("time_since_event_start_world", 0),
         Q.check_range("gap_acceptance", 0),
-        Q.check_range("time_to_collision", 0, MAX_TTC_S, bad="WARN"),
-        Q.check_near_zero("Latitude", 1e-6, bad="WARN"),
-        Q.check_near_zero("Longitude", 1e-6, bad="WARN"),
+        Q.check_range("time_to_collision", 0, MAX_TTC_S),
+        Q.check_near_zero("Speed", 1e-6, bad="WARN"),
         Q.check_iff("distance_from_relevant_object", "relevant_object_name"),
         Q.check_iff("time_to_collision", "ttc_object_name"),
         Q.check_implies("speaker", "text", bad="WARN"),
@@ -64,14 +63,17 @@ def checks() -> list[Q.Check]:
 def report(frames: DataFrame) -> DataFrame:
     """All report rows of a frame table, ordered by column."""
     seq = S.sequence(frames, TRIP, ["SimulationTime", "FrameID"])
-    runs = [*TRIP, "BaseEvent"]
+    by_frame = S.sequence(frames.select(*TRIP, "FrameID", "SimulationTime"), TRIP, ["FrameID"])
     return Q.report(
         Q.run_checks(seq, checks(), S.SEQ),
         Q.check_rows_per_group(seq, "Id"),
-        Q.check_monotone(seq, TRIP, "FrameID"),
-        Q.check_phase_order(seq, runs, "TrafficLight_JunctionPhase", JUNCTION_PHASES),
+        Q.check_monotone(seq, TRIP, "FrameID", bad="WARN"),
+        Q.check_monotone(by_frame, TRIP, "SimulationTime"),
+        Q.check_phase_order(seq, TRIP, "TrafficLight_JunctionPhase", JUNCTION_PHASES),
         Q.check_bounding_box(seq, "Latitude"),
         Q.check_bounding_box(seq, "Longitude"),
+        Q.check_bounding_box(seq, "PositionX"),
+        Q.check_bounding_box(seq, "PositionY"),
         Q.check_unique(seq, [*TRIP, "FrameID"]),
         Q.check_single_value(seq, TRIP, "transcript_type"),
         Q.check_presence(seq, "Condition", "Pedestrian", "crossing"),

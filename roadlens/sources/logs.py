@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,7 +67,10 @@ def split_manifest(
         F.when(no_ego, "KinematicFile").otherwise("GPSFile").alias("FailedStep"),
         F.lit("missing file name").alias("ErrorMessage"),
     )
-    good = wanted.where(~no_ego & ~no_objects).dropDuplicates(TRIP)
+    # of several rows of one trip the first in file order counts
+    placed = wanted.where(~no_ego & ~no_objects).withColumn("_ord", F.monotonically_increasing_id())
+    whole = F.struct(*[F.col(f"`{c}`") for c in manifest.columns])
+    good = placed.groupBy(*TRIP).agg(F.min_by(whole, "_ord").alias("_row")).select("_row.*")
     return good, failures
 
 
@@ -84,15 +88,19 @@ def _relative(path: Column, root: str) -> Column:
 
 
 def read_records(
-    spark: SparkSession, root: str, record: T.StructType, trips: DataFrame, file_column: str, glob: str = "*.json"
+    spark: SparkSession, root: str, record: T.StructType, trips: DataFrame, file_column: str
 ) -> DataFrame:
     """Log records of all trips: trip keys, ``ord`` and the record's fields.
 
     A file holds ``{"Logs": [...]}`` or a plain array. Unreadable files give no
-    records. Files that the trips do not name are dropped.
+    records. Only files with a name that some trip gives are opened; of those, files in other folders than the trips
+    name are dropped. The driver holds one file name per trip, as its file listing does.
     """
     schema = T.StructType([*record.fields, T.StructField("Logs", T.ArrayType(record))])
-    raw = spark.read.json(root, schema=schema, multiLine=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    base = F.substring_index(F.translate(F.col(file_column), "\\", "/"), "/", -1)
+    names = sorted(r[0] for r in trips.where(F.col(file_column).isNotNull()).select(base).distinct().collect())
+    escaped = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", n) for n in names]
+    raw = spark.read.json(root, schema=schema, multiLine=True, recursiveFileLookup=True, pathGlobFilter="{" + ",".join(escaped or ["(no file)"]) + "}")
     # file_path is URL-encoded; a plus sign in it is literal
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     lines = raw.select(

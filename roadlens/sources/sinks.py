@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlens import schema as C
+from roadlens.session import materialize
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -27,10 +29,30 @@ def append_frames(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def finished(spark: SparkSession, output: str) -> DataFrame | None:
+    """Trips that the output holds, or None where there is none yet."""
+    table = existing(spark, output)
+    return None if table is None else table.select(*[F.col(c).cast("string").alias(c) for c in ("Id", "Condition", "Map")])
+
+
 def append_failures(df: DataFrame, path: str) -> None:
+    """Append failures that the table does not hold yet, so a repeated batch adds nothing."""
     have = set(df.columns)
     cols = [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) if c in have else F.lit("").alias(c) for c in C.FAILURES.names]
-    df.select(*cols).write.mode("append").parquet(path)
+    rows, before = df.select(*cols), existing(df.sparkSession, path)
+    if before is not None:
+        rows = rows.join(before.select(*C.FAILURES.names).distinct(), C.FAILURES.names, "left_anti").select(*C.FAILURES.names)
+    materialize(rows, "failures").write.mode("append").parquet(path)
 
 
 def combine_sizes(tables: Mapping[float, DataFrame]) -> DataFrame:

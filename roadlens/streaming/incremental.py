@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadlens.plans import enrich
@@ -24,7 +23,7 @@ def run_available(spark: SparkSession, manifest_dir: str, output: str, failed: s
 
     def batch(rows: DataFrame, _: int) -> None:
         good, rejected = logs.split_manifest(rows)
-        done = _existing(spark, output)
+        done = sinks.finished(spark, output)
         todo = materialize(good if done is None else logs.pending(good, done), "manifest")
         result = materialize(enrich.enrich(enrich.read_inputs(spark, manifest=todo, **paths)), "result")
         sinks.append_frames(result, output)
@@ -35,12 +34,3 @@ def run_available(spark: SparkSession, manifest_dir: str, output: str, failed: s
         stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-
-
-def _existing(spark: SparkSession, output: str) -> DataFrame | None:
-    """Trips of the output so far, or nothing if there is none yet."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(output)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    return spark.read.parquet(output).select(*[F.col(c).cast("string").alias(c) for c in logs.TRIP])

@@ -2,6 +2,8 @@
 
 import math
 
+from pathlib import Path
+
 import pytest
 
 from drives import write_drives
@@ -29,6 +31,11 @@ def written(spark, paths, tmp_path_factory):
     folder = tmp_path_factory.mktemp("results")
     out, bad = str(folder / "out"), str(folder / "failed")
     P.run(spark, output=out, failed=bad, **paths)
+    # a second run finds all trips in the output and appends nothing; a broken file that no trip names is never opened
+    before = spark.read.parquet(out).count(), spark.read.parquet(bad).count()
+    Path(paths["ego_root"], "unrelated.json").write_bytes(b"\xff{{{ not json")
+    P.run(spark, output=out, failed=bad, **paths)
+    assert (spark.read.parquet(out).count(), spark.read.parquet(bad).count()) == before
     return out, bad
 
 
@@ -191,7 +198,7 @@ def test_window_dataset(spark, written):
 
 def test_validation_report(spark, written):
     rows = {r["check_id"]: r for r in V.report(spark.read.parquet(written[0])).collect()}
-    assert len(rows) == len(V.checks()) + 10
+    assert len(rows) == len(V.checks()) + 13
     bad = {k for k, r in rows.items() if r["status"] == "FAIL"}
     assert bad == set(), {k: (rows[k]["n_rows_failed"], rows[k]["example_failing_rows"]) for k in bad}
     assert rows["Speed.range"]["n_rows_checked"] == 802 and rows["BaseEvent.recomputed"]["status"] == "PASS"
