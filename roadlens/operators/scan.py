@@ -65,6 +65,8 @@ class Scan:
 class _Windows:
     rows: object  # rows of one (keys, chunk), in order
     chunks: object  # summaries of one key, in order
+    rows_back: object  # the same from the end: a frame that grows is linear, one that shrinks is not
+    chunks_back: object
     head: str = "_head"
     tail: str = "_tail"
 
@@ -106,11 +108,11 @@ def last_known(c: str | Column, inclusive: bool = True) -> Scan:
 def next_known(c: str | Column, inclusive: bool = True) -> Scan:
     """Earliest non-null value from (or strictly after) the row on."""
     c = as_col(c)
-    frm = 0 if inclusive else 1
+    upto = 0 if inclusive else -1
     return Scan(
-        lambda w: F.first(c, ignorenulls=True).over(w.rows.rowsBetween(frm, _END)),
+        lambda w: F.last(c, ignorenulls=True).over(w.rows_back.rowsBetween(_START, upto)),
         lambda: F.min_by(c, F.when(c.isNotNull(), F.col(SEQ))),
-        lambda s, w: F.first(s, ignorenulls=True).over(w.chunks.rowsBetween(1, _END)),
+        lambda s, w: F.last(s, ignorenulls=True).over(w.chunks_back.rowsBetween(_START, -1)),
         lambda local, carry, w: F.coalesce(local, carry),
     )
 
@@ -194,6 +196,8 @@ def scan(df: DataFrame, keys: Sequence[str], **specs: Scan) -> DataFrame:
     w = _Windows(
         Window.partitionBy("_key", CHUNK).orderBy(SEQ),
         Window.partitionBy("_key").orderBy(CHUNK),
+        Window.partitionBy("_key", CHUNK).orderBy(F.col(SEQ).desc()),
+        Window.partitionBy("_key").orderBy(F.col(CHUNK).desc()),
     )
     rows = keyed.select(
         "*",
