@@ -31,6 +31,9 @@ GROWTH, KEPT, BLOCK = 1.5, 1 << 18, 128
 
 _U = np.uint64
 
+#: Sketches compared as one block.
+_TOGETHER = 128
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
@@ -154,7 +157,7 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.ListArray:
 
 
 def shingle_table(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n, k, sketch, sigs`` of each row; ``k`` is a 64-bit key of the whole set.
+    """``doc_id, row, n, k, sketch, sigs`` of each row; ``k`` is a 64-bit key of the whole set, ``row`` a hash of the text.
 
     A task gives sketch and signatures once for each set it meets, so copies cost nothing further on. Rows
     without an id or without words have a null key.
@@ -179,47 +182,47 @@ def shingle_table(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT
                 keys.append(key)
                 sketches.append(sketch(s) if new else None)
                 sigs.append(signatures(s, percent) if new else None)
-            return {"doc_id": ids, "n": n, "k": keys, "sketch": _lists(sketches), "sigs": _lists(sigs)}
+            return {"doc_id": ids, "row": ids_of(part, "row"), "n": n, "k": keys, "sketch": _lists(sketches), "sigs": _lists(sigs)}
 
         return work
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return map_slices(rows, make, "doc_id long, n long, k long, sketch array<long>, sigs array<long>")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("row"))
+    return map_slices(rows, make, "doc_id long, row long, n long, k long, sketch array<long>, sigs array<long>")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Of rows ``sig, k, n`` those whose signature several sets have, with the bucket's first set as ``centre``.
+    """Of rows ``sig, k, n`` those whose signature several sets have, with a ``centre`` for each bucket.
 
-    One shuffle by signature; the sorted rows of a partition pass by once, and no bucket is ever held.
+    One shuffle by signature; the sorted rows of a partition pass by once, and no bucket is ever held. The centre is the
+    set with most shared signatures: an original is nearer to its copies than they are to each other.
     """
 
     def run(batches):
-        last = None  # the only set so far of the bucket that the last batch ended in, or its known centre
+        last = None  # the first set of the bucket that the last batch ended in, while it is the only one
         for batch in batches:
             sig, k, n = (batch.column(i).to_numpy() for i in range(3))
             if not len(sig):
                 continue
-            if last is not None and last["sig"] == sig[0] and not last["told"]:
-                sig, k, n = np.r_[last["sig"], sig], np.r_[last["k"], k], np.r_[last["n"], n]
-            keep = np.r_[True, (sig[1:] != sig[:-1]) | (k[1:] != k[:-1])]
-            if last is not None and last["told"] and last["sig"] == sig[0]:
-                keep &= ~((sig == last["sig"]) & (k == last["last"]))
-            sig, k, n = sig[keep], k[keep], n[keep]
-            if not len(sig):
-                continue
+            begun = last is not None and last[0] == sig[0]
+            if begun:  # the set that came last stands before this batch once more
+                sig, k, n = (np.r_[x, y] for x, y in zip(last[:3], (sig, k, n)))
+            new = np.r_[True, (sig[1:] != sig[:-1]) | (k[1:] != k[:-1])]
+            sig, k, n = sig[new], k[new], n[new]
             start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             size = np.diff(np.r_[start, len(sig)])
-            centre, centre_n = np.repeat(k[start], size), np.repeat(n[start], size)
             several = np.repeat(size > 1, size)
-            if last is not None and last["told"] and last["sig"] == sig[0]:
-                several[: size[0]] = True
-                centre[: size[0]], centre_n[: size[0]] = last["k"], last["n"]
-            told = bool(several[-1])
-            last = {"sig": sig[-1], "k": centre[-1] if told else k[-1], "n": centre_n[-1] if told else n[-1], "told": told, "last": k[-1]}
-            yield pa.RecordBatch.from_arrays([pa.array(a[several]) for a in (sig, k, n, centre, centre_n)], names=["sig", "k", "n", "centre", "centre_n"])
+            told = begun and last[3]
+            if told:
+                several[0] = False  # it was passed on before
+                several[1 : size[0]] = True
+            last = (sig[-1], k[-1], n[-1], bool(several[-1]) or told and len(start) == 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (sig, k, n)], names=["sig", "k", "n"])
 
     dealt = rows.repartition("sig").sortWithinPartitions("sig", "k")
-    return dealt.mapInArrow(run, "sig long, k long, n long, centre long, centre_n long")
+    found = stored(dealt.mapInArrow(run, "sig long, k long, n long"), "shared")
+    counted = found.join(found.groupBy("k").agg(F.count("*").alias("shares")), "k")
+    centres = counted.groupBy("sig").agg(F.max(F.struct("shares", "k", "n")).alias("top")).select("sig", F.col("top.k").alias("centre"), F.col("top.n").alias("centre_n"))
+    return found.join(centres, "sig")
 
 
 def _near_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -245,6 +248,60 @@ def _sifted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_distance(F.col("sa"), F.col("sb")) <= bound).select("a", "b", "doc_a", "doc_b")
 
 
+def _met(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of rows ``sig, k, n, c`` that share a signature, lie in different components and have near sketches.
+
+    A bucket passes by sorted by size, and only the sets that are not too small for the present one are held. Blocks of sketches are
+    compared as arrays: pairs that are not near enough are never rows.
+    """
+
+    def run(batches):
+        held: list[tuple] = []  # (k, n, c, sketch) of the bucket's sets that may still meet a partner
+        bucket = None
+        for batch in batches:
+            sig, k, n, c = (batch.column(i).to_numpy() for i in range(4))
+            ends, words = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy().view(np.uint64)
+            cut = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            found = []
+            for start, stop in zip(cut, np.r_[cut[1:], len(sig)]):
+                if sig[start] != bucket:
+                    bucket, held = sig[start], []
+                for at in range(start, stop, _TOGETHER):
+                    part = slice(at, min(at + _TOGETHER, stop))
+                    least = n[at] * percent
+                    held = [h for h in held if 100 * h[1][-1] >= least]
+                    short = int((ends[at + 1 : part.stop + 1] - ends[part]).min())
+                    fold = np.stack([np.bitwise_xor.reduce(words[ends[i] : ends[i + 1]].reshape(-1, short), axis=0) for i in range(part.start, part.stop)])
+                    held.append((k[part], n[part], c[part], fold))
+                    for other in held:
+                        found += _near(held[-1], other, percent)
+            if found:
+                pairs = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
+
+    dealt = rows.join(classes.select("k", "sketch"), "k").select("sig", "k", "n", "c", "sketch")
+    return dealt.repartition("sig").sortWithinPartitions("sig", "n", "k").mapInArrow(run, "a long, b long").distinct()
+
+
+def _near(new: tuple, old: tuple, percent: int) -> list[np.ndarray]:
+    (ka, na, ca, xa), (kb, nb, cb, xb) = new, old
+    width = min(xa.shape[1], xb.shape[1])
+    xa, xb = (np.bitwise_xor.reduce(x.reshape(len(x), -1, width), axis=1) for x in (xa, xb))
+    apart = np.bitwise_count(xa[:, None] ^ xb[None]).sum(2, dtype=np.int64)
+    both = na[:, None] + nb[None]
+    fits = (apart <= both * (100 - percent) // (100 + percent)) & (ca[:, None] != cb[None]) & (np.minimum(na[:, None], nb[None]) * 100 >= np.maximum(na[:, None], nb[None]) * percent)
+    if ka is kb:
+        fits = np.triu(fits, 1)
+    i, j = np.nonzero(fits)
+    return [np.c_[ka[i], kb[j]]] if len(i) else []
+
+
+def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of sets with one document of each."""
+    left, right = (classes.select(F.col("k").alias(x), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "doc_a", "doc_b")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs ``a, b, doc_a, doc_b`` those ``a, b`` whose whole sets are similar enough.
 
@@ -258,7 +315,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     others = numbered.select("a", "part", "block", F.lit(1).alias("role"), F.col("b").alias("k"), F.col("doc_b").alias("id"))
     asked = first.unionByName(others)
     needed = asked.select("id").distinct()
-    texts = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi").select(F.col("doc_id").alias("_id"), "text")
+    # the ids grow with the corpus, so they are never sent to all tasks
+    texts = docs.join(needed.hint("merge"), docs["doc_id"] == needed["id"], "left_semi").select(F.col("doc_id").alias("_id"), "text")
     rows = asked.join(texts, F.col("id") == F.col("_id")).select("a", "part", "block", "role", "k", "text")
 
     def run(batches):
@@ -284,14 +342,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 
 def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each row: the set's size, and the smallest id reachable by links.
+    """``doc_id, n_shingles, component_id, row`` of each row: the set's size, the smallest id reachable by links, a hash of the text.
 
     Rows with equal sets are linked (similarity 1). A text without words, also a null one, has no shingles and is linked
     with nothing, its component is its own id. Rows with a null id take no part and have a null component. Rows that repeat an id
     are joined each with its own text. An empty table gives an empty result; other columns are not read.
 
     Sets are compared by 64-bit hashes of their shingles. First every bucket's members are compared with its
-    first set. What remains unlinked in a bucket is compared pair by pair, after each set has left out its most frequent buckets;
+    centre. What remains unlinked in a bucket is compared pair by pair, after each set has left out its most frequent buckets;
     members of one component need no comparison.
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -300,7 +358,7 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col:
     classes = stored(per_set, "sets")
     emitted = rows.where("sigs IS NOT NULL").select(F.explode("sigs").alias("sig"), "k", "n")
     hits = stored(_shared(emitted), "hits")
-    stars = hits.where(F.col("k") != F.col("centre")).where(_near_sizes(F.col("n"), F.col("centre_n"), percent)).select(F.col("centre").alias("a"), F.col("k").alias("b")).distinct()
+    stars = hits.where(F.col("k") != F.col("centre")).where(_near_sizes(F.col("n"), F.col("centre_n"), percent)).select(F.least("centre", "k").alias("a"), F.greatest("centre", "k").alias("b")).distinct()
     edges = stored(_verified(stored(_sifted(stars, classes, percent), "pairs"), docs, words, percent), "links")
     groups = components(edges)
 
@@ -311,26 +369,24 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col:
     place = F.row_number().over(Window.partitionBy("k", F.col("sig").bitwiseAND(F.lit(1))).orderBy(F.desc("f"), "sig"))
     skip = F.when(F.col("n") >= first_exact(percent), 2 + F.floor(F.floor(F.col("n") * percent / 100) / 64)).otherwise(0)
     kept = open_.withColumn("place", place).where((F.col("place") > skip) & F.col("mixed") & (F.col("k") != F.col("centre")))
-    x, y = (kept.select("sig", *[F.col(c).alias(c + t) for c in ("k", "n", "c")]) for t in ("a", "b"))
-    pairs = x.join(y, "sig").where("ka < kb AND ca <> cb").where(_near_sizes(F.col("na"), F.col("nb"), percent)).select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
-    more = stored(_sifted(pairs, classes, percent), "pairs")
+    more = stored(_named(_met(kept.select("sig", "k", "n", "c"), classes, percent), classes), "pairs")
     if not more.isEmpty():
         groups = components(edges.unionByName(stored(_verified(more, docs, words, percent), "links")))
 
     known = classes.select("k", F.col("doc_id").alias("own")).join(groups, "k", "left").withColumn("c", F.coalesce("c", "k"))
     least = known.groupBy("c").agg(F.min("own").alias("component_id"))
     of_set = known.join(least, "c").select(F.col("k").alias("_k"), "component_id")
-    out = rows.select("doc_id", "n", "k").join(of_set, F.col("k") == F.col("_k"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "row", "n", "k").join(of_set, F.col("k") == F.col("_k"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row")
 
 
 @query("op8_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).drop("row")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id. Documents without words or id stay."""
+    """One document of each component: the one with the smallest id. Documents without words or id stay, and so do repeated rows of one document."""
     found = join(docs)
-    gone = found.where("n_shingles > 0 AND doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = found.where("n_shingles > 0 AND doc_id > component_id").select(F.col("doc_id").alias("_gone"), F.col("row").alias("_row")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_row"]), "left_anti")
