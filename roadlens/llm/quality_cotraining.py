@@ -23,7 +23,7 @@ _SOURCES, _LANGS, _LENGTHS = 64, 16, 24
 
 def text_view(texts) -> np.ndarray:
     """Features of whole texts: shares of the printable bytes, length, and how much words and lines repeat."""
-    out = np.zeros((len(texts), 95 + 10), np.float32)
+    out = np.zeros((len(texts), 95 + 12), np.float32)
     for i, text in enumerate(texts):
         raw = (text or "").encode()
         if not raw:
@@ -44,7 +44,9 @@ def text_view(texts) -> np.ndarray:
             known / max(1, len(words)),
             len(set(lines)) / len(lines),
             n / max(1, len(words)) / 20,
-            sum(map(eq, words, words[1:])) / max(1, len(words)),
+            repeats := sum(map(eq, words, words[1:])) / max(1, len(words)),
+            np.sqrt(repeats),
+            np.sqrt((counts[33:39].sum() + counts[42:44].sum() + counts[124]) / n),
         )
     return out
 
@@ -94,7 +96,7 @@ class Logistic:
                 if loss <= value or size < 1e-4:
                     break
                 size /= 2
-            if value - loss < 1e-6 * max(1.0, abs(loss)):
+            if not value - loss >= 1e-6 * max(1.0, abs(loss)):  # also where a loss is no number
                 return cls(mean, scale, w[:-1], float(w[-1]))
             w, value = new, loss
 
