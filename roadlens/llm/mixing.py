@@ -9,8 +9,9 @@ from roadlens.llm.common import query, stored, table
 
 #: Margins and the power that tempers their present shares to targets: 1 keeps a share, 0 makes all values equal.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.9}
-#: The fit ends when every margin is within this share of its target.
-TOLERANCE = 1e-10
+#: The fit ends when every margin is within this share of its target, or when the sweeps of a job no longer shrink the
+#: largest gap by a tenth: then the cells that exist cannot meet all targets together.
+TOLERANCE, SHRINK = 1e-10, 0.9
 #: Sweeps in one job, and cells in one task.
 SWEEPS, CELLS = 5, 100_000
 
@@ -48,7 +49,8 @@ def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, tolerance: float =
 
     A target is the margin's present token share to a power, scaled to sum 1. Each sweep scales the weights to one margin
     after the other. ``p`` is weight over token share, divided by its maximum over all cells: documents drawn with it
-    meet the targets in expectation, and the cell most in demand is taken whole. Cells without tokens have weight and p 0.
+    meet the targets in expectation, and the cell most in demand is taken whole. Cells without tokens are left out. Where empty
+    cells make the targets contradict each other, the last margin is met and the others as nearly as the sweeps bring them.
     """
     cells = cells.where("tokens > 0")
     parts = max(1, -(-cells.count() // CELLS))
@@ -59,6 +61,7 @@ def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, tolerance: float =
     if total["all"] is None:
         return cells.select(*temper, "tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("p"))
     w = have.select(*temper, "tokens", (F.col("tokens") / total["all"]).alias("weight"), *[(F.pow(F.col(f"_{d}"), a) / total[d]).alias(f"_{d}") for d, a in temper.items()])
+    before = float("inf")
     while True:
         for _ in range(SWEEPS):
             for d in temper:
@@ -67,8 +70,9 @@ def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, tolerance: float =
         w = stored(w.withColumn("_gap", gap), "raked").coalesce(parts)
         largest = w.agg(F.max("_gap")).first()[0]
         w = w.drop("_gap")
-        if largest <= tolerance:
+        if largest <= tolerance or largest > SHRINK * before:
             break
+        before = largest
     ratio = F.col("weight") / F.col("tokens")
     top = w.agg(F.max(ratio)).first()[0]
     return w.select(*temper, "tokens", "weight", (ratio / top).alias("p"))

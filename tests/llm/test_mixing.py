@@ -22,6 +22,12 @@ def test_margins_meet_their_targets(spark):
             assert sum(r.tokens * r.p for r in out if r[d] == value) / drawn == pytest.approx(s**power / whole, rel=1e-8)
 
 
+def test_contradicting_targets_end(spark):
+    cells = spark.createDataFrame([("a", "x", 90), ("b", "y", 10)], "source string, lang string, tokens long")
+    out = {r.source: r.p for r in m.rake(cells, {"source": 0.0, "lang": 1.0}).collect()}
+    assert out == {"a": 1.0, "b": pytest.approx(1.0)}
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     out = m.mix(docs).collect()
@@ -45,5 +51,5 @@ def test_draws_follow_the_probabilities(spark):
 def test_twin(spark):
     from tests.oracle import compare, connect
 
-    sf_dir = "/root/testdata/sf0.001"
+    sf_dir = "/root/testdata/sf0.01"
     assert compare(m.op10(spark, sf_dir), connect(sf_dir), m._sql()) == ""
