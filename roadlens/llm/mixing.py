@@ -9,9 +9,9 @@ from roadlens.llm.common import query, stored, table
 
 #: Margins and the power that tempers their present shares to targets: 1 keeps a share, 0 makes all values equal.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.9}
-#: The fit ends when every margin is within this share of its target, or when the sweeps of a job no longer shrink the
-#: largest gap by a tenth: then the cells that exist cannot meet all targets together.
-TOLERANCE, SHRINK = 1e-10, 0.9
+#: The fit ends when every margin is within TOLERANCE of its target, or when the weights stand still: when in a job no
+#: weight grows by a share of STILL and none shrinks by that share of its margins.
+TOLERANCE, STILL = 1e-10, 1e-8
 #: Sweeps in one job, and cells in one task.
 SWEEPS, CELLS = 5, 100_000
 
@@ -44,38 +44,58 @@ def draw(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), key)), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
+def _shares(cells: DataFrame, temper: dict[str, float]) -> DataFrame | None:
+    """Cells with their token share as ``weight`` and the targets of their margins as ``_source`` and so on; None without tokens."""
+    have = cells.withColumns({f"_{d}": F.sum("tokens").over(Window.partitionBy(d)) for d in temper})
+    total = have.agg(F.sum("tokens").cast("double").alias("all"), *[F.sum(F.pow(F.col(f"_{d}"), a) * F.col("tokens") / F.col(f"_{d}")).alias(d) for d, a in temper.items()]).first()
+    if total["all"] is None:
+        return None
+    return have.select(*temper, "tokens", (F.col("tokens") / total["all"]).alias("weight"), *[(F.pow(F.col(f"_{d}"), a) / total[d]).alias(f"_{d}") for d, a in temper.items()])
+
+
+def _fit(w: DataFrame, temper: dict[str, float], tolerance: float, parts: int) -> DataFrame:
+    """``w`` with weights raked to the targets ``_source`` and so on, and what is left of each margin's gap as ``gap_source`` and so on."""
+    margin = {d: Window.partitionBy(d) for d in temper}
+    gaps = {f"gap_{d}": F.abs(F.sum("weight").over(margin[d]) / F.col(f"_{d}") - 1) for d in temper}
+    target = F.least(*[F.col(f"_{d}") for d in temper], F.lit(float("inf")))
+    moved = F.when(F.col("weight") > F.col("_before"), 1 - F.col("_before") / F.col("weight")).otherwise((F.col("_before") - F.col("weight")) / target)
+    while True:
+        w = w.withColumn("_before", F.col("weight"))
+        for _ in range(SWEEPS):
+            for d in temper:
+                w = w.withColumn("weight", F.col("weight") * F.col(f"_{d}") / F.sum("weight").over(margin[d]))
+        w = stored(w.withColumns({**gaps, "_moved": moved}), "raked").coalesce(parts)
+        gap, most = w.agg(F.max(F.greatest(*gaps, F.lit(0.0))), F.max("_moved")).first()
+        w = w.drop("_before", "_moved")
+        if gap <= tolerance or most <= STILL:
+            return w
+        w = w.drop(*gaps)
+
+
 def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells (one column per margin, ``tokens``) with raked ``weight``, sums of which meet every margin's target, and ``p``.
+    """Cells (one column per margin, ``tokens``) with raked ``weight``, sums of which meet every margin's target, ``p``, and the
+    gaps that are left, ``gap_source`` and so on for each margin.
 
     A target is the margin's present token share to a power, scaled to sum 1. Each sweep scales the weights to one margin
     after the other. ``p`` is weight over token share, divided by its maximum over all cells: documents drawn with it
     meet the targets in expectation, and the cell most in demand is taken whole. Cells without tokens are left out. Where empty
     cells make the targets contradict each other, the last margin is met and the others as nearly as the sweeps bring them.
+    Slow fits go on until they are met: targets that are only met with a cell at zero are approached as one over the sweeps.
     """
-    cells = cells.where("tokens > 0")
-    parts = max(1, -(-cells.count() // CELLS))
-    cells = cells.coalesce(parts)  # a few hundred cells need no exchange between the sweeps
-    margin = {d: Window.partitionBy(d) for d in temper}
-    have = cells.withColumns({f"_{d}": F.sum("tokens").over(margin[d]) for d in temper})
-    total = have.agg(F.sum("tokens").cast("double").alias("all"), *[F.sum(F.pow(F.col(f"_{d}"), a) * F.col("tokens") / F.col(f"_{d}")).alias(d) for d, a in temper.items()]).first()
-    if total["all"] is None:
-        return cells.select(*temper, "tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("p"))
-    w = have.select(*temper, "tokens", (F.col("tokens") / total["all"]).alias("weight"), *[(F.pow(F.col(f"_{d}"), a) / total[d]).alias(f"_{d}") for d, a in temper.items()])
-    before = float("inf")
-    while True:
-        for _ in range(SWEEPS):
-            for d in temper:
-                w = w.withColumn("weight", F.col("weight") * F.col(f"_{d}") / F.sum("weight").over(margin[d]))
-        gap = F.greatest(*[F.abs(F.sum("weight").over(margin[d]) / F.col(f"_{d}") - 1) for d in temper], F.lit(0.0))
-        w = stored(w.withColumn("_gap", gap), "raked").coalesce(parts)
-        largest = w.agg(F.max("_gap")).first()[0]
-        w = w.drop("_gap")
-        if largest <= tolerance or largest > SHRINK * before:
-            break
-        before = largest
+    w, parts = _raked(cells, temper, tolerance)
+    gaps = [f"gap_{d}" for d in temper]
+    if w is None:
+        return cells.where("tokens > 0").select(*temper, "tokens", *[F.lit(0.0).alias(c) for c in ("weight", "p", *gaps)])
     ratio = F.col("weight") / F.col("tokens")
     top = w.agg(F.max(ratio)).first()[0]
-    return w.select(*temper, "tokens", "weight", (ratio / top).alias("p"))
+    return w.select(*temper, "tokens", "weight", (ratio / top).alias("p"), *gaps)
+
+
+def _raked(cells: DataFrame, temper: dict[str, float], tolerance: float) -> tuple[DataFrame | None, int]:
+    cells = cells.where("tokens > 0")
+    parts = max(1, -(-cells.count() // CELLS))
+    w = _shares(cells.coalesce(parts), temper)  # a few hundred cells need no exchange between the sweeps
+    return (w if w is None else _fit(w, temper, tolerance, parts)), parts
 
 
 def mix(docs: DataFrame, *, temper: dict[str, float] = TEMPER, topic: Column | None = None, into: str = "mix") -> DataFrame:

@@ -53,3 +53,23 @@ def test_twin(spark):
 
     sf_dir = "/root/testdata/sf0.01"
     assert compare(m.op10(spark, sf_dir), connect(sf_dir), m._sql()) == ""
+
+
+def test_slow_targets_are_met(spark):
+    # two sources tied to a language each: for some thirty sweeps next to nothing moves
+    cells = [("a", "x", 600_000_000), ("b", "y", 400_000_000), ("a", "y", 50), ("b", "x", 50)]
+    out = m.rake(spark.createDataFrame(cells, "source string, lang string, tokens long"), {"source": 0.0, "lang": 1.0}).collect()
+    for s in "ab":
+        assert sum(r.weight for r in out if r.source == s) == pytest.approx(0.5, rel=1e-8)
+    for l, share in (("x", 600_000_050 / 1_000_000_100), ("y", 400_000_050 / 1_000_000_100)):
+        assert sum(r.weight for r in out if r.lang == l) == pytest.approx(share, rel=1e-8)
+    assert max(max(r.gap_source, r.gap_lang) for r in out) < 1e-8
+
+
+def test_gaps_of_contradicting_targets_are_told(spark):
+    # nothing can carry b in x, and a in y fades away
+    cells = [("a", "x", 600), ("b", "y", 350), ("a", "y", 50)]
+    out = {(r.source, r.lang): r for r in m.rake(spark.createDataFrame(cells, "source string, lang string, tokens long"), {"source": 0.0, "lang": 1.0}).collect()}
+    assert out["a", "x"].weight == pytest.approx(0.6) and out["b", "y"].weight == pytest.approx(0.4) and out["a", "y"].weight < 1e-8
+    assert out["a", "x"].gap_source == pytest.approx(0.2) and out["b", "y"].gap_source == pytest.approx(0.2)
+    assert all(r.gap_lang < 1e-9 for r in out.values())
