@@ -15,6 +15,9 @@ TOLERANCE, STILL = 1e-10, 1e-8
 #: Sweeps in one job, and cells in one task.
 SWEEPS, CELLS = 5, 100_000
 
+#: Share of all tokens that the mix draws.
+BUDGET = 0.5
+
 MISSING = "(none)"
 
 
@@ -98,9 +101,44 @@ def _raked(cells: DataFrame, temper: dict[str, float], tolerance: float) -> tupl
     return (w if w is None else _fit(w, temper, tolerance, parts)), parts
 
 
-def mix(docs: DataFrame, *, temper: dict[str, float] = TEMPER, topic: Column | None = None, into: str = "mix") -> DataFrame:
+def budgeted(cells: DataFrame, temper: dict[str, float] = TEMPER, share: float = BUDGET, tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells with ``p`` that draw ``share`` of all tokens in expectation, however small the scarcest cell is.
+
+    The raked weights are scaled to the budget. Cells of which more is wanted than there is are taken whole (``p`` 1), and the others
+    are raked anew to what the margins then still lack, until no cell is short. A margin of which all cells are taken whole stays
+    below its target, and the others share what it lacks, so the size is kept. Cells without tokens are left out.
+    """
+    w, parts = _raked(cells, temper, tolerance)
+    if w is None:
+        return cells.where("tokens > 0").select(*temper, "tokens", F.lit(0.0).alias("p"))
+    everything = w.agg(F.sum("tokens")).first()[0]
+    whole, rest = [], 1.0  # tables of the cells taken whole, and the share of the drawn tokens that the others have
+    while True:
+        # a cell at the very limit is whole too: rounding must not leave it to a rake of nothing
+        short = F.col("weight") * rest * share * everything > F.col("tokens") * (1 - 1e-12)
+        w = stored(w.withColumn("_short", short), "budget").coalesce(parts)
+        taken, free, missing = w.agg(F.sum(F.when(F.col("_short"), F.col("tokens"))), F.count_if(~F.col("_short")), F.count_if("_short")).first()
+        if not missing or not free:
+            break
+        whole.append(w.where("_short").select(*temper, "tokens", F.lit(1.0).alias("p")))
+        # what each margin has in free cells and what its whole cells lack; without free cells it drops out and the sum is shared anew
+        lack = F.when(F.col("_short"), F.greatest(F.lit(0.0), F.col("weight") * rest - F.col("tokens") / (share * everything))).otherwise(F.col("weight") * rest)
+        w = w.withColumns({f"_{d}": F.sum(lack).over(Window.partitionBy(d)) for d in temper})
+        w, rest = w.where("NOT _short"), rest - taken / (share * everything)
+        sums = {d: w.select(d, f"_{d}").distinct().agg(F.sum(f"_{d}")).first()[0] for d in temper}
+        start = w.agg(F.sum("weight")).first()[0]
+        w = w.select(*temper, "tokens", (F.col("weight") / start).alias("weight"), *[(F.col(f"_{d}") / sums[d]).alias(f"_{d}") for d in temper])
+        w = _fit(w, temper, tolerance, parts)
+    out = w.select(*temper, "tokens", F.least(F.lit(1.0), F.col("weight") * rest * share * everything / F.col("tokens")).alias("p"))
+    for cells in whole:
+        out = out.unionByName(cells)
+    return out
+
+
+def mix(docs: DataFrame, *, temper: dict[str, float] = TEMPER, topic: Column | None = None, share: float | None = BUDGET, into: str = "mix") -> DataFrame:
     """``docs`` with a struct ``into``: ``n_tokens, topic, p, keep`` (whether the document is drawn).
 
+    ``share`` of all tokens is drawn in expectation (``budgeted``); with None the scarcest cell sets the size (``rake``).
     A null source, language or topic is a value of its own. Documents without text have p 0 and are not drawn. Rows
     with the same id get the same draw; null ids are drawn by their text. All rows and columns stay; an empty table gives an
     empty result. Only sums per cell are shuffled, pre-aggregated; the cells are few, and Spark picks their join by size.
@@ -109,7 +147,8 @@ def mix(docs: DataFrame, *, temper: dict[str, float] = TEMPER, topic: Column | N
     keys = {f"_k_{d}": F.coalesce((topic if d == "topic" else F.col(d)).cast("string"), F.lit(MISSING)) for d in temper}
     marked = docs.withColumns({**keys, "_tokens": token_count(F.col("text")).cast("long")})
     sums = marked.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"))
-    cells = rake(stored(sums.withColumnsRenamed({k: k[3:] for k in keys}), "cells"), temper)
+    cells = stored(sums.withColumnsRenamed({k: k[3:] for k in keys}), "cells")
+    cells = rake(cells, temper) if share is None else budgeted(cells, temper, share)
     cells = stored(cells.select(*[F.col(d).alias(f"_c_{d}") for d in temper], F.col("p").alias("_p")), "probabilities")
     same = [F.col(f"_k_{d}") == F.col(f"_c_{d}") for d in temper]
     p = F.coalesce(F.when(F.col("_tokens") > 0, F.col("_p")), F.lit(0.0))
@@ -150,7 +189,8 @@ def _sql(temper: dict[str, float] = TEMPER, sweeps: int = 60) -> str:
 
 @query("op10_mixing", _sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "mix.n_tokens", "mix.topic", F.round("mix.p", 6).alias("p"), "mix.keep")
+    docs = mix(table(spark, sf_dir, "documents"), share=None)  # the SQL twin divides by the largest ratio
+    return docs.select("doc_id", "mix.n_tokens", "mix.topic", F.round("mix.p", 6).alias("p"), "mix.keep")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

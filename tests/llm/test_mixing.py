@@ -73,3 +73,19 @@ def test_gaps_of_contradicting_targets_are_told(spark):
     assert out["a", "x"].weight == pytest.approx(0.6) and out["b", "y"].weight == pytest.approx(0.4) and out["a", "y"].weight < 1e-8
     assert out["a", "x"].gap_source == pytest.approx(0.2) and out["b", "y"].gap_source == pytest.approx(0.2)
     assert all(r.gap_lang < 1e-9 for r in out.values())
+
+
+def test_a_scarce_cell_does_not_set_the_size(spark):
+    cells = [(s, l, 1000 * (3 + i) * (1 + 2 * j)) for i, s in enumerate("abcd") for j, l in enumerate("xy")]
+    for scarce in ([], [("rare", "x", 60)], [("rare", "x", 60), ("rarer", "z", 1)]):
+        for scale in (1, 300):
+            rows = [(s, l, n * scale) for s, l, n in cells] + scarce
+            out = m.budgeted(spark.createDataFrame(rows, "source string, lang string, tokens long"), {"source": 0.5, "lang": 0.7}, 0.5).collect()
+            assert len(out) == len(rows) and all(0 < r.p <= 1 for r in out)
+            assert sum(r.p * r.tokens for r in out) == pytest.approx(0.5 * sum(r[2] for r in rows), rel=1e-6)
+            assert all(r.p == 1 for r in out if r.source.startswith("rare"))
+            if not scarce:  # nothing is short: the targets are met
+                want = {s: sum(r[2] for r in rows if r[0] == s) ** 0.5 for s in "abcd"}
+                for s, w in want.items():
+                    drawn = sum(r.p * r.tokens for r in out if r.source == s) / sum(r.p * r.tokens for r in out)
+                    assert drawn == pytest.approx(w / sum(want.values()), rel=1e-6)
