@@ -24,6 +24,8 @@ from roadlens.llm.components import components
 
 #: Words of a shingle and the least similarity in percent.
 WORDS, PERCENT = 4, 85
+#: The same for the pipeline's stage; the values above are those of the query.
+STAGE_WORDS, STAGE_PERCENT = 5, 80
 #: Cost model: a candidate costs as much as so many signatures; chance that an element of a set is common property.
 CANDIDATE, COMMON = 8, 0.75
 #: Growth of band limits; words and set keys a task remembers; partners of one centre in a verification block.
@@ -386,7 +388,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id. Documents without words or id stay, and so do repeated rows of one document."""
-    found = join(docs)
+    """One document of each component of sets of five words that are similar by 0.8 or more: the one with the smallest id.
+
+    Documents without words or id stay, and so do repeated rows of one document.
+    """
+    found = join(docs, words=STAGE_WORDS, percent=STAGE_PERCENT)
     gone = found.where("n_shingles > 0 AND doc_id > component_id").select(F.col("doc_id").alias("_gone"), F.col("row").alias("_row")).distinct()
     return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_row"]), "left_anti")

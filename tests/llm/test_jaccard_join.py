@@ -129,3 +129,35 @@ def test_components(spark):
     got = {r.k: r.c for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: top(x) for x in least if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_stage_keeps_no_near_copy_of_five_words(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([49, 98, 150, 400]))]
+        rows.append((10 * g, " ".join(words)))
+        for k in range(1, 5):  # from near to too far
+            cut = list(words)
+            for at in range(1, 1 + k * len(words) // 49):
+                cut[at * len(words) // (2 + k * len(words) // 49)] = f"x{rng.randrange(10**6)}"
+            rows.append((10 * g + k, " ".join(cut)))
+    rows += [(r.doc_id + 1000, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL AND doc_id IS NOT NULL").collect()]
+
+    def shingles(text):
+        w = text.encode().lower().split()
+        return {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {i: shingles(x) for i, x in sorted(rows) if x.split()}
+    first = {i: i for i in sets}
+    ids = list(sets)
+    for at, i in enumerate(ids):
+        for o in ids[:at]:
+            both = len(sets[i] & sets[o])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[o]) - both):
+                low, high = sorted((first[i], first[o]))
+                first = {x: low if c == high else c for x, c in first.items()}
+    want = {i for i, c in first.items() if i == c}
+    kept = {r.doc_id for r in j.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert want == {i for i in kept if i in sets} and {0, 10, 20} < want
+    assert {i for i in range(120) if i in sets} - want  # some went
