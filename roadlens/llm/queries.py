@@ -6,6 +6,7 @@ from roadlens.llm import (  # noqa: F401
     html_text,
     jaccard_join,
     language_cnn,
+    lexical_search,
     line_templates,
     matroska,
     mixing,
