@@ -11,6 +11,7 @@ from roadlens.llm import (  # noqa: F401
     matroska,
     mixing,
     quality_cotraining,
+    suffix_dedup,
     token_counts,
     vector_graph,
 )
