@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from roadlens.llm.common import query, slices, stored, table
 
 #: A shard is closed at this many documents or bytes of text; a longer text has a shard of its own.
-SHARD_DOCS, SHARD_BYTES = 8192, 32 << 20
+SHARD_DOCS, SHARD_BYTES = 4096, 16 << 20
 #: Pairs of item and term in a block of items; entries split at once for an item; terms of items searched together.
 BLOCK_TERMS, WIDTH, TOGETHER = 100_000, 48, 2048
 #: Salted groups in which tasks' places are merged first.
@@ -179,9 +179,9 @@ class Grid:
         child[inner] = np.arange(1, cells)
         child[one] = np.arange(cells, self.none)
         self.child = child
-        self.value = np.r_[np.frombuffer(row["tops"], np.uint32), single, np.uint32(0)].astype(np.int64)
-        self.row = np.r_[np.frombuffer(row["rows"], small), small(0)].astype(np.int64)
-        self.col = np.r_[np.frombuffer(row["cols"], small), small(0)].astype(np.int64)
+        self.value = np.r_[np.frombuffer(row["tops"], np.uint32), single, np.uint32(0)].view(np.int32)
+        self.row = np.r_[np.frombuffer(row["rows"], small), small(0)]
+        self.col = np.r_[np.frombuffer(row["cols"], small), small(0)]
 
     def search(self, items: list[tuple[list[bytes], list[int]]], best: "Best") -> None:
         """Best-first search of several items at once; what is found goes into ``best``."""
