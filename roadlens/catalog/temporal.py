@@ -311,10 +311,10 @@ def order_spans(spark, sf):
     )
     orders = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), D.days("o_orderdate").alias("a"))
     spans = orders.join(li.groupBy("key").agg(F.max("t").alias("b")), "key").withColumn("hit", F.lit(1))
-    pairs = J.interval_join(li, spans, ["key"], "t", "a", "b", how="left")
-    return pairs.groupBy(F.col("key").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey").agg(
-        F.count("hit").alias("open_spans")
-    )
+    row = [F.col("key").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey"]
+    pairs = J.interval_join(li, spans, ["key"], "t", "a", "b").select(*row, "hit")
+    none = li.select(*row, F.lit(0).alias("hit"))
+    return pairs.unionByName(none).groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.sum("hit").alias("open_spans"))
 
 
 @query(

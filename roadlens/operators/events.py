@@ -28,13 +28,12 @@ def flag_intervals(
     start: str = "start",
     end: str = "end",
     label: str = "label",
-    width: float | None = None,
 ) -> DataFrame:
     """One 0/1 column per label: is the frame inside a (closed) interval of it?"""
     narrow = frames.select(*keys, *row_id, at).distinct()
     marks = intervals.where(F.col(label).isin(*labels)).select(*keys, start, end, label)
     hits = (
-        J.interval_join(narrow, marks, keys, at, start, end, width=width)
+        J.interval_join(narrow, marks, keys, at, start, end)
         .groupBy(*keys, *row_id)
         .agg(*[F.max((F.col(label) == x).cast("int")).alias(x) for x in labels])
     )
@@ -157,11 +156,10 @@ def fill_between(
     keys: Sequence[str] = TRIP,
     at: str = "SimulationTime",
     label: str = "SpacialEvent",
-    width: float | None = None,
 ) -> DataFrame:
     """Label all frames strictly between the two ends of a pair; the later pair wins."""
     won = J.winning_interval(
-        frames, pairs, keys, at, "_from", "_to", "_pair", "_rank", closed="neither", width=width
+        frames, pairs, keys, at, "_from", "_to", "_pair", "_rank", closed="neither"
     )
     out = frames.join(won, [*keys, S.SEQ], "left").withColumn(label, F.coalesce("_pair", label))
     return out.select(*frames.columns)

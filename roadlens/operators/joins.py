@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.operators import scan as S
+from roadlens.session import materialize
 
 
 def lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -159,11 +160,28 @@ def nearest_row(
     return out.select(*ids, F.array_min(free)["seq"].alias(S.SEQ)).where(F.col(S.SEQ).isNotNull())
 
 
-def bucket_width(intervals: DataFrame, start: str, end: str, share: float = 0.95) -> float:
-    """Bucket width covering ``share`` of the interval lengths (one small aggregate)."""
-    length = (F.col(end) - F.col(start)).cast("double")
-    row = intervals.where(length > 0).agg(F.percentile_approx(length, share).alias("w")).first()
-    return float(row["w"]) if row and row["w"] else 1.0
+#: Cells of the interval index are powers of four wide, from 4^FINEST on; the level after the last has one cell for all times.
+FINEST, LEVELS = -6, 62
+
+
+def _cell(t: Column, level: Column) -> Column:
+    sizes = F.array(*[F.lit(4.0 ** (i + FINEST)) for i in range(LEVELS)])
+    return F.when(level == LEVELS, F.lit(0).cast("long")).otherwise(F.floor(t.cast("double") / F.get(sizes, level)).cast("long"))
+
+
+def interval_index(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """The intervals, written once, with ``_level`` and ``_cell``: the cells of their own level that they touch.
+
+    The cells of an interval's level are at least as wide as the interval and less than four times so (very short ones share the
+    finest level), so it touches one or two of them, whatever the lengths of the other intervals. Intervals that start after
+    their end, or with a null end, are empty and left out; infinite ends are allowed.
+    """
+    length = F.col(end).cast("double") - F.col(start).cast("double")
+    steps = F.when(length > 0, F.log2(length) / 2 - FINEST).otherwise(F.lit(0.0))
+    level = F.ceil(F.greatest(F.lit(0.0), F.least(F.lit(float(LEVELS)), steps))).cast("int")
+    placed = intervals.where(F.col(start) <= F.col(end)).withColumn("_level", level)
+    low, high = (_cell(F.col(c), F.col("_level")) for c in (start, end))
+    return materialize(placed.withColumn("_cell", F.sequence(low, high)), "intervals")
 
 
 def interval_join(
@@ -175,37 +193,25 @@ def interval_join(
     end: str,
     *,
     closed: str = "both",
-    width: float | None = None,
-    how: str = "inner",
 ) -> DataFrame:
     """Pairs of points and intervals of the same key with the point inside.
 
-    Both sides get a time bucket as an extra join key: a point has one bucket,
-    an interval one per bucket it touches, so a pair meets exactly once and a
-    long trip spreads over many hash partitions. ``closed`` is ``both``,
-    ``neither``, ``left`` or ``right``.
+    The intervals are indexed by :func:`interval_index`; a point asks one cell of each level that its key has, so a pair
+    meets exactly once, a long trip spreads over many hash partitions, and an interval of unusual length costs as
+    much as any other. Points of keys without intervals leave before the join. ``closed`` is ``both``, ``neither``, ``left`` or ``right``.
     """
     on = list(on)
-    if width is None:
-        width = bucket_width(intervals, start, end)
-    size = F.lit(float(width))
-    spans = intervals.where(F.col(start) <= F.col(end)).withColumn(
-        "_bucket",
-        F.explode(
-            F.sequence(F.floor(F.col(start) / size).cast("long"), F.floor(F.col(end) / size).cast("long"))
-        ),
-    )
-    clash = [c for c in spans.columns if c in points.columns and c not in on and c != "_bucket"]
+    clash = [c for c in intervals.columns if c in points.columns and c not in on]
     if clash:
         raise ValueError(f"columns on both sides: {clash}")
-    left = points.withColumn("_bucket", F.floor(F.col(at) / size).cast("long"))
+    index = interval_index(intervals, start, end)
+    levels = index.groupBy(*on).agg(F.collect_set("_level").alias("_levels"))  # at most LEVELS + 1 numbers a key
+    asked = lookup(points.where(F.col(at).isNotNull()), levels, on).withColumn("_level", F.explode("_levels")).drop("_levels")
+    left = asked.withColumn("_cell", _cell(F.col(at), F.col("_level")))
+    right = index.withColumn("_cell", F.explode("_cell"))
     after = F.col(at) >= F.col(start) if closed in ("both", "left") else F.col(at) > F.col(start)
     before = F.col(at) <= F.col(end) if closed in ("both", "right") else F.col(at) < F.col(end)
-    right = spans.select(*[F.col(k).alias(f"_i_{k}") for k in on], *[c for c in spans.columns if c not in on])
-    right = right.withColumnRenamed("_bucket", "_i_bucket")
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_i_{k}") for k in on])
-    joined = left.join(right, same & (F.col("_bucket") == F.col("_i_bucket")) & after & before, how)
-    return joined.drop("_bucket", "_i_bucket", *[f"_i_{k}" for k in on])
+    return left.join(right, [*on, "_level", "_cell"]).where(after & before).drop("_level", "_cell")
 
 
 def winning_interval(
@@ -219,7 +225,6 @@ def winning_interval(
     priority: str,
     *,
     closed: str = "both",
-    width: float | None = None,
 ) -> DataFrame:
     """(keys, ``_seq``, value) of the interval with the highest priority around each point.
 
@@ -227,7 +232,7 @@ def winning_interval(
     """
     narrow = points.select(*on, S.SEQ, at)
     marks = intervals.select(*on, start, end, value, priority)
-    hits = interval_join(narrow, marks, on, at, start, end, closed=closed, width=width)
+    hits = interval_join(narrow, marks, on, at, start, end, closed=closed)
     return hits.groupBy(*on, S.SEQ).agg(F.max_by(value, priority).alias(value))
 
 

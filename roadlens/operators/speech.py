@@ -77,7 +77,6 @@ def attach_transcripts(
     keys: Sequence[str] = TRIP,
     at: str = "SimulationTime",
     margin: float = 0.05,
-    width: float | None = None,
 ) -> DataFrame:
     """Text, speaker and type on every frame within a segment widened by ``margin``.
 
@@ -91,7 +90,7 @@ def attach_transcripts(
     ).where("_from is not null")
     spans = s.withColumn("_left", F.col("_from") - margin).withColumn("_right", F.col("_to") + margin)
     covered = J.interval_join(
-        frames.select(*keys, S.SEQ, at), spans.select(*keys, "ord", "_left", "_right"), keys, at, "_left", "_right", width=width
+        frames.select(*keys, S.SEQ, at), spans.select(*keys, "ord", "_left", "_right"), keys, at, "_left", "_right"
     ).select(*keys, S.SEQ, "ord")
     lonely = spans.join(covered.select(*keys, "ord").distinct(), [*keys, "ord"], "left_anti").select(*keys, "ord", "_from")
     moved = J.nearest_row(frames, lonely, keys, at, "_from", adjacent=True).select(*keys, S.SEQ, "ord")

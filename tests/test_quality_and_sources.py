@@ -174,9 +174,8 @@ def test_run_elapsed_and_tail(spark, bits):
     assert out[("t", 1)] == "x" and out[("t", 2)] == "Termination" and out[("t", 3)] == "x" and out[("t", 5)] == "None" and out[("u", 1)] == "None"
 
 
-@pytest.mark.parametrize("width", [None, 1.0])
-def test_later_pair_wins_and_ends_stay(spark, width):
+def test_later_pair_wins_and_ends_stay(spark):
     f = S.sequence(spark.createDataFrame([("t", float(i), "n") for i in range(8)], "k string, t double, lab string"), ["k"], ["t"], 1)
     pairs = spark.createDataFrame([("t", 0.0, 5.0, "one", 1), ("t", 3.0, 7.0, "two", 2), ("t", 6.0, 2.0, "backwards", 3)], "k string, _from double, _to double, _pair string, _rank int")
-    got = [r["lab"] for r in E.fill_between(f, pairs, keys=["k"], at="t", label="lab", width=width).orderBy("t").collect()]
+    got = [r["lab"] for r in E.fill_between(f, pairs, keys=["k"], at="t", label="lab").orderBy("t").collect()]
     assert got == ["n", "one", "one", "one", "two", "two", "two", "n"]

@@ -149,32 +149,57 @@ def test_nearest_row_ties_and_chunks(spark, bits):
     assert got == want
 
 
+def _inside(spark, pts, ivs, closed="both"):
+    points = spark.createDataFrame(pts, "k long, t double, p long")
+    intervals = spark.createDataFrame(ivs, "k long, a double, b double, i long")
+    return sorted((x["p"], x["i"]) for x in J.interval_join(points, intervals, ["k"], "t", "a", "b", closed=closed).collect())
+
+
+def _inside_by_hand(pts, ivs, closed="both"):
+    lo = (lambda t, a: t >= a) if closed in ("both", "left") else (lambda t, a: t > a)
+    hi = (lambda t, b: t <= b) if closed in ("both", "right") else (lambda t, b: t < b)
+    known = [v for v in ivs if None not in v[:3]]
+    return sorted((p[2], v[3]) for p in pts for v in known if None not in p[:2] and p[0] == v[0] and v[1] <= v[2] and lo(p[1], v[1]) and hi(p[1], v[2]))
+
+
 @pytest.mark.parametrize("closed", ["both", "neither", "left", "right"])
-@pytest.mark.parametrize("width", [None, 0.7, 50.0])
-def test_interval_join(spark, closed, width):
+@pytest.mark.parametrize("unit", [1.0, 1e-5, 3e7])
+def test_interval_join(spark, closed, unit):
     r = random.Random(3)
-    pts = [(r.randrange(2), float(r.randrange(0, 30)), i) for i in range(40)]
+    pts = [(r.randrange(3), r.randrange(-30, 30) * unit, i) for i in range(60)] + [(1, None, 98), (None, 1.0, 99)]
     ivs = []
-    for i in range(15):
-        a = float(r.randrange(0, 28))
-        ivs.append((r.randrange(2), a, a + r.choice([0, 1, 2, 20, -3]), i))
-    got = {
-        (x["p"], x["i"])
-        for x in J.interval_join(
-            spark.createDataFrame(pts, "k long, t double, p long"),
-            spark.createDataFrame(ivs, "k long, a double, b double, i long"),
-            ["k"],
-            "t",
-            "a",
-            "b",
-            closed=closed,
-            width=width,
-        ).collect()
-    }
-    lo = (lambda t, a: t >= a) if closed in ("both", "left") else (lambda t, a: t > a)
-    hi = (lambda t, b: t <= b) if closed in ("both", "right") else (lambda t, b: t < b)
-    want = {(p[2], v[3]) for p in pts for v in ivs if p[0] == v[0] and lo(p[1], v[1]) and hi(p[1], v[2])}
-    assert got == want
+    for i in range(30):
+        a = r.randrange(-32, 28) * unit
+        ivs.append((r.randrange(2), a, a + r.choice([0, 1, 2, 20, -3, 1e6]) * unit, i))
+    inf = float("inf")
+    ivs += [(1, -inf, inf, 50), (0, 2 * unit, inf, 51), (1, None, 3.0, 52), (1, 3.0, None, 53), (None, 0.0, 9.0, 54), (0, -1e300, 1e300, 55), (0, -inf, -inf, 56)]
+    assert _inside(spark, pts, ivs, closed) == _inside_by_hand(pts, ivs, closed)
+    assert _inside(spark, pts, [], closed) == []
+
+
+def test_long_interval_takes_as_few_cells_as_any(spark):
+    ivs = [(0, float(i), i + 1.5, i) for i in range(200)] + [(0, 0.25, 1.5e6 + 0.25, 900), (0, -3.0, 1e12, 901)]
+    index = J.interval_index(spark.createDataFrame(ivs, "k long, a double, b double, i long"), "a", "b")
+    cells = {r["i"]: len(r["_cell"]) for r in index.collect()}
+    assert max(cells.values()) == 2 and len(cells) == 202
+    levels = {r["i"]: r["_level"] for r in index.collect()}
+    assert len({levels[i] for i in range(200)}) == 1 and levels[901] > levels[900] > levels[0]
+
+
+def test_intervals_are_read_once(spark):
+    """The written index is all that later steps read of the intervals."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    ivs = spark.range(100).selectExpr("0 as k", "cast(id as double) as a", "cast(id + id % 7 as double) as b", "id as i")
+    counted = ivs.mapInArrow(count, ivs.schema)
+    pts = spark.range(50).selectExpr("0 as k", "cast(id as double) as t", "id as p")
+    assert J.interval_join(pts, counted, ["k"], "t", "a", "b").count() > 50
+    assert seen.value == 100
 
 
 def test_box_match_edges(spark):
