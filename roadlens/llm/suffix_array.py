@@ -47,11 +47,11 @@ class Transform:
 
     def __init__(self, codes: np.ndarray, order: np.ndarray):
         n = len(codes)
-        self.codes = codes[order - 1]
+        self.codes = codes[order - 1].astype(np.int16)
         symbols = int(codes.max()) + 1
         self.before = np.r_[0, np.cumsum(np.bincount(codes, minlength=symbols))]
-        self.back = np.empty(n, np.int64)
-        self.back[np.argsort(self.codes, kind="stable")] = np.arange(n)
+        self.back = np.empty(n, np.int32)
+        self.back[np.argsort(self.codes, kind="stable")] = np.arange(n, dtype=np.int32)
         self.levels = []
         current = self.codes
         start = np.zeros(symbols, np.int64)

@@ -27,9 +27,9 @@ from roadlens.llm.suffix_array import repeated
 from roadlens.session import work_dir
 
 #: Bytes of an anchor; text hashed at once; bytes of pieces in a block; unlike pieces of an anchor that is compared by hashes.
-ANCHOR, STEP, BLOCK_BYTES, HOT = 64, 4 << 20, 2 << 20, 4096
+ANCHOR, STEP, BLOCK_BYTES, HOT = 64, 2 << 20, 1 << 20, 1024
 #: Bytes of a bucket of the stored texts, and the most buckets.
-BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 50_000
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 50_000
 #: Distinct texts that a task remembers while it drops repeats.
 REMEMBERED = 200_000
 
