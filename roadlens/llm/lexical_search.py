@@ -110,11 +110,13 @@ def build_tree(rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> dict:
 
 
 class Shard:
-    """Documents being gathered for one grid."""
+    """Documents being gathered for one grid: numbers of their terms, and how often each occurs."""
 
     def __init__(self):
         self.ids: list[int | None] = []
-        self.counts: list[Counter] = []
+        self.number: dict[bytes, int] = {}
+        self.terms: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
         self.lengths: list[int] = []
         self.bytes = 0
 
@@ -123,21 +125,17 @@ class Shard:
         self.bytes += len(text)
         if words:
             self.ids.append(key)
-            self.counts.append(Counter(words))
+            count, number = Counter(words), self.number
+            self.terms.append(np.array([number.setdefault(w, len(number)) for w in count], np.int32))
+            self.counts.append(np.fromiter(count.values(), np.int32, len(count)))
             self.lengths.append(len(words))
 
-    def full(self) -> bool:
-        return len(self.ids) >= SHARD_DOCS or self.bytes >= SHARD_BYTES
-
     def row(self, documents: int, total: int) -> dict:
         """The shard as a row of the index; rows without an id count for its terms but have no column."""
-        number: dict[bytes, int] = {}
-        for count in self.counts:
-            for word in count:
-                number.setdefault(word, len(number))
+        number = self.number
         sizes = np.array([len(c) for c in self.counts], np.int64)
-        term = np.fromiter((number[w] for c in self.counts for w in c), np.int64, int(sizes.sum()))
-        tf = np.fromiter((n for c in self.counts for n in c.values()), np.int64, int(sizes.sum()))
+        term = np.concatenate(self.terms).astype(np.int64)
+        tf = np.concatenate(self.counts).astype(np.int64)
         found = np.bincount(term, minlength=len(number))
         order = np.argsort(-found, kind="stable")
         place = np.empty(len(order), np.int64)
@@ -263,7 +261,7 @@ class Best:
         self.last[item[full]] = np.maximum(1, score[full])
 
 
-def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
+def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> tuple[DataFrame, int, int]:
     """Stored shards over all documents, the number of documents with a term, and the number of all their terms.
 
     Two narrow passes: lengths first, since impacts need both totals, then one grid for each some thousand documents of a
@@ -288,7 +286,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         for part in slices(batches):
             for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 shard.add(key, text or "")
-                if shard.full():
+                if len(shard.ids) >= shard_docs or shard.bytes >= SHARD_BYTES:
                     yield as_batch(shard.row(documents, total))
                     shard = Shard()
         if shard.ids:

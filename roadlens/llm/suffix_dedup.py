@@ -53,7 +53,7 @@ class Hasher:
     """Hashes of all substrings of ANCHOR bytes by prefix sums of a polynomial modulo 2^64."""
 
     def __init__(self):
-        n = 2 * STEP + 1
+        n = 2 * STEP + ANCHOR  # and the part that a text shares with the next
         self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
 
     def __call__(self, data: np.ndarray) -> np.ndarray:
@@ -97,13 +97,13 @@ def runs(data: np.ndarray, sizes: np.ndarray, length: int, hasher: Hasher) -> tu
     return hashes[place[first[keep]]], first[keep], count[keep]
 
 
-def _parts(texts: list[bytes], length: int):
-    """Batches of at most 2 STEP bytes as (row, offset, bytes); long texts in parts that share ``length - 1`` bytes."""
+def _parts(texts: list[bytes], length: int, step: int):
+    """Batches of about 2 ``step`` bytes at most as (row, offset, bytes); long texts in parts that share ``length - 1`` bytes."""
     batch, size = [], 0
     for row, text in enumerate(texts):
-        for at in range(0, max(1, len(text) - length + 1), STEP):
-            part = text[at : at + STEP + length - 1]
-            if size + len(part) > 2 * STEP:
+        for at in range(0, max(1, len(text) - length + 1), step):
+            part = text[at : at + step + length - 1]
+            if batch and size + len(part) > 2 * step:
                 yield batch
                 batch, size = [], 0
             batch.append((row, at, part))
@@ -162,7 +162,7 @@ def _distinct_texts(docs: DataFrame, length: int) -> DataFrame:
     return spark.table(name)
 
 
-def _pieces(texts: DataFrame, length: int) -> DataFrame:
+def _pieces(texts: DataFrame, length: int, step: int) -> DataFrame:
     """``a, g, k1, k2, start, windows``: anchor hash, hash of the piece's bytes, text and place."""
 
     def run(batches):
@@ -170,7 +170,7 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
         for part in slices(batches, 1024):
             keys = [np.asarray(part.column(i)) for i in (0, 1)]
             texts = [t.encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()]
-            for batch in _parts(texts, length):
+            for batch in _parts(texts, length, step):
                 joined = b"".join(p for _, _, p in batch)
                 sizes = np.array([len(p) for _, _, p in batch], np.int64)
                 a, first, count = runs(np.frombuffer(joined, np.uint8), sizes, length, hasher)
@@ -261,9 +261,9 @@ def _hashed(unlike: DataFrame, length: int) -> DataFrame:
     return hit.select("k1", "k2", "start", (F.col("start") + length).alias("stop"))
 
 
-def spans(texts: DataFrame, length: int) -> DataFrame:
+def spans(texts: DataFrame, length: int, step: int = STEP) -> DataFrame:
     """``k1, k2, start, stop``: byte spans of distinct texts whose windows also start elsewhere; spans may overlap."""
-    met = stored(_pieces(texts, length), "suffix-pieces")
+    met = stored(_pieces(texts, length, step), "suffix-pieces")
     again = met.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     live = stored(met.join(again, "a", "left_semi"), "suffix-live")
     one = [F.first(c).alias(c) for c in ("k1", "k2", "start", "windows")]  # of one and the same row
@@ -288,11 +288,11 @@ def union_of(parts: list[dict]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def drop_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, *, length: int = 200, step: int = STEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed`` of each row.
 
     Every byte of a text covered by a string of ``length`` (at least ANCHOR) bytes that also starts anywhere else, in the same text or
-    another row, is removed; strings are judged on the input. ``removed`` lists the maximal runs as ``start, stop`` byte offsets; the
+    another row, is removed; strings are judged on the input. Texts are hashed ``step`` bytes (at most STEP) at a time. ``removed`` lists the maximal runs as ``start, stop`` byte offsets; the
     kept text is what is left, joined. A null text counts as empty; rows without an id and repeated rows are kept
     (a repeated text of ``length`` bytes or more loses all its bytes); an empty table gives an empty result; only the two
     columns are read. Kinds of pieces are told apart by 64-bit hashes within one 64-bit anchor hash.
@@ -300,11 +300,11 @@ def drop_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id",
     Texts move once; after that narrow rows meet them in their buckets. No step gathers the places of one passage: equal pieces are
     counted, unlike ones lie in blocks of about BLOCK_BYTES, and anchors with more than HOT kinds are spread by window hashes.
     """
-    if length < ANCHOR:
-        raise ValueError(f"length must be at least {ANCHOR}")
+    if not ANCHOR <= length <= STEP or step > STEP:
+        raise ValueError(f"length must be {ANCHOR} to {STEP}, step at most {STEP}")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     texts = _distinct_texts(rows, length)
-    found = spans(texts, length).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
+    found = spans(texts, length, step).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
 
     def run(batches):
         for part in slices(batches, 256):

@@ -37,8 +37,8 @@ def brute(docs, items, k=10):
 
 
 def found(spark, docs, items, **options):
-    index, n, _ = s.build_index(docs)
-    return {tuple(r) for r in s.search(index, n, spark.createDataFrame(items, "item_id long, text string, rank int"), **options).collect()}
+    index, n, _ = s.build_index(docs, **options)
+    return {tuple(r) for r in s.search(index, n, spark.createDataFrame(items, "item_id long, text string, rank int")).collect()}
 
 
 def corpus(n, seed=0):
@@ -69,8 +69,7 @@ def test_same_as_brute_force(spark, monkeypatch):
     rows += [(5000 + i, rows[0][1]) for i in range(60)] + [(None, rows[1][1]), (6000, None), (6001, "...")]
     items += [(100, None, 0), (101, "unknownterm", 0), (102, rows[0][1], 0), (103, "w1", 0), (103, "W2 w3", 0), (None, "w1", 0)]
     want = brute(rows, [i[:2] for i in items])
-    monkeypatch.setattr(s, "SHARD_DOCS", 100)  # several shards in a task
-    got = found(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), items)
+    got = found(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), items, shard_docs=100)  # several shards in a task
     assert got == want
     monkeypatch.setattr(s, "BLOCK_TERMS", 40)  # several blocks of items
     monkeypatch.setattr(s, "TOGETHER", 10)

@@ -23,8 +23,8 @@ def brute(rows, length):
     return sorted(out, key=repr)
 
 
-def got(spark, df, length=200):
-    return sorted((tuple(r)[:5] for r in d.drop_repeats(df, length=length).collect()), key=repr)
+def got(spark, df, length=200, **options):
+    return sorted((tuple(r)[:5] for r in d.drop_repeats(df, length=length, **options).collect()), key=repr)
 
 
 def texts(n, seed=0):
@@ -66,10 +66,9 @@ def test_same_as_brute_force(spark, monkeypatch, hot):
 
 
 def test_long_texts_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(d, "STEP", 1000)
     rows = [(i, t) for i, t in enumerate(texts(20, 1))] + [(99, " ".join(texts(20, 2)))]
     monkeypatch.setattr(d, "BLOCK_BYTES", 20000)
-    assert got(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 120) == brute(rows, 120)
+    assert got(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 120, step=1000) == brute(rows, 120)
 
 
 def test_odd_rows(spark):
