@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,8 @@ from roadlens.functions import text as X
 from roadlens.operators import scan as S
 from roadlens.operators import stats as ST
 from roadlens.operators.quantiles import exact_quantiles
+from roadlens.sources.csv_ranges import read_lines
+from roadlens.sources.ranges import RANGE
 
 REPORT = T.StructType([
     T.StructField("column_name", T.StringType()),
@@ -247,27 +249,32 @@ def report(*parts: DataFrame) -> DataFrame:
 
 # --- ragged files -----------------------------------------------------------------------------------
 
-# a quoted or plain field and the comma after it; every line gets one comma at its end
-_FIELD = r'("(?:[^"]|"")*"|[^,"]*),'
+# a field of plain and quoted parts and the comma after it; every record gets one comma at its end
+_FIELD = r'((?:[^,"]++|"[^"]*+")*+),'
 
 
-def split_ragged(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Lines with any number of comma-separated fields: adds ``fields`` and ``n_fields``.
+def split_ragged(records: DataFrame, column: str = "value") -> DataFrame:
+    """Records with any number of comma-separated fields: adds ``fields`` and ``n_fields``.
 
-    Quotes protect commas; doubled quotes inside quotes are one quote.
+    Quotes protect commas and line breaks; doubled quotes inside quotes are one quote; a quote left open ends with the record. Null
+    records have null fields.
     """
-    raw = F.regexp_extract_all(F.concat(F.col(column), F.lit(",")), F.lit(_FIELD), 1)
-    plain = F.transform(raw, lambda f: F.when(f.startswith('"'), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
-    return lines.withColumn("fields", plain).withColumn("n_fields", F.size("fields"))
+    text = F.col(column)
+    closed = F.when((F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 1, '",').otherwise(",")
+    raw = F.regexp_extract_all(F.concat(text, closed), F.lit(_FIELD), 1)
+    inside = lambda f: F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+    plain = F.transform(raw, lambda f: F.when(f.startswith('"') & f.endswith('"') & (F.length(f) > 1), inside(f)).otherwise(f))
+    return records.withColumn("fields", plain).withColumn("n_fields", F.size("fields"))
 
 
-def read_ragged(spark: SparkSession, path: str) -> DataFrame:
-    return split_ragged(spark.read.text(path))
+def read_ragged(files: DataFrame, root: str, *, size: int = RANGE) -> DataFrame:
+    """Records of the named files, ``file, ord, value, fields, n_fields``; a line break inside quotes keeps its record whole."""
+    return split_ragged(read_lines(files, root, size=size))
 
 
-def pad_fields(ragged: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Exactly the named columns: short lines get nulls, surplus fields are cut."""
-    return ragged.select("n_fields", *[F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)])
+def pad_fields(ragged: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Exactly the named columns: short records get nulls, surplus fields are cut."""
+    return ragged.select(*keep, "n_fields", *[F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def field_counts(ragged: DataFrame, expected: int) -> DataFrame:
@@ -276,15 +283,21 @@ def field_counts(ragged: DataFrame, expected: int) -> DataFrame:
     return ragged.groupBy("n_fields").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("kind", kind)
 
 
-def check_structural(ragged: DataFrame, names: Sequence[str], shift_at: str, shift_pattern: str) -> DataFrame:
-    """Lines of the wrong length, and lines whose values moved one column to the right.
+def check_structural(ragged: DataFrame, names: Sequence[str], shift_at: str, shift_pattern: str, surplus_pattern: str = r"^\s*[01](\.0)?\s*$") -> DataFrame:
+    """Records of the wrong length, records whose values moved one column to the right, and what their surplus field holds.
 
-    A shifted line shows in ``shift_at`` a value of the column after it.
+    A shifted record has one field too many and shows in ``shift_at`` a value of the column before it; if its last field fits
+    ``surplus_pattern``, the lost value can be taken from there. Examples are the record numbers ``ord``.
     """
     n = len(names)
-    cols = pad_fields(ragged, [*names, "_surplus"])
-    shifted = F.coalesce((F.col("n_fields") == n + 1) & F.col(shift_at).rlike(shift_pattern), F.lit(False))
-    one = cols.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_fields") != n).alias("bad"), F.count_if(shifted).alias("moved"))
-    a = one.select(*_row("*", "fields.count", "structural", F.col("n"), F.col("bad"), "FAIL", F.lit(f"expected {n}")))
-    b = one.select(*_row(shift_at, "fields.shifted", "structural", F.col("n"), F.col("moved"), "FAIL", F.lit("one field too many before this column")))
-    return a.unionByName(b)
+    cols = pad_fields(ragged, [*names, "_surplus"], keep=["ord"])
+    over = F.col("n_fields") == n + 1
+    return run_checks(
+        cols,
+        [
+            Check("*", "fields.count", F.col("n_fields") == n, kind="structural", notes=f"expected {n}"),
+            Check(shift_at, "fields.shifted", ~(over & F.coalesce(F.col(shift_at).rlike(shift_pattern), F.lit(False))), kind="structural", notes="one field too many before this column"),
+            Check("surplus", "fields.surplus", F.col("_surplus").rlike(surplus_pattern), over, kind="structural", bad="WARN", notes="last field of records with one too many"),
+        ],
+        "ord",
+    )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlens.operators import objects as O
 from roadlens.operators import quality as Q
 from roadlens.operators import scan as S
+from roadlens.schema import CANONICAL_COLUMNS
 
 TRIP = ["Id", "Condition", "Map"]
 
@@ -21,6 +22,7 @@ TRANSCRIPT_TYPES = ("manual", "whisper")
 MAX_TTC_S = 10000.0
 MAX_SPEED_KMH = 250.0
 MIN_CORRELATION = 0.8
+SHIFTED_FLAG = r"^(?!\s*[01](\.0)?\s*$)."
 
 
 def checks() -> list[Q.Check]:
@@ -60,11 +62,19 @@ def checks() -> list[Q.Check]:
     return out + [Q.check_binary(c) for c in binary]
 
 
-def report(frames: DataFrame) -> DataFrame:
-    """All report rows of a frame table, ordered by column."""
+def structure(spark: SparkSession, path: str) -> DataFrame:
+    """Report rows on the shape of a written frame file: a flag column of shifted records holds text of the column before it."""
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    ragged = Q.read_ragged(spark.createDataFrame([(name,)], "file string"), folder).where("ord > 0")  # the header is record 0
+    return Q.check_structural(ragged, CANONICAL_COLUMNS, "first_feedback_in_event", SHIFTED_FLAG)
+
+
+def report(frames: DataFrame, *more: DataFrame) -> DataFrame:
+    """All report rows of a frame table and further report rows (:func:`structure`), ordered by column."""
     seq = S.sequence(frames, TRIP, ["SimulationTime", "FrameID"])
     by_frame = S.sequence(frames.select(*TRIP, "FrameID", "SimulationTime"), TRIP, ["FrameID"])
     return Q.report(
+        *more,
         Q.run_checks(seq, checks(), S.SEQ),
         Q.check_rows_per_group(seq, "Id"),
         Q.check_monotone(seq, TRIP, "FrameID", bad="WARN"),

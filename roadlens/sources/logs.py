@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +12,7 @@ from roadlens import schema as C
 from roadlens.functions import numeric as N
 from roadlens.functions import text as X
 from roadlens.operators import joins as J
+from roadlens.sources.json_ranges import read_log_records
 
 TRIP = ["Id", "Condition", "Map"]
 
@@ -92,30 +92,11 @@ def read_records(
 ) -> DataFrame:
     """Log records of all trips: trip keys, ``ord`` and the record's fields.
 
-    A file holds ``{"Logs": [...]}`` or a plain array. Unreadable files give no
-    records. Only files with a name that some trip gives are opened; of those, files in other folders than the trips
-    name are dropped. The driver holds one file name per trip, as its file listing does.
+    A file holds ``{"Logs": [...]}`` or a plain array. Unreadable files give no records. Files are found by the names of
+    the trips, below ``root``, and are read in byte ranges (:mod:`roadlens.sources.json_ranges`).
     """
-    schema = T.StructType([*record.fields, T.StructField("Logs", T.ArrayType(record))])
-    base = F.substring_index(F.translate(F.col(file_column), "\\", "/"), "/", -1)
-    names = sorted(r[0] for r in trips.where(F.col(file_column).isNotNull()).select(base).distinct().collect())
-    escaped = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", n) for n in names]
-    raw = spark.read.json(root, schema=schema, multiLine=True, recursiveFileLookup=True, pathGlobFilter="{" + ",".join(escaped or ["(no file)"]) + "}")
-    # file_path is URL-encoded; a plus sign in it is literal
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    lines = raw.select(
-        path.alias("_path"),
-        F.monotonically_increasing_id().alias("_line"),
-        F.struct(*[f.name for f in record.fields]).alias("_root"),
-        "Logs",
-    )
-    # a root-array record is a row of its own; an object is unpacked
-    records = F.coalesce("Logs", F.array("_root"))
-    unpacked = lines.select("_path", "_line", F.posexplode(records).alias("_pos", "_rec")).select(
-        "_path", (F.col("_line") + F.col("_pos")).alias("ord"), "_rec.*"
-    )
-    named = trips.select(*TRIP, _relative(F.col(file_column), root).alias("_file"))
-    return unpacked.withColumn("_file", _relative(F.col("_path"), root)).join(named, "_file").drop("_file", "_path")
+    named = trips.select(*TRIP, _relative(F.col(file_column), root).alias("file")).where("file is not null")
+    return read_log_records(named, root, record).join(named, "file").drop("file")
 
 
 def magnitude(value: Column) -> Column:

@@ -109,12 +109,13 @@ def test_recomputed_columns_and_phase_order(spark):
 def test_ragged(spark, tmp_path):
     path = tmp_path / "ragged.csv"
     path.write_text('a,b,c\n1,"x, ""y""",3\n1,2\n1,,A,4\n', encoding="utf-8")
-    ragged = Q.read_ragged(spark, str(path))
+    ragged = Q.read_ragged(spark.createDataFrame([("ragged.csv",)], "file string"), str(tmp_path))
     assert {r["n_fields"]: (r["n_rows"], r["kind"]) for r in Q.field_counts(ragged, 3).collect()} == {3: (2, "ok"), 2: (1, "short"), 4: (1, "long")}
     rows = [tuple(r) for r in Q.pad_fields(ragged, ["a", "b", "c"]).collect()]
     assert (3, "1", 'x, "y"', "3") in rows and (2, "1", "2", None) in rows and (4, "1", "", "A") in rows
-    got = {r["check_id"]: r["n_rows_failed"] for r in Q.check_structural(ragged, ["a", "b", "c"], "c", "^[A-Z]$").collect()}
-    assert got == {"fields.count": 2, "fields.shifted": 1}
+    report = Q.check_structural(ragged, ["a", "b", "c"], "c", "^[A-Z]$")
+    got = {r["check_id"]: (r["n_rows_checked"], r["n_rows_failed"], r["example_failing_rows"]) for r in report.collect()}
+    assert got == {"fields.count": (4, 2, "2, 3"), "fields.shifted": (4, 1, "3"), "fields.surplus": (1, 1, "3")}
 
 
 def _records(spark, tmp_path, name, data):
