@@ -15,6 +15,8 @@ from roadlens.llm.common import query, table, uniform
 
 #: Rows of the fitting sample: labelled documents, and documents without a label.
 LABELLED, UNLABELLED = 20_000, 10_000
+#: Rows of a step of the fit in full precision.
+BLOCK = 2048
 #: Rounds, pseudo-labels of a round as a share of the unlabelled rows, confidence they need, share of the labelled rows kept for calibration.
 ROUNDS, SHARE, CONFIDENT, HELD = 5, 0.1, 0.95, 0.25
 
@@ -78,21 +80,32 @@ class Logistic:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
-        x = x.astype(np.float64)
-        mean, scale = x.mean(0), x.std(0)
+        mean = x.mean(0, dtype=np.float64)
+        blocks = [slice(at, at + BLOCK) for at in range(0, len(x), BLOCK)]  # only one block is held in full precision
+        scale = np.sqrt(sum(((x[b] - mean) ** 2).sum(0) for b in blocks) / len(x))
         scale[scale < 1e-9] = 1.0
-        z = np.c_[(x - mean) / scale, np.ones(len(x))]
-        penalty = np.full(z.shape[1], ridge)
+        n = x.shape[1] + 1
+        penalty = np.full(n, ridge)
         penalty[-1] = 1e-6
-        w = np.zeros(z.shape[1])
+        w = np.zeros(n)
         value = np.inf
+
+        def standard(b: slice) -> np.ndarray:
+            part = x[b]
+            return np.c_[(part - mean) / scale, np.ones(len(part))]
+
         while True:
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
+            curve, slope = np.diag(penalty), penalty * w
+            for b in blocks:
+                z = standard(b)
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                curve = curve + (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+                slope = slope + z.T @ (p - y[b])
+            step = np.linalg.solve(curve, slope)
             size = 1.0
             while True:  # halve a step that does not lower the loss
                 new = w - size * step
-                loss = np.logaddexp(0, -(2 * y - 1) * (z @ new)).sum() + 0.5 * (penalty * new**2).sum()
+                loss = sum(np.logaddexp(0, -(2 * y[b] - 1) * (standard(b) @ new)).sum() for b in blocks) + 0.5 * (penalty * new**2).sum()
                 if loss <= value or size < 1e-4:
                     break
                 size /= 2
@@ -183,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, unlabel
     text, meta = (np.frombuffer(b"".join(r[k] for r in rows), np.float32).reshape(len(rows), -1) for k in ("text", "meta"))
     has = np.array([r.y is not None for r in rows])
     y, held = np.array([r.y or 0.0 for r in rows]), np.array([r.held for r in rows])
+    del rows  # the arrays are all that is needed
     if not has.any():
         return None
     if len(set(y[has])) < 2:
