@@ -8,8 +8,9 @@ equal anchors at equal offsets. Neighbouring windows with one anchor form a piec
 * unlike pieces of one anchor are compared as texts: anchors are dealt into blocks of bounded size, and each block finds its repeated
   windows by the Burrows-Wheeler transform of its pieces (``suffix_array``).
 
-An anchor with very many unlike pieces (a passage met in different surroundings) would make one block large; its windows are
-compared by 128-bit hashes instead, as rows of an aggregation that Spark spreads over all tasks.
+An anchor with very many unlike pieces (a passage met in different surroundings) would make one block large; its pieces are dealt
+into several blocks, and what a block leaves open is compared with the windows of the others by 128-bit hashes: rows of an
+aggregation that Spark spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from roadlens.llm.common import query, slices, stored, table
 from roadlens.llm.suffix_array import repeated
 from roadlens.session import work_dir
 
-#: Bytes of an anchor; text hashed at once; bytes of pieces in a block; unlike pieces of an anchor that is compared by hashes.
+#: Bytes of an anchor; text hashed at once; bytes of pieces in a block; kinds of pieces of an anchor in one block.
 ANCHOR, STEP, BLOCK_BYTES, HOT = 64, 2 << 20, 1 << 20, 1024
 #: Bytes of a bucket of the stored texts, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 50_000
@@ -187,9 +188,13 @@ def _pieces(texts: DataFrame, length: int, step: int) -> DataFrame:
 
 
 def _unlike(pieces: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """``a, k1, k2, start, alone, hot, piece``: the bytes of one of each kind of piece of the anchors that have several kinds."""
+    """``a, k1, k2, start, alone, share, piece``: the bytes of one of each kind of piece of the anchors that have several kinds.
+
+    ``share`` is null, or for anchors with more than HOT kinds the number of the part to which the piece is dealt.
+    """
     kinds = pieces.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    places = F.struct("start", "windows", "a", F.expr("n = 1").alias("alone"), (F.col("kinds") > HOT).alias("hot"))
+    share = F.when(F.col("kinds") > HOT, F.pmod(F.xxhash64("g"), F.ceil(F.col("kinds") / HOT)))
+    places = F.struct("start", "windows", "a", F.expr("n = 1").alias("alone"), share.cast("long").alias("share"))
     wanted = pieces.join(kinds, "a").groupBy("k1", "k2").agg(F.collect_list(places).alias("places"))  # the pieces of one text
 
     def run(batches):
@@ -198,7 +203,7 @@ def _unlike(pieces: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             out = []
             for i, text in enumerate(texts):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(p["a"], k1[i], k2[i], p["start"], p["alone"], p["hot"], raw[p["start"] : p["start"] + p["windows"] + length - 1]) for p in places[i]]
+                out += [(p["a"], k1[i], k2[i], p["start"], p["alone"], p["share"], raw[p["start"] : p["start"] + p["windows"] + length - 1]) for p in places[i]]
                 if len(out) > 4096:
                     yield batch(out)
                     out = []
@@ -206,59 +211,63 @@ def _unlike(pieces: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 yield batch(out)
 
     def batch(rows):
-        kinds = [pa.int64()] * 4 + [pa.bool_()] * 2 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["a", "k1", "k2", "start", "alone", "hot", "piece"])
+        kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["a", "k1", "k2", "start", "alone", "share", "piece"])
 
     read = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "places")
-    return read.mapInArrow(run, "a long, k1 long, k2 long, start long, alone boolean, hot boolean, piece binary")
+    return read.mapInArrow(run, "a long, k1 long, k2 long, start long, alone boolean, share long, piece binary")
+
+
+_FOUND = "k1 long, k2 long, start long, stop long, h1 long, h2 long, open boolean"
 
 
-_SPANS = "k1 long, k2 long, start long, stop long"
+def _window_hashes(piece: bytes, starts: list[int], length: int) -> np.ndarray:
+    """Two longs for each window."""
+    joined = b"".join(hashlib.blake2b(piece[j : j + length], digest_size=16).digest() for j in starts)
+    return np.frombuffer(joined, np.int64).reshape(-1, 2)
 
 
 def _blocks(unlike: DataFrame, length: int) -> DataFrame:
-    """Spans of the repeated windows of pieces that are the only ones of their kind, block by block."""
+    """What the blocks find: spans of repeated windows (``stop`` is set), and of hot anchors the windows that other blocks may hold.
+
+    Only pieces that are the only ones of their kind need spans: the others repeat as a whole. A hot piece's windows that repeat in
+    the block are sent once, and the rest each, ``open`` where a repeat elsewhere would remove it.
+    """
     size = unlike.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
 
     def run(block: pa.Table) -> pa.Table:
-        alone = np.flatnonzero(block.column("alone").to_numpy(zero_copy_only=False))
-        found = repeated(block.column("piece").to_pylist(), length)
-        k1, k2, start = (block.column(c).to_numpy() for c in ("k1", "k2", "start"))
-        rows, first, last = [], [], []
-        for i in alone.tolist():
-            if len(found[i]):
-                cut = np.flatnonzero(np.diff(found[i]) > 1)
-                first.append(found[i][np.r_[0, cut + 1]] + start[i])
-                last.append(found[i][np.r_[cut, len(found[i]) - 1]] + start[i] + length)
-                rows += [i] * len(first[-1])
-        first, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, last))
+        pieces = block.column("piece").to_pylist()
+        found = repeated(pieces, length)
+        alone, share = block.column("alone").to_pylist(), block.column("share").to_pylist()
+        start = block.column("start").to_numpy()
+        rows, columns, sent = [], [], set()
+        for i, hit in enumerate(found):
+            if alone[i] and len(hit):
+                cut = np.flatnonzero(np.diff(hit) > 1)
+                first, last = hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]]
+                rows += [i] * len(first)
+                none = np.zeros(len(first), np.int64)
+                columns.append((first + start[i], last + start[i] + length, none, none, np.zeros(len(first), bool)))
+            if share[i] is not None:
+                windows = np.arange(len(pieces[i]) - length + 1)
+                again = np.isin(windows, hit)
+                h = _window_hashes(pieces[i], windows.tolist(), length)
+                keep = ~again
+                for j in np.flatnonzero(again).tolist():
+                    if (key := (int(h[j, 0]), int(h[j, 1]))) not in sent:
+                        sent.add(key)
+                        keep[j] = True
+                rows += [i] * int(keep.sum())
+                none = np.full(int(keep.sum()), -1)
+                columns.append((windows[keep] + start[i], none, h[keep, 0], h[keep, 1], ~again[keep] & bool(alone[i])))
+        merged = [np.concatenate(c) for c in zip(*columns)] if columns else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
         at = np.array(rows, np.int64)
-        return pa.table({"k1": k1[at], "k2": k2[at], "start": first, "stop": last})
-
-    dealt = unlike.select(F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("block"), "k1", "k2", "start", "alone", "piece")
-    return dealt.groupBy("block").applyInArrow(run, _SPANS)
+        names = ["start", "stop", "h1", "h2", "open"]
+        return pa.table({"k1": block.column("k1").to_numpy()[at], "k2": block.column("k2").to_numpy()[at], **dict(zip(names, merged))})
 
-
-def _hashed(unlike: DataFrame, length: int) -> DataFrame:
-    """Spans of repeated windows of hot anchors, by 128-bit hashes of all their windows."""
-
-    def run(batches):
-        for part in slices(batches, 512):
-            out = []
-            for i, piece in enumerate(part.column(4).to_pylist()):
-                k1, k2, start, alone = (part.column(c)[i].as_py() for c in range(4))
-                for j in range(len(piece) - length + 1):
-                    h = hashlib.blake2b(piece[j : j + length], digest_size=16).digest()
-                    out.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), k1, k2, start + j, alone))
-            kinds = [pa.int64()] * 5 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["h1", "h2", "k1", "k2", "start", "alone"])
-
-    windows = unlike.select("k1", "k2", "start", "alone", "piece").mapInArrow(run, "h1 long, h2 long, k1 long, k2 long, start long, alone boolean")
-    windows = stored(windows, "suffix-windows")
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hit = windows.where("alone").join(again, ["h1", "h2"], "left_semi")
-    return hit.select("k1", "k2", "start", (F.col("start") + length).alias("stop"))
+    number = F.pmod(F.xxhash64("a", F.coalesce("share", F.lit(-1).cast("long"))), F.lit(blocks)).alias("block")
+    return unlike.select(number, "k1", "k2", "start", "alone", "share", "piece").groupBy("block").applyInArrow(run, _FOUND)
 
 
 def spans(texts: DataFrame, length: int, step: int = STEP) -> DataFrame:
@@ -270,11 +279,12 @@ def spans(texts: DataFrame, length: int, step: int = STEP) -> DataFrame:
     pieces = stored(live.groupBy("a", "g").agg(F.count("*").alias("n"), *one), "suffix-kinds")
     alike = live.join(pieces.where("n > 1").select("a", "g"), ["a", "g"], "left_semi")
     alike = alike.select("k1", "k2", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
-    unlike = stored(_unlike(pieces, texts, length), "suffix-unlike")
-    out = alike.unionByName(_blocks(unlike.where("not hot"), length))
-    if unlike.where("hot").limit(1).count():
-        out = out.unionByName(_hashed(unlike.where("hot"), length))
-    return out
+    found = stored(_blocks(stored(_unlike(pieces, texts, length), "suffix-unlike"), length), "suffix-found")
+    windows = found.where("stop < 0")
+    met = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    across = windows.where("open").join(met, ["h1", "h2"], "left_semi")
+    across = across.select("k1", "k2", "start", (F.col("start") + length).alias("stop"))
+    return alike.unionByName(found.where("stop >= 0").select("k1", "k2", "start", "stop")).unionByName(across)
 
 
 def union_of(parts: list[dict]) -> list[tuple[int, int]]:
@@ -298,7 +308,7 @@ def drop_repeats(docs: DataFrame, *, length: int = 200, step: int = STEP, id_col
     columns are read. Kinds of pieces are told apart by 64-bit hashes within one 64-bit anchor hash.
 
     Texts move once; after that narrow rows meet them in their buckets. No step gathers the places of one passage: equal pieces are
-    counted, unlike ones lie in blocks of about BLOCK_BYTES, and anchors with more than HOT kinds are spread by window hashes.
+    counted, unlike ones lie in blocks of about BLOCK_BYTES, and anchors with more than HOT kinds are dealt over several of them.
     """
     if not ANCHOR <= length <= STEP or step > STEP:
         raise ValueError(f"length must be {ANCHOR} to {STEP}, step at most {STEP}")

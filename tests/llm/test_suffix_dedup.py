@@ -58,7 +58,8 @@ def test_transform_finds_repeats(length):
 
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_same_as_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(d, "HOT", hot)  # 3: most shared anchors are compared by hashes
+    monkeypatch.setattr(d, "HOT", hot)  # 3: most shared anchors are dealt over several blocks
+    monkeypatch.setattr(d, "BLOCK_BYTES", 2000 if hot == 3 else 1 << 20)
     rows = list(enumerate(texts(60)))
     rows += [(None, rows[1][1]), (7, rows[7][1]), (1000, None), (1001, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
