@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from roadlens.llm.common import query, slices, stored, table
 
 #: A shard is closed at this many documents or bytes of text; a longer text has a shard of its own.
-SHARD_DOCS, SHARD_BYTES = 4096, 16 << 20
+SHARD_DOCS, SHARD_BYTES = 2048, 8 << 20
 #: Pairs of item and term in a block of items; entries split at once for an item; terms of items searched together.
 BLOCK_TERMS, WIDTH, TOGETHER = 100_000, 48, 2048
 #: Salted groups in which tasks' places are merged first.
@@ -70,12 +70,12 @@ def build_tree(rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> dict:
     ``tops``: its largest value; ``values, rows, cols``: each single point's value and what is left of its place below its cell.
     """
     height = max(int(rows.max(initial=0)).bit_length(), int(cols.max(initial=0)).bit_length(), 1)
+    values = values.astype(np.uint32)
     z = (_spread(rows) << np.uint64(1)) | _spread(cols)
     order = np.argsort(z, kind="stable")
-    z, v = z[order], values[order].astype(np.uint32)
-    r, c = rows[order], cols[order]
+    z, v, r, c = z[order], values[order], rows[order], cols[order]
     tops, flags, single_v, single_r, single_c = [np.array([v.max(initial=0)], np.uint32)], [], [], [], []
-    owner = np.zeros(len(z), np.int64)  # number of the point's cell among the cells of the level above
+    owner = np.zeros(len(z), np.int32)  # number of the point's cell among the cells of the level above
     cells = 1
     for shift in range(height - 1, -1, -1):
         key = z >> np.uint64(2 * shift)
@@ -96,7 +96,7 @@ def build_tree(rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> dict:
             break
         tops.append(np.maximum.reduceat(v, start)[~one])
         inner = np.repeat(~one, count)
-        owner = np.repeat(np.arange(cells), count[~one])
+        owner = np.repeat(np.arange(cells, dtype=np.int32), count[~one])
         z, v, r, c = z[inner], v[inner], r[inner], c[inner]
     small = np.uint16 if height <= 16 else np.uint32
     return {
@@ -134,20 +134,20 @@ class Shard:
         """The shard as a row of the index; rows without an id count for its terms but have no column."""
         number = self.number
         sizes = np.array([len(c) for c in self.counts], np.int64)
-        term = np.concatenate(self.terms).astype(np.int64)
+        term = np.concatenate(self.terms)
         tf = np.concatenate(self.counts).astype(np.int64)
         found = np.bincount(term, minlength=len(number))
         order = np.argsort(-found, kind="stable")
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         words = list(number)
         named = [i for i, key in enumerate(self.ids) if key is not None]
         named.sort(key=self.ids.__getitem__)
-        column = np.full(len(self.ids), -1, np.int64)
+        column = np.full(len(self.ids), -1, np.int32)
         column[named] = np.arange(len(named))
         m = np.array([damping(n, documents, total) for n in self.lengths], np.int64)
         cols = np.repeat(column, sizes)
-        value = impacts(tf, np.repeat(m, sizes))
+        value = impacts(tf, np.repeat(m, sizes)).astype(np.uint32)  # below 10^6
         keep = cols >= 0
         return {
             "ids": np.array([self.ids[i] for i in named], np.int64).tobytes(),
