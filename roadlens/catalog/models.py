@@ -1,4 +1,4 @@
-"""Model fits on the shipped tables: iterative, so without SQL twins."""
+"""Model fits on the shipped tables, iterative and so without SQL twins, and exact nearest neighbours."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from roadlens.catalog import query
 from roadlens.catalog.windows import cells
 from roadlens.operators import models as M
+from roadlens.operators import nearest as NP
 from roadlens.operators import smote as SM
 from roadlens.operators import stats as ST
 from roadlens.operators import windows as W
@@ -51,6 +52,22 @@ def boosted_trees(spark, sf):
     return spark.createDataFrame([(f, v, auc) for f, v in M.importances(model, _FEATURES)], "feature string, importance double, auc double")
 
 
+@query(
+    "nearest_vectors",
+    """WITH v AS (SELECT min(vec_id) AS vec_id, list_transform(embedding[1:12], lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings GROUP BY x),
+p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_distance(a.x, b.x) AS d, b.x AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, y) AS place FROM p)
+SELECT vec_id, neighbour_id, round(d, 9) AS distance, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5""",
+)
+def nearest_vectors(spark, sf):
+    """Five nearest other vectors of every vector in twelve dimensions."""
+    x = F.transform(F.slice("embedding", 1, 12), lambda e: e.cast("double"))
+    v = D.table(spark, sf, "embeddings").select("vec_id", x.alias("x")).groupBy("x").agg(F.min("vec_id").alias("vec_id"))
+    near = NP.nearest_points(v, 12, 5, leaf_rows=64)
+    other = v.select(F.col("x").alias("neighbour"), F.col("vec_id").alias("neighbour_id"))
+    return near.join(v, "x").join(other, "neighbour").select("vec_id", "neighbour_id", F.round("distance", 9).alias("distance"), "place")
+
+
 @query("smote_orders")
 def smote_orders(spark, sf):
     """Class sizes of orders in part delivery before and after oversampling."""

@@ -2,92 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.operators import scan as S
+from roadlens.operators.nearest import nearest_points
 from roadlens.session import materialize
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-
-
-_BITS = 16
-
-
-def _shadow(vec: str, dims: int) -> list[Column]:
-    """Up to three coordinates that never stretch distances: the axes, or fixed unit directions."""
-    if dims <= 3:
-        return [F.get(vec, F.lit(i)) for i in range(dims)]
-    out = []
-    for d in range(3):
-        raw = [math.cos(1 + 2.3 * i * (d + 1) + d) for i in range(dims)]
-        norm = math.sqrt(sum(v * v for v in raw))
-        axis = F.array(*[F.lit(v / norm) for v in raw])
-        out.append(F.aggregate(F.zip_with(vec, axis, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    return out
-
-
-def nearest_points(points: DataFrame, dims: int, k: int, *, vec: str = "x", chunk_bits: int = S.CHUNK_BITS) -> DataFrame:
-    """Exact k nearest other points of every (distinct) point: x, neighbour, distance, place.
-
-    The points are put in Z-order of up to three coordinates; those next to each
-    other there bound each point's k-th distance. Whatever is nearer must lie in
-    the box of that size around the point, found by an equi-join on grid cells.
-    The cell size follows the bound in steps of four, so a box touches at most
-    three cells per coordinate. No candidate in the box is left out.
-    """
-    n = min(dims, 3)
-    names = [f"p{i}" for i in range(n)]
-    one = points.select(vec).distinct().select(vec, *[c.alias(p) for p, c in zip(names, _shadow(vec, dims))], F.lit(1).alias("_all"))
-    one = materialize(one, "points")
-    box = one.agg(*[f(p).alias(f"{m}{p}") for p in names for m, f in (("lo", F.min), ("hi", F.max))]).first()
-    if box is None or box[f"lo{names[0]}"] is None:
-        return one.select(vec, F.col(vec).alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("place")).limit(0)
-    code = F.lit(0).cast("long")
-    for i, p in enumerate(names):
-        size = (box[f"hi{p}"] - box[f"lo{p}"]) or 1.0
-        q = F.floor((F.col(p) - F.lit(box[f"lo{p}"])) / F.lit(size) * ((1 << _BITS) - 1)).cast("long")
-        for bit in range(_BITS):
-            code = code.bitwiseOR(F.shiftleft(F.shiftright(q, bit).bitwiseAND(F.lit(1).cast("long")), bit * n + i))
-    seq = S.sequence(one, ["_all"], [code, vec], chunk_bits)
-    beside = S.neighbours(seq, ["_all"], k, k, lambda w: {"_near": F.collect_list(vec).over(w.rowsBetween(-k, k))})
-    dists = F.array_sort(F.transform("_near", lambda v: _distance(F.col(vec), v)))
-    # place 0 is the point itself; fewer than k others bound nothing but the whole extent
-    extent = math.sqrt(sum((box[f"hi{p}"] - box[f"lo{p}"]) ** 2 for p in names)) + 1.0
-    bound = F.least(F.coalesce(F.get(dists, F.lit(k)), F.lit(extent)) * (1 + 1e-9) + 1e-12, F.lit(extent))
-    bounded = materialize(beside.select(F.col(S.SEQ).alias("_id"), vec, *names, bound.alias("r")), "bounded")
-    width = bounded.agg(F.percentile_approx("r", 0.5).alias("w"), F.max("r").alias("top")).first()
-    unit = max(width["w"], extent * 1e-9)
-    top = max(0, math.ceil(math.log(max(width["top"] / unit, 1.0), 4)))
-    level = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.col("r") / unit, F.lit(1.0))))).cast("int")
-    cell = F.lit(unit) * F.pow(F.lit(4.0), F.col("_lv"))
-
-    def cells(p: str) -> Column:
-        return F.explode(F.sequence(F.floor((F.col(p) - F.col("r")) / cell).cast("long"), F.floor((F.col(p) + F.col("r")) / cell).cast("long")))
-
-    asks = bounded.withColumn("_lv", level).withColumnRenamed(vec, "_of")
-    for p in names:
-        asks = asks.withColumn(f"_{p}", cells(p))
-    keys = ["_lv", *[f"_{p}" for p in names]]
-    offers = bounded.select(F.col("_id").alias("_other"), F.col(vec).alias("_v"), *names, F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_lv"))
-    offers = offers.select("_other", "_v", "_lv", *[F.floor(F.col(p) / cell).cast("long").alias(f"_{p}") for p in names])
-    # offers of levels nobody asks for never leave their task
-    used = asks.select("_lv").distinct()
-    pairs = asks.select("_id", "_of", "r", *keys).join(offers.join(F.broadcast(used), "_lv", "left_semi"), keys)
-    scored = pairs.where(F.col("_other") != F.col("_id")).withColumn("distance", _distance(F.col("_of"), F.col("_v"))).where(
-        F.col("distance") <= F.col("r")
-    )
-    place = F.row_number().over(Window.partitionBy("_id").orderBy("distance", "_other"))
-    return scored.withColumn("place", place).where(F.col("place") <= k).select(
-        F.col("_of").alias(vec), F.col("_v").alias("neighbour"), "distance", "place"
-    )
-
-
 def smote(
     df: DataFrame, features: Sequence[str], y: str, *, k: int = 5, seed: int = 42, chunk_bits: int = S.CHUNK_BITS
 ) -> DataFrame:
@@ -106,7 +30,7 @@ def smote(
     need, have = max(sizes.values()) - sizes[rare], sizes[rare]
     few = base.where(F.col(y) == rare).select(F.array(*features).alias("x"))
     copies = few.groupBy("x").agg(F.count(F.lit(1)).alias("m"))
-    near = materialize(nearest_points(few, len(features), k, chunk_bits=chunk_bits), "near")
+    near = materialize(nearest_points(few, len(features), k), "near")
     options = near.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("place", "neighbour"))).alias("_o"))  # at most k per point
     # spread copies to rows again, numbered over all tasks
     rows = copies.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "m")))

@@ -2,12 +2,14 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from roadlens.operators import models as M
+from roadlens.operators import nearest as NP
 from roadlens.operators import smote as SM
 from roadlens.operators import stats as ST
 from roadlens.operators import survival as SV
@@ -128,18 +130,52 @@ def test_auc_and_rank_test(spark, bits):
     assert best["f1"] == pytest.approx(max(f1(t) for t in {s for s, _ in rows}))
 
 
-def test_nearest_points_are_exact(spark):
-    r = random.Random(6)
-    pts = [[round(r.gauss(0, 1), 3), round(r.gauss(0, 5), 3)] for _ in range(120)] + [[50.0, 50.0], [1.0, 1.0], [1.0, 1.0]]
-    df = spark.createDataFrame([(p,) for p in pts], "x array<double>")
+def _neighbours(points, k):
+    """Distances of the k nearest other distinct points."""
+    x = np.unique(np.array(points), axis=0)
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    return {tuple(p): np.sort(row)[: min(k, len(x) - 1)].tolist() for p, row in zip(x.tolist(), d)}
+
+
+def _found(spark, points, dims, k, **options):
     got = {}
-    for row in SM.nearest_points(df, 2, 4, chunk_bits=3).collect():
-        got.setdefault(tuple(row["x"]), []).append(row["distance"])
-    distinct = {tuple(p) for p in pts}
-    assert set(got) == distinct
-    for p in distinct:
-        want = sorted(math.dist(p, q) for q in distinct if q != p)[:4]
-        assert sorted(got[p]) == pytest.approx(want)
+    for row in NP.nearest_points(spark.createDataFrame([(p,) for p in points], "x array<double>"), dims, k, **options).orderBy("place").collect():
+        assert row["distance"] == pytest.approx(math.dist(row["x"], row["neighbour"]), rel=1e-12)
+        got.setdefault(tuple(row["x"]), []).append((row["place"], row["distance"]))
+    assert all([p for p, _ in v] == list(range(1, len(v) + 1)) for v in got.values())
+    return {x: [d for _, d in v] for x, v in got.items()}
+
+
+@pytest.mark.parametrize("dims,leaf", [(1, 8), (2, 10), (12, 16), (12, 5000), (40, 30)])
+def test_nearest_points_are_exact(spark, dims, leaf):
+    r = np.random.default_rng(dims)
+    middle = r.normal(size=(6, dims)) * 4
+    pts = np.round(middle[r.integers(0, 6, 300)] + r.normal(size=(300, dims)), 3).tolist()
+    pts += [[50.0] * dims, [1.0] * dims, [1.0] * dims] + [(np.ones(dims) * i / 7).tolist() for i in range(30)]  # an outlier, copies, ties
+    got, want = _found(spark, pts, dims, 4, leaf_rows=leaf), _neighbours(pts, 4)
+    assert set(got) == set(want)
+    for x in want:
+        assert got[x] == pytest.approx(want[x], rel=1e-12)
+
+
+def test_nearest_points_of_few(spark):
+    assert _found(spark, [[1.0, 2.0]], 2, 3) == {}
+    pts = [[0.0, 0.0], [3.0, 4.0], [6.0, 8.0]]
+    assert _found(spark, pts, 2, 5, leaf_rows=1) == {(0.0, 0.0): [5.0, 10.0], (3.0, 4.0): [5.0, 5.0], (6.0, 8.0): [5.0, 10.0]}
+    odd = spark.createDataFrame([(None,), ([1.0],), ([1.0, None],), ([1.0, float("nan")],)], "x array<double>")
+    assert NP.nearest_points(odd, 2, 3).count() == 0
+
+
+def test_nearest_points_grow_slowly(spark):
+    """Four times the points take less than five times the time, in twelve dimensions."""
+    took = []
+    for n in (4000, 16000):
+        df = spark.range(n).select(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.sin(F.xxhash64("id", i) / F.lit(2.0**40))).alias("x"))
+        start = time.time()
+        assert NP.nearest_points(df, 12, 5).count() == 5 * n
+        took.append(time.time() - start)
+    assert took[1] < 5 * took[0] + 5, took
 
 
 def test_smote_balances_inside_the_minority(spark):
