@@ -9,8 +9,9 @@ equal anchors at equal offsets. Neighbouring windows with one anchor form a piec
   windows by the Burrows-Wheeler transform of its pieces (``suffix_array``).
 
 An anchor with very many unlike pieces (a passage met in different surroundings) would make one block large; its pieces are dealt
-into several blocks, and what a block leaves open is compared with the windows of the others by 128-bit hashes: rows of an
-aggregation that Spark spreads over all tasks.
+into several blocks, and what a block leaves open is compared with the windows of the others by 128-bit hashes: first the bytes that
+CLASS neighbouring windows have in common, then the single windows of those that are met. Both are rows of an aggregation that Spark
+spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from roadlens.session import work_dir
 ANCHOR, STEP, BLOCK_BYTES, HOT = 64, 2 << 20, 1 << 20, 1024
 #: Bytes of a bucket of the stored texts, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 50_000
+#: Windows whose offsets from their anchor are compared as one first.
+CLASS = 8
 #: Distinct texts that a task remembers while it drops repeats.
 REMEMBERED = 200_000
 
@@ -67,11 +70,11 @@ class Hasher:
         return h ^ (h >> np.uint64(33))
 
 
-def runs(data: np.ndarray, sizes: np.ndarray, length: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, start and number of windows of each piece in texts that lie one after the other in ``data``."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def runs(data: np.ndarray, sizes: np.ndarray, length: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, start, number of windows and place of the anchor in the piece, of each piece in texts that lie one after the other in ``data``."""
     if len(data) < length:
-        return none
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none, none
     hashes = hasher(data)
     wide = length - ANCHOR + 1
     # the lowest hash of each window, the leftmost of equal ones: block-wise running minima from both sides
@@ -95,7 +98,8 @@ def runs(data: np.ndarray, sizes: np.ndarray, length: int, hasher: Hasher) -> tu
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, windows])
     keep = whole[first]
-    return hashes[place[first[keep]]], first[keep], count[keep]
+    first, count = first[keep], count[keep]
+    return hashes[place[first]], first, count, place[first] - first
 
 
 def _parts(texts: list[bytes], length: int, step: int):
@@ -164,7 +168,7 @@ def _distinct_texts(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _pieces(texts: DataFrame, length: int, step: int) -> DataFrame:
-    """``a, g, k1, k2, start, windows``: anchor hash, hash of the piece's bytes, text and place."""
+    """``a, g, k1, k2, start, windows, anchor``: anchor hash, hash of the piece's bytes, text, place, and place of the anchor in it."""
 
     def run(batches):
         hasher = Hasher()
@@ -174,27 +178,27 @@ def _pieces(texts: DataFrame, length: int, step: int) -> DataFrame:
             for batch in _parts(texts, length, step):
                 joined = b"".join(p for _, _, p in batch)
                 sizes = np.array([len(p) for _, _, p in batch], np.int64)
-                a, first, count = runs(np.frombuffer(joined, np.uint8), sizes, length, hasher)
+                a, first, count, at_anchor = runs(np.frombuffer(joined, np.uint8), sizes, length, hasher)
                 ends = (first + count + length - 1).tolist()
                 g = [hashlib.blake2b(joined[s:e], digest_size=8).digest() for s, e in zip(first.tolist(), ends)]
                 borders = np.cumsum(sizes)
                 at = np.searchsorted(borders, first, side="right")
                 row = np.array([r for r, _, _ in batch], np.int64)[at]
                 start = first - (borders - sizes)[at] + np.array([o for _, o, _ in batch], np.int64)[at]
-                columns = [a.view(np.int64), np.frombuffer(b"".join(g), np.int64), keys[0][row], keys[1][row], start, count.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "g", "k1", "k2", "start", "windows"])
+                columns = [a.view(np.int64), np.frombuffer(b"".join(g), np.int64), keys[0][row], keys[1][row], start, count.astype(np.int32), at_anchor.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "g", "k1", "k2", "start", "windows", "anchor"])
 
-    return texts.select("k1", "k2", "text").mapInArrow(run, "a long, g long, k1 long, k2 long, start long, windows int")
+    return texts.select("k1", "k2", "text").mapInArrow(run, "a long, g long, k1 long, k2 long, start long, windows int, anchor int")
 
 
 def _unlike(pieces: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """``a, k1, k2, start, alone, share, piece``: the bytes of one of each kind of piece of the anchors that have several kinds.
+    """``a, k1, k2, start, alone, share, anchor, piece``: the bytes of one of each kind of piece of the anchors that have several kinds.
 
     ``share`` is null, or for anchors with more than HOT kinds the number of the part to which the piece is dealt.
     """
     kinds = pieces.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
     share = F.when(F.col("kinds") > HOT, F.pmod(F.xxhash64("g"), F.ceil(F.col("kinds") / HOT)))
-    places = F.struct("start", "windows", "a", F.expr("n = 1").alias("alone"), share.cast("long").alias("share"))
+    places = F.struct("start", "windows", "anchor", "a", F.expr("n = 1").alias("alone"), share.cast("long").alias("share"))
     wanted = pieces.join(kinds, "a").groupBy("k1", "k2").agg(F.collect_list(places).alias("places"))  # the pieces of one text
 
     def run(batches):
@@ -203,7 +207,7 @@ def _unlike(pieces: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             out = []
             for i, text in enumerate(texts):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(p["a"], k1[i], k2[i], p["start"], p["alone"], p["share"], raw[p["start"] : p["start"] + p["windows"] + length - 1]) for p in places[i]]
+                out += [(p["a"], k1[i], k2[i], p["start"], p["alone"], p["share"], p["anchor"], raw[p["start"] : p["start"] + p["windows"] + length - 1]) for p in places[i]]
                 if len(out) > 4096:
                     yield batch(out)
                     out = []
@@ -211,27 +215,42 @@ def _unlike(pieces: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 yield batch(out)
 
     def batch(rows):
-        kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["a", "k1", "k2", "start", "alone", "share", "piece"])
+        kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["a", "k1", "k2", "start", "alone", "share", "anchor", "piece"])
 
     read = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "places")
-    return read.mapInArrow(run, "a long, k1 long, k2 long, start long, alone boolean, share long, piece binary")
+    return read.mapInArrow(run, "a long, k1 long, k2 long, start long, alone boolean, share long, anchor int, piece binary")
 
 
-_FOUND = "k1 long, k2 long, start long, stop long, h1 long, h2 long, open boolean"
+_FOUND = "k1 long, k2 long, start long, stop long, h1 long, h2 long, open long, body binary"
 
 
-def _window_hashes(piece: bytes, starts: list[int], length: int) -> np.ndarray:
-    """Two longs for each window."""
-    joined = b"".join(hashlib.blake2b(piece[j : j + length], digest_size=16).digest() for j in starts)
-    return np.frombuffer(joined, np.int64).reshape(-1, 2)
+def _hash(data: bytes) -> tuple[int, int]:
+    h = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+
+
+def _classes(piece: bytes, a: int, anchor: int, again: np.ndarray, alone: bool, length: int):
+    """For each group of windows of a hot piece: hash of what they share, first window, bits of the open ones, bytes, all repeated?
+
+    The offset from the anchor decides the group, so equal windows are in groups with equal shared bytes.
+    """
+    n = len(piece) - length + 1
+    for group in range((anchor - n + 1) // CLASS, anchor // CLASS + 1):
+        top = anchor - group * CLASS
+        low, high = max(0, top - CLASS + 1), min(n - 1, top)
+        shared = piece[top : top - CLASS + 1 + length]
+        key = _hash(shared + a.to_bytes(8, "little", signed=True) + group.to_bytes(4, "little"))
+        open_ = sum(1 << (w - low) for w in range(low, high + 1) if alone and not again[w])
+        yield key, low, open_, piece[low : high + length], bool(again[low : high + 1].all())
 
 
 def _blocks(unlike: DataFrame, length: int) -> DataFrame:
     """What the blocks find: spans of repeated windows (``stop`` is set), and of hot anchors the windows that other blocks may hold.
 
-    Only pieces that are the only ones of their kind need spans: the others repeat as a whole. A hot piece's windows that repeat in
-    the block are sent once, and the rest each, ``open`` where a repeat elsewhere would remove it.
+    Only pieces that are the only ones of their kind need spans: the others repeat as a whole. A hot piece's windows are sent by
+    groups; groups in which all windows repeat in the block are sent once. ``open`` has a bit for each window that a repeat elsewhere
+    would remove.
     """
     size = unlike.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
@@ -239,35 +258,32 @@ def _blocks(unlike: DataFrame, length: int) -> DataFrame:
     def run(block: pa.Table) -> pa.Table:
         pieces = block.column("piece").to_pylist()
         found = repeated(pieces, length)
-        alone, share = block.column("alone").to_pylist(), block.column("share").to_pylist()
-        start = block.column("start").to_numpy()
-        rows, columns, sent = [], [], set()
+        a, alone, share, anchor, start = (block.column(c).to_pylist() for c in ("a", "alone", "share", "anchor", "start"))
+        rows, out, sent = [], [], set()
         for i, hit in enumerate(found):
             if alone[i] and len(hit):
                 cut = np.flatnonzero(np.diff(hit) > 1)
-                first, last = hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]]
+                first, last = hit[np.r_[0, cut + 1]].tolist(), hit[np.r_[cut, len(hit) - 1]].tolist()
                 rows += [i] * len(first)
-                none = np.zeros(len(first), np.int64)
-                columns.append((first + start[i], last + start[i] + length, none, none, np.zeros(len(first), bool)))
+                out += [(start[i] + b, start[i] + e + length, 0, 0, 0, None) for b, e in zip(first, last)]
             if share[i] is not None:
-                windows = np.arange(len(pieces[i]) - length + 1)
-                again = np.isin(windows, hit)
-                h = _window_hashes(pieces[i], windows.tolist(), length)
-                keep = ~again
-                for j in np.flatnonzero(again).tolist():
-                    if (key := (int(h[j, 0]), int(h[j, 1]))) not in sent:
-                        sent.add(key)
-                        keep[j] = True
-                rows += [i] * int(keep.sum())
-                none = np.full(int(keep.sum()), -1)
-                columns.append((windows[keep] + start[i], none, h[keep, 0], h[keep, 1], ~again[keep] & bool(alone[i])))
-        merged = [np.concatenate(c) for c in zip(*columns)] if columns else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
-        at = np.array(rows, np.int64)
-        names = ["start", "stop", "h1", "h2", "open"]
-        return pa.table({"k1": block.column("k1").to_numpy()[at], "k2": block.column("k2").to_numpy()[at], **dict(zip(names, merged))})
+                again = np.zeros(len(pieces[i]) - length + 1, bool)
+                again[hit] = True
+                for (h1, h2), low, open_, body, whole in _classes(pieces[i], a[i], anchor[i], again, alone[i], length):
+                    if whole:
+                        if (h1, h2, body) in sent:
+                            continue
+                        sent.add((h1, h2, body))
+                    rows.append(i)
+                    out.append((start[i] + low, -1, h1, h2, open_, body))
+        at = pa.array(rows, pa.int64())
+        kinds = [pa.int64()] * 5 + [pa.binary()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
+        names = ["start", "stop", "h1", "h2", "open", "body"]
+        return pa.table({"k1": block.column("k1").take(at), "k2": block.column("k2").take(at), **dict(zip(names, columns))})
 
     number = F.pmod(F.xxhash64("a", F.coalesce("share", F.lit(-1).cast("long"))), F.lit(blocks)).alias("block")
-    return unlike.select(number, "k1", "k2", "start", "alone", "share", "piece").groupBy("block").applyInArrow(run, _FOUND)
+    return unlike.select(number, "a", "k1", "k2", "start", "alone", "share", "anchor", "piece").groupBy("block").applyInArrow(run, _FOUND)
 
 
 def spans(texts: DataFrame, length: int, step: int = STEP) -> DataFrame:
@@ -275,16 +291,33 @@ def spans(texts: DataFrame, length: int, step: int = STEP) -> DataFrame:
     met = stored(_pieces(texts, length, step), "suffix-pieces")
     again = met.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     live = stored(met.join(again, "a", "left_semi"), "suffix-live")
-    one = [F.first(c).alias(c) for c in ("k1", "k2", "start", "windows")]  # of one and the same row
+    one = [F.first(c).alias(c) for c in ("k1", "k2", "start", "windows", "anchor")]  # of one and the same row
     pieces = stored(live.groupBy("a", "g").agg(F.count("*").alias("n"), *one), "suffix-kinds")
     alike = live.join(pieces.where("n > 1").select("a", "g"), ["a", "g"], "left_semi")
     alike = alike.select("k1", "k2", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
     found = stored(_blocks(stored(_unlike(pieces, texts, length), "suffix-unlike"), length), "suffix-found")
-    windows = found.where("stop < 0")
-    met = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    across = windows.where("open").join(met, ["h1", "h2"], "left_semi")
-    across = across.select("k1", "k2", "start", (F.col("start") + length).alias("stop"))
-    return alike.unionByName(found.where("stop >= 0").select("k1", "k2", "start", "stop")).unionByName(across)
+    return alike.unionByName(found.where("stop >= 0").select("k1", "k2", "start", "stop")).unionByName(_across(found.where("stop < 0"), length))
+
+
+def _across(groups: DataFrame, length: int) -> DataFrame:
+    """Spans of open windows of hot anchors that occur in another block."""
+    met = groups.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max(F.col("open") > 0).alias("some")).where("n > 1 AND some").select("h1", "h2")
+
+    def run(batches):
+        for part in slices(batches, 1024):
+            k1, k2, start, open_, body = (part.column(i).to_pylist() for i in range(5))
+            out = []
+            for i, data in enumerate(body):
+                for w in range(len(data) - length + 1):
+                    out.append((*_hash(data[w : w + length]), k1[i], k2[i], start[i] + w, bool(open_[i] >> w & 1)))
+            kinds = [pa.int64()] * 5 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["h1", "h2", "k1", "k2", "start", "open"])
+
+    some = groups.join(met, ["h1", "h2"], "left_semi").select("k1", "k2", "start", "open", "body")
+    windows = stored(some.mapInArrow(run, "h1 long, h2 long, k1 long, k2 long, start long, open boolean"), "suffix-windows")
+    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    hit = windows.where("open").join(twice, ["h1", "h2"], "left_semi")
+    return hit.select("k1", "k2", "start", (F.col("start") + length).alias("stop"))
 
 
 def union_of(parts: list[dict]) -> list[tuple[int, int]]:
