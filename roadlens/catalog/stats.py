@@ -44,17 +44,58 @@ def auc_documents(spark, sf):
     return ST.roc_auc(D.outcome(spark, sf), "score", "y").withColumn("auc", F.round("auc", 8))
 
 
+def _simpson(f: str, top: str, steps: int = 2000) -> str:
+    """Integral from 0 to ``top`` of an expression in ``v``."""
+    at = f"(i * ({top}) / {steps})"
+    return f"(({top}) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f.replace('v', at)})))"
+
+
+def _normal_p_sql(z: str) -> str:
+    return f"greatest(0, 1 - sqrt(2 / pi()) * {_simpson('exp(-v * v / 2)', f'least(abs({z}), 12)')})"
+
+
+def _student_p_sql(t: str, n: str) -> str:
+    """The angle whose tangent is t / sqrt(n) makes the density a power of the cosine."""
+    scale = f"exp(lgamma((({n}) + 1) / 2) - lgamma(({n}) / 2)) / sqrt(pi())"
+    return f"(1 - 2 * {scale} * {_simpson(f'pow(cos(v), ({n}) - 1)', f'atan(abs({t}) / sqrt({n}))')})"
+
+
+@query(
+    "student_fit",
+    f"""WITH RECURSIVE p AS (SELECT o_custkey AS g, epoch(o_orderdate) / 86400000.0 AS x, o_totalprice / 100000 AS y FROM orders),
+f AS MATERIALIZED (SELECT g, CAST(count(*) AS DOUBLE) AS c, regr_slope(y, x) AS s, regr_intercept(y, x) AS i, corr(y, x) AS r, avg(x) AS m, regr_sxx(y, x) AS ss
+  FROM p GROUP BY g HAVING count(*) >= 3 AND corr(y, x) * corr(y, x) < 1),
+e AS MATERIALIZED (SELECT f.*, rmse, r * sqrt((c - 2) / (1 - r * r)) AS t FROM f JOIN (SELECT g, sqrt(avg((y - i - s * x) * (y - i - s * x))) AS rmse FROM p JOIN f USING (g) GROUP BY g) USING (g)),
+b AS (SELECT DISTINCT c - 2 AS n, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high, 0 AS k FROM f UNION ALL
+  SELECT n, CASE WHEN {_student_p_sql('tan((low + high) * pi() / 4) * sqrt(n)', 'n')} > 0.05 THEN (low + high) / 2 ELSE low END,
+    CASE WHEN {_student_p_sql('tan((low + high) * pi() / 4) * sqrt(n)', 'n')} > 0.05 THEN high ELSE (low + high) / 2 END, k + 1 FROM b WHERE k < 48),
+q AS (SELECT n, tan((low + high) * pi() / 4) * sqrt(n) AS crit FROM b WHERE k = 48)
+SELECT g, CAST(c AS BIGINT) AS n, round(r, 8) AS r, round(t, 8) AS t, round({_student_p_sql('t', 'c - 2')}, 8) AS p,
+  round(i + s * (m + 1) - crit * rmse * sqrt(1 / c + 1 / ss), 6) AS lower, round(i + s * (m + 1) + crit * rmse * sqrt(1 / c + 1 / ss), 6) AS upper
+FROM e JOIN q ON q.n = e.c - 2""",
+)
+def student_fit(spark, sf):
+    """Order value on time for each customer: correlation with Student's p, and the 95 % band of the line a thousand days past the middle."""
+    o = D.table(spark, sf, "orders").select(F.col("o_custkey").alias("g"), (D.days("o_orderdate") / 1000).alias("x"), (F.col("o_totalprice") / 100000).alias("y"))
+    r = ST.pearson(o, "x", "y", keys=["g"]).where("n >= 3 AND r * r < 1")
+    fit = ST.ols(o, "x", "y", keys=["g"])
+    band = ST.ols_band(fit, fit.select("g", (F.col("x_mean") + 1).alias("x")), "x")
+    out = r.join(band.drop("x"), "g")
+    return out.select("g", "n", *[F.round(c, 8).alias(c) for c in ("r", "t", "p")], *[F.round(c, 6).alias(c) for c in ("lower", "upper")])
+
+
 @query(
     "mann_whitney",
     f"""WITH {_RET_SQL}, {_RANKED},
 t AS (SELECT g, sum(CAST(n AS DOUBLE) * n * n - n) AS tie FROM (SELECT g, score, count(*) AS n FROM r GROUP BY g, score) GROUP BY g),
 s AS (SELECT g, CAST(sum(1 - y) AS DOUBLE) AS n0, CAST(sum(y) AS DOUBLE) AS n1, sum(CASE WHEN y = 0 THEN rk END) AS r0 FROM k GROUP BY g),
 u AS (SELECT s.*, tie, r0 - n0 * (n0 + 1) / 2 AS u FROM s JOIN t USING (g))
-SELECT g, n0, n1, u, round((greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5) / sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - tie / ((n0 + n1) * (n0 + n1 - 1)))), 8) AS z FROM u""",
+SELECT g, n0, n1, u, round(z, 8) AS z, round(least(1, CASE WHEN z < 0 THEN 2 - {_normal_p_sql('z')} ELSE {_normal_p_sql('z')} END), 8) AS p FROM (
+  SELECT g, n0, n1, u, (greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5) / sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - tie / ((n0 + n1) * (n0 + n1 - 1)))) AS z FROM u)""",
 )
 def mann_whitney(spark, sf):
     out = ST.mann_whitney(_returns(spark, sf), "score", "y", keys=["g"])
-    return out.select("g", "n0", "n1", "u", F.round("z", 8).alias("z"))
+    return out.select("g", "n0", "n1", "u", F.round("z", 8).alias("z"), F.round("p", 8).alias("p"))
 
 
 @query(
@@ -272,11 +313,12 @@ def km_median(spark, sf):
     f"""WITH {_SHIP_SQL}, c AS (SELECT g, duration AS t, sum(event) AS d, sum(event * grp) AS d1, count(*) AS m, sum(grp) AS m1 FROM ship GROUP BY g, duration),
 n AS (SELECT *, sum(m) OVER w AS r, sum(m1) OVER w AS r1 FROM c WINDOW w AS (PARTITION BY g ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 q AS (SELECT g, sum(d1) AS o, sum(d * r1 / r) AS e, sum(CASE WHEN r > 1 THEN d * (r1 / r) * (1 - r1 / r) * (r - d) / (r - 1) END) AS v FROM n GROUP BY g)
-SELECT g, CAST(o AS BIGINT) AS observed, round(e, 6) AS expected, round(v, 6) AS variance, round((o - e) * (o - e) / v, 6) AS chi2 FROM q""",
+SELECT g, CAST(o AS BIGINT) AS observed, round(e, 6) AS expected, round(v, 6) AS variance, round((o - e) * (o - e) / v, 6) AS chi2,
+  round({_normal_p_sql('(o - e) / sqrt(v)')}, 8) AS p FROM q""",
 )
 def logrank(spark, sf):
     out = SV.log_rank(_shipments(spark, sf), "duration", "event", "grp", keys=["g"])
-    return out.select("g", "observed", *[F.round(c, 6).alias(c) for c in ("expected", "variance", "chi2")])
+    return out.select("g", "observed", *[F.round(c, 6).alias(c) for c in ("expected", "variance", "chi2")], F.round("p", 8).alias("p"))
 
 
 @query(

@@ -112,11 +112,13 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def pearson(df: DataFrame, x: str, y: str, *, keys: Sequence[str] = ()) -> DataFrame:
-    """Correlation, its t score with n - 2 degrees of freedom, and the normal-approximated p-value."""
+    """Correlation, its t score with n - 2 degrees of freedom, and the two-sided p-value of Student's t (0 for a perfect line)."""
     base, group = _keyed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys)
     g = base.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), correlation(F.col(x), F.col(y)).alias("r"))
-    t = F.col("r") * F.sqrt(ratio(F.col("n") - 2, F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0))))
-    return _unkeyed(g.withColumn("t", t).withColumn("p", special.normal_p(t)))
+    open_ = 1 - F.col("r") * F.col("r")
+    t = F.col("r") * F.sqrt(ratio(F.col("n") - 2, F.greatest(open_, F.lit(0.0))))
+    p = F.when((open_ <= 0) & (F.col("n") > 2), F.lit(0.0)).otherwise(special.student_p(F.col("t"), F.col("n") - 2))
+    return _unkeyed(g.withColumn("t", t).withColumn("p", p))
 
 
 def corr_by_group(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -145,17 +147,21 @@ def ols(df: DataFrame, x: str, y: str, *, keys: Sequence[str] = ()) -> DataFrame
     return _unkeyed(fit.join(err, group))
 
 
-def ols_band(fit: DataFrame, grid: DataFrame, x: str, t_crit: float = 1.96) -> DataFrame:
-    """Fitted line with its confidence band on a grid that carries the fit's keys."""
+def ols_band(fit: DataFrame, grid: DataFrame, x: str, level: float = 0.95) -> DataFrame:
+    """Fitted line with its confidence band on a grid that carries the fit's keys; null limits with fewer than three rows."""
     keys = [c for c in grid.columns if c in fit.columns]
     parts = ("n", "slope", "intercept", "x_mean", "ss_x", "rmse")
     if keys:
-        joined = grid.join(fit, keys)
+        joined = grid.join(fit.select(*keys, *parts), keys)
     else:  # one fit: six numbers
         joined = grid.withColumns({c: F.lit(v) for c, v in fit.select(*parts).first().asDict().items()})
     line = F.col("intercept") + F.col("slope") * F.col(x)
     se = F.col("rmse") * F.sqrt(1 / F.col("n") + ratio(F.pow(F.col(x) - F.col("x_mean"), 2), F.col("ss_x")))
-    return joined.select(*grid.columns, line.alias("fitted"), (line - t_crit * se).alias("lower"), (line + t_crit * se).alias("upper"))
+    # one quantile for each number of rows that occurs
+    crit = joined.select("n").distinct().withColumn("_crit", special.student_quantile(level, F.col("n") - 2))
+    half = F.col("_crit") * se
+    joined = J.lookup(joined, crit, ["n"])
+    return joined.select(*grid.columns, line.alias("fitted"), (line - half).alias("lower"), (line + half).alias("upper"))
 
 
 def bin_rate(df: DataFrame, value: str, y: str, edges: Sequence[float], *, keys: Sequence[str] = ()) -> DataFrame:
