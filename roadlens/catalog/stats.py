@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadlens.catalog import query
+from roadlens.operators import scan as S
 from roadlens.operators import stats as ST
 from roadlens.operators import survival as SV
 from roadlens.operators import windows as W
@@ -334,17 +335,41 @@ def cindex(spark, sf):
     return out.withColumn("c_index", F.round("c_index", 8))
 
 
-@query("cox_orders")
-def cox_orders(spark, sf):
-    """Time-varying Cox model of events: does the value of an event change the rate of purchases?"""
+def _purchase_intervals(spark, sf):
+    """Hours from each event of a user to the next, with its value; the event of the interval is a purchase."""
     f = D.ordered_frames(spark, sf, "label", "value", "k")
-    from roadlens.operators import scan as S
-
     rows = S.scan(f, ["trip"], next_t=S.lead("t"), next_label=S.lead("label")).where("next_t is not null")
-    rows = rows.select(
+    return rows.select(
         F.floor(F.col("t") / 3600).alias("start_time"), F.floor(F.col("next_t") / 3600).alias("end_time"),
         (F.col("next_label") == "purchase").cast("int").alias("event"), "value", "k",
     )
+
+
+@query(
+    "cox_score",
+    f"""WITH {D.FRAMES_SQL},
+n AS (SELECT floor(t / 3600) AS a, floor(lead(t) OVER w / 3600) AS b, lead(label) OVER w = 'purchase' AS e, coalesce(value, 0) AS x, coalesce(k, 0) AS y
+  FROM frames WINDOW w AS (PARTITION BY trip ORDER BY t, ord)),
+q AS MATERIALIZED (SELECT a, b, e, x, y, 0.01 * x - 0.005 * y AS eta, exp(0.01 * x - 0.005 * y) AS w FROM n WHERE b IS NOT NULL AND a < b),
+dt AS (SELECT b AS time, count(*) AS d, sum(eta) AS eta, sum(x) AS x, sum(y) AS y, sum(w) AS d_, sum(w * x) AS dx, sum(w * y) AS dy, sum(w * x * x) AS dxx,
+  sum(w * x * y) AS dxy, sum(w * y * y) AS dyy FROM q WHERE e GROUP BY b),
+rs AS (SELECT time, sum(w) AS s_, sum(w * q.x) AS sx, sum(w * q.y) AS sy, sum(w * q.x * q.x) AS sxx, sum(w * q.x * q.y) AS sxy, sum(w * q.y * q.y) AS syy
+  FROM dt JOIN q ON q.a < time AND time <= q.b GROUP BY time),
+l AS (SELECT *, unnest(range(d)) AS i FROM dt JOIN rs USING (time)),
+p AS (SELECT *, i / d AS f, s_ - i / d * d_ AS z, (sx - i / d * dx) / (s_ - i / d * d_) AS mx, (sy - i / d * dy) / (s_ - i / d * d_) AS my FROM l)
+SELECT round(sum(CASE WHEN i = 0 THEN eta ELSE 0 END - ln(z)), 4) AS ll, round(sum(CASE WHEN i = 0 THEN x ELSE 0 END - mx), 4) AS g0, round(sum(CASE WHEN i = 0 THEN y ELSE 0 END - my), 4) AS g1,
+  round(sum((sxx - f * dxx) / z - mx * mx), 3) AS h0_0, round(sum((sxy - f * dxy) / z - mx * my), 3) AS h0_1, round(sum((syy - f * dyy) / z - my * my), 3) AS h1_1 FROM p""",
+)
+def cox_score(spark, sf):
+    """Log likelihood, gradient and information of the Cox model of purchases at fixed coefficients."""
+    out = SV.cox_score(_purchase_intervals(spark, sf), ["value", "k"], [0.01, -0.005])
+    return out.select(*[F.round(c, 4).alias(c) for c in ("ll", "g0", "g1")], *[F.round(c, 3).alias(c) for c in ("h0_0", "h0_1", "h1_1")])
+
+
+@query("cox_orders")
+def cox_orders(spark, sf):
+    """Time-varying Cox model of events: does the value of an event change the rate of purchases?"""
+    rows = _purchase_intervals(spark, sf)
     fits = SV.cox_univariate(rows, ["value", "k"]) + [dict(f, feature="joint " + f["feature"]) for f in SV.cox(rows, ["value", "k"], penalizer=0.1)]
     return spark.createDataFrame([(f["feature"], f["coef"], f["hr"], f["ci_lower"], f["ci_upper"], f["p"]) for f in fits],
                                  "feature string, coef double, hr double, ci_lower double, ci_upper double, p double")

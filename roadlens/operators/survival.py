@@ -6,11 +6,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions import special
 from roadlens.functions.numeric import ratio
+from roadlens.operators import joins as J
 from roadlens.operators import scan as S
 from roadlens.operators.stats import _keyed, _unkeyed
 from roadlens.session import materialize
@@ -130,50 +131,85 @@ def concordance(
 # --- Cox models ---------------------------------------------------------------------------------
 
 
-def _cox_sums(df: DataFrame, keys: list[str], k: int, chunk_bits: int) -> DataFrame:
-    """Gradient, Hessian and log likelihood per key for rows with ``x`` (array), ``eta``, weights 1.
+#: Ranks of tied deaths that one row sums.
+TIED = 1024
 
-    Risk-set sums are differences of two running sums over time: rows whose stop
-    is at or after the time minus rows whose start is at or after it. No row is
-    paired with an event time.
+
+def _cox_marks(long: DataFrame, chunk_bits: int) -> DataFrame:
+    """The one sequence of a fit: a row for each end (+1) and each start (-1) of a risk interval, at its place in time.
+
+    Places number the distinct times of a key, latest first, and carry the chunk for scans. Rows of one time share a place, so that
+    a crowded time becomes one row wherever the sums are taken.
+    """
+    ends = F.array(
+        F.struct(F.col("stop").alias("time"), F.lit(1).alias("sign"), F.col("event").alias("event")),
+        F.struct(F.col("start").alias("time"), F.lit(-1).alias("sign"), F.lit(0).cast(long.schema["event"].dataType).alias("event")),
+    )
+    marks = long.select("g", "x", F.explode(ends).alias("_e")).select("g", "x", "_e.*")
+    places = S.sequence(marks.select("g", "time").distinct(), ["g"], [F.col("time").desc()], chunk_bits)
+    return materialize(J.lookup(marks, places, ["g", "time"]).drop("time"), "cox-sequence")
+
+
+def _ranks(s0: Column, d0: Column, deaths: Column, low: Column) -> Column:
+    """Efron's sums over the ranks ``l`` of one block of tied deaths, with a = l / deaths and u = 1 / (s0 - a d0):
+    log u, u, a u, u^2, a u^2, a^2 u^2. Whatever the number of features, no other sums over ranks are needed."""
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("log", "u", "au", "uu", "auu", "aauu")])
+
+    def add(acc: Column, l: Column) -> Column:
+        a = l / deaths
+        u = 1 / (s0 - a * d0)
+        terms = {"log": F.log(u), "u": u, "au": a * u, "uu": u * u, "auu": a * u * u, "aauu": a * a * u * u}
+        return F.struct(*[(acc[n] + v).alias(n) for n, v in terms.items()])
+
+    return F.aggregate(F.sequence(low, F.least(deaths, low + TIED) - 1), zero, add)
+
+
+def _cox_sums(marks: DataFrame, coefficients: DataFrame, k: int) -> DataFrame:
+    """Log likelihood, gradient and negative Hessian per ``g`` of ``coefficients`` (``g, beta``), with Efron's ties.
+
+    A risk set is a difference of running sums over time: rows whose stop is at or after the time minus rows whose start is. No
+    row is paired with an event time, and the sequence is only read: each step aggregates it by place and scans the places.
     """
+    eta = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    now = marks.join(F.broadcast(coefficients), "g").withColumn("eta", eta)  # one row a model
+    x = [F.get("x", F.lit(i)) for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     w = F.exp("eta")
-    pieces = [w] + [w * F.get("x", F.lit(i)) for i in range(k)]
-    pieces += [w * F.get("x", F.lit(i)) * F.get("x", F.lit(j)) for i in range(k) for j in range(i, k)]
-    names = [f"s{i}" for i in range(len(pieces))]
+    pieces = [w, *[w * v for v in x], *[w * x[i] * x[j] for i, j in pairs]]
+    names = ["s", *[f"s{i}" for i in range(k)], *[f"s{i}_{j}" for i, j in pairs]]
     died = F.col("event") == 1
-    stops = df.groupBy(*keys, F.col("stop").alias("time")).agg(
-        *[F.sum(p).alias(n) for n, p in zip(names, pieces)],
-        *[F.sum(F.when(died, p).otherwise(0.0)).alias(f"d{n}") for n, p in zip(names, pieces)],
+    of_deaths = lambda v: F.sum(F.when(died, v).otherwise(0.0))
+    places = now.groupBy("g", S.CHUNK, S.SEQ).agg(
+        *[F.sum(F.col("sign") * p).alias(n) for n, p in zip(names, pieces)],
+        *[of_deaths(p).alias(f"d{n}") for n, p in zip(names, pieces)],
         F.count_if(died).alias("deaths"),
-        F.sum(F.when(died, F.col("eta")).otherwise(0.0)).alias("deta"),
-        *[F.sum(F.when(died, F.get("x", F.lit(i))).otherwise(0.0)).alias(f"dx{i}") for i in range(k)],
-    )
-    starts = df.groupBy(*keys, F.col("start").alias("time")).agg(*[(-F.sum(p)).alias(n) for n, p in zip(names, pieces)])
-    # stops come first in descending order: a row is at risk at its own stop, not yet at its start
-    both = stops.withColumn("_kind", F.lit(0)).unionByName(starts.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-    # at time t rows with start >= t are not at risk, so starts at t are subtracted with the stops at t
-    merged = both.groupBy(*keys, "time").agg(
-        *[F.sum(n).alias(n) for n in names],
-        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ["deaths", "deta", *[f"d{n}" for n in names], *[f"dx{i}" for i in range(k)]]],
+        of_deaths(F.col("eta")).alias("eta"),
+        *[of_deaths(v).alias(f"x{i}") for i, v in enumerate(x)],
     )
-    seq = S.sequence(merged, keys, [F.col("time").desc()], chunk_bits)
-    risk = S.scan(seq, keys, **{n: S.running_sum(n) for n in names}).where("deaths > 0")
-    # Efron: the l-th of d tied deaths sees the risk set without l/d of the dying
-    step = risk.withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deaths") - 1)))
-    share = F.col("l") / F.col("deaths")
-    phi = {n: F.col(n) - share * F.col(f"d{n}") for n in names}
-    first = F.col("l") == 0
-    aggs = [F.sum(F.when(first, F.col("deta")).otherwise(0.0) - F.log(phi["s0"])).alias("ll")]
-    for i in range(k):
-        aggs.append(F.sum(F.when(first, F.col(f"dx{i}")).otherwise(0.0) - phi[f"s{i + 1}"] / phi["s0"]).alias(f"g{i}"))
-    at = k + 1
-    for i in range(k):
-        for j in range(i, k):
-            cross = phi[f"s{at}"] / phi["s0"] - phi[f"s{i + 1}"] * phi[f"s{j + 1}"] / (phi["s0"] * phi["s0"])
-            aggs.append(F.sum(cross).alias(f"h{i}_{j}"))
-            at += 1
-    return step.groupBy(*keys).agg(*aggs)
+    risk = S.scan(places, ["g"], **{n: S.running_sum(n) for n in names}).where("deaths > 0")
+    low = F.explode(F.sequence(F.lit(0).cast("long"), F.col("deaths") - 1, F.lit(TIED).cast("long")))
+    # blocks of one crowded time go to many tasks
+    blocks = risk.withColumn("_low", low).repartition("g", S.SEQ, "_low")
+    r = blocks.withColumn("_r", _ranks(F.col("s"), F.col("ds"), F.col("deaths"), F.col("_low")))
+    u, au, uu, auu, aauu = (F.col(f"_r.{n}") for n in ("u", "au", "uu", "auu", "aauu"))
+    once = lambda c: F.when(F.col("_low") == 0, F.col(c)).otherwise(0.0)
+    aggs = [F.sum(once("eta") + F.col("_r.log")).alias("ll")]
+    aggs += [F.sum(once(f"x{i}") - F.col(f"s{i}") * u + F.col(f"ds{i}") * au).alias(f"g{i}") for i in range(k)]
+    for i, j in pairs:
+        si, sj, di, dj = (F.col(c) for c in (f"s{i}", f"s{j}", f"ds{i}", f"ds{j}"))
+        aggs.append(F.sum(F.col(f"s{i}_{j}") * u - F.col(f"ds{i}_{j}") * au - si * sj * uu + (si * dj + di * sj) * auu - di * dj * aauu).alias(f"h{i}_{j}"))
+    return r.groupBy("g").agg(*aggs)
+
+
+def cox_score(
+    df: DataFrame, features: Sequence[str], beta: Sequence[float], *, start: str = "start_time", stop: str = "end_time", event: str = "event",
+    chunk_bits: int = S.CHUNK_BITS,
+) -> DataFrame:
+    """Log likelihood ``ll``, gradient ``g0 ...`` and information ``h0_0 ...`` at given coefficients of the unscaled features."""
+    k = len(features)
+    rows = _cox_rows(df, features, start, stop, event).select("start", "stop", "event", F.lit(0).alias("g"), F.array(*features).alias("x"))
+    coefficients = df.sparkSession.createDataFrame([(0, [float(b) for b in beta])], "g int, beta array<double>")
+    return _cox_sums(_cox_marks(rows, chunk_bits), coefficients, k).drop("g")
 
 
 def cox(
@@ -192,68 +228,92 @@ def cox(
     """Time-varying Cox model: coefficient, hazard ratio, confidence limits and p per feature.
 
     Features are centred and scaled for the fit and the penalty (n times the
-    elastic net) acts on the scaled ones. Each Newton step is one distributed
+    elastic net) acts on the scaled ones. All Newton steps read one stored sequence, each is one distributed
     aggregation; only k and k x k numbers come to the driver.
     """
-    return _cox_groups(df, [list(features)], start, stop, event, penalizer, l1_ratio, max_iter, tol, chunk_bits)[0]
+    data = _CoxData(df, [list(features)], start, stop, event, chunk_bits)
+    return data.report(*data.newton(penalizer, l1_ratio, max_iter, tol))[0]
 
 
 def cox_univariate(df: DataFrame, features: Sequence[str], **options) -> list[dict]:
     """One model per feature; all of them share every pass over the data."""
     args = dict(start="start_time", stop="end_time", event="event", penalizer=0.0, l1_ratio=0.0, max_iter=25, tol=1e-7, chunk_bits=S.CHUNK_BITS)
     args.update(options)
-    fits = _cox_groups(df, [[f] for f in features], *args.values())
-    return [f[0] for f in fits]
+    data = _CoxData(df, [[f] for f in features], args["start"], args["stop"], args["event"], args["chunk_bits"])
+    return [f[0] for f in data.report(*data.newton(args["penalizer"], args["l1_ratio"], args["max_iter"], args["tol"]))]
+
+
+def cox_path(
+    df: DataFrame, features: Sequence[str], penalizers: Sequence[float], *, l1_ratio: float = 1.0, start: str = "start_time", stop: str = "end_time",
+    event: str = "event", max_iter: int = 25, tol: float = 1e-7, chunk_bits: int = S.CHUNK_BITS,
+) -> list[tuple[float, list[dict]]]:
+    """The fits of several penalties, largest first: each starts where the one before ended, and all read one sequence."""
+    data = _CoxData(df, [list(features)], start, stop, event, chunk_bits)
+    out, beta = [], None
+    for penalizer in sorted(penalizers, reverse=True):
+        beta, hess, live = data.newton(penalizer, l1_ratio, max_iter, tol, beta)
+        out.append((penalizer, data.report(beta, hess, live)[0]))
+    return out
 
 
-def _cox_groups(df, groups, start, stop, event, penalizer, l1_ratio, max_iter, tol, chunk_bits) -> list[list[dict]]:
-    used = list(dict.fromkeys(f for g in groups for f in g))
-    k = max(len(g) for g in groups)
+def _cox_rows(df: DataFrame, features: Sequence[str], start: str, stop: str, event: str) -> DataFrame:
     rows = df.select(F.col(start).cast("double").alias("start"), F.col(stop).cast("double").alias("stop"), F.col(event).alias("event"),
-                     *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in used])
-    rows = materialize(rows.where("start < stop"), "cox")
-    aggs = [a for f in used for a in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]
-    norm = rows.agg(F.count(F.lit(1)).alias("n"), *aggs).first().asDict()
-    scale = {f: norm[f"s_{f}"] or 1.0 for f in used}
-    xs = lambda g: F.array(*[(F.col(f) - F.lit(norm[f"m_{f}"])) / F.lit(scale[f]) for f in g], *[F.lit(0.0)] * (k - len(g)))
-    long = rows.select("start", "stop", "event", F.explode(F.array(*[F.struct(F.lit(i).alias("g"), xs(g).alias("x")) for i, g in enumerate(groups)])).alias("z"))
-    long = long.select("start", "stop", "event", "z.g", "z.x")
-    beta = [np.zeros(len(g)) for g in groups]
-    live = set(range(len(groups)))
-    hess: dict[int, np.ndarray] = {}
-    for _ in range(max_iter):
-        table = F.array(*[F.array(*[F.lit(float(b)) for b in bs], *[F.lit(0.0)] * (k - len(bs))) for bs in beta])
-        eta = F.aggregate(F.zip_with("x", F.get(table, F.col("g")), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        current = long.where(F.col("g").isin(*live)).withColumn("eta", eta)
-        for r in _cox_sums(current, ["g"], k, chunk_bits).collect():
-            g = r["g"]
-            m = len(groups[g])
-            grad = np.array([r[f"g{i}"] for i in range(m)])
-            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)])
-            n = norm["n"]
-            l2, l1 = n * penalizer * (1 - l1_ratio), n * penalizer * l1_ratio
-            hess[g] = h + l2 * np.eye(m)
-            if l1 > 0:
-                new = _soft_step(beta[g], grad - l2 * beta[g], hess[g], l1)
-            else:
-                new = beta[g] + np.linalg.solve(hess[g] + 1e-12 * np.eye(m), grad - l2 * beta[g])
-            if np.max(np.abs(new - beta[g])) < tol:
-                live.discard(g)
-            beta[g] = new
-        if not live:
-            break
-    out = []
-    for i, g in enumerate(groups):
-        cov = np.linalg.pinv(hess[i]) if i in hess else np.full((len(g), len(g)), np.nan)
-        fit = []
-        for j, f in enumerate(g):
-            b, se = float(beta[i][j]) / scale[f], math.sqrt(max(cov[j, j], 0.0)) / scale[f]
-            z = b / se if se > 0 else 0.0
-            p = math.erfc(abs(z) / math.sqrt(2))
-            lo, hi = b - 1.959963984540054 * se, b + 1.959963984540054 * se
-            fit.append({"feature": f, "coef": b, "se": se, "hr": math.exp(b), "ci_lower": math.exp(lo), "ci_upper": math.exp(hi), "p": p, "significant": p < 0.05, "converged": i not in live})
-        out.append(fit)
-    return out
+                     *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    return rows.where("start < stop")
+
+
+class _CoxData:
+    """Scaled rows of several models over the same intervals, as one stored sequence."""
+
+    def __init__(self, df: DataFrame, groups: list[list[str]], start: str, stop: str, event: str, chunk_bits: int):
+        used = list(dict.fromkeys(f for g in groups for f in g))
+        self.groups, self.k, self.spark = groups, max(len(g) for g in groups), df.sparkSession
+        rows = materialize(_cox_rows(df, used, start, stop, event), "cox")
+        aggs = [a for f in used for a in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]
+        norm = rows.agg(F.count(F.lit(1)).alias("n"), *aggs).first().asDict()
+        self.n, self.scale = norm["n"], {f: norm[f"s_{f}"] or 1.0 for f in used}
+        xs = lambda g: F.array(*[(F.col(f) - F.lit(norm[f"m_{f}"])) / F.lit(self.scale[f]) for f in g], *[F.lit(0.0)] * (self.k - len(g)))
+        models = F.array(*[F.struct(F.lit(i).alias("g"), xs(g).alias("x")) for i, g in enumerate(groups)])
+        long = rows.select("start", "stop", "event", F.explode(models).alias("z")).select("start", "stop", "event", "z.g", "z.x")
+        self.marks = _cox_marks(long, chunk_bits)
+
+    def newton(self, penalizer: float, l1_ratio: float, max_iter: int, tol: float, beta: list[np.ndarray] | None = None):
+        """Coefficients of the scaled features, information matrices, and the models that have not converged."""
+        beta = [np.zeros(len(g)) for g in self.groups] if beta is None else [b.copy() for b in beta]
+        live, hess = set(range(len(self.groups))), {}
+        l2, l1 = self.n * penalizer * (1 - l1_ratio), self.n * penalizer * l1_ratio
+        for _ in range(max_iter):
+            table = [(g, [float(b) for b in beta[g]] + [0.0] * (self.k - len(beta[g]))) for g in sorted(live)]
+            coefficients = self.spark.createDataFrame(table, "g int, beta array<double>")
+            for r in _cox_sums(self.marks, coefficients, self.k).collect():
+                g = r["g"]
+                m = len(self.groups[g])
+                grad = np.array([r[f"g{i}"] for i in range(m)])
+                hess[g] = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)]) + l2 * np.eye(m)
+                if l1 > 0:
+                    new = _soft_step(beta[g], grad - l2 * beta[g], hess[g], l1)
+                else:
+                    new = beta[g] + np.linalg.solve(hess[g] + 1e-12 * np.eye(m), grad - l2 * beta[g])
+                if np.max(np.abs(new - beta[g])) < tol:
+                    live.discard(g)
+                beta[g] = new
+            if not live:
+                break
+        return beta, hess, live
+
+    def report(self, beta: list[np.ndarray], hess: dict[int, np.ndarray], live: set[int]) -> list[list[dict]]:
+        out = []
+        for i, g in enumerate(self.groups):
+            cov = np.linalg.pinv(hess[i]) if i in hess else np.full((len(g), len(g)), np.nan)
+            fit = []
+            for j, f in enumerate(g):
+                b, se = float(beta[i][j]) / self.scale[f], math.sqrt(max(cov[j, j], 0.0)) / self.scale[f]
+                z = b / se if se > 0 else 0.0
+                p = math.erfc(abs(z) / math.sqrt(2))
+                lo, hi = b - 1.959963984540054 * se, b + 1.959963984540054 * se
+                fit.append({"feature": f, "coef": b, "se": se, "hr": math.exp(b), "ci_lower": math.exp(lo), "ci_upper": math.exp(hi), "p": p, "significant": p < 0.05, "converged": i not in live})
+            out.append(fit)
+        return out
 
 
 def _soft_step(beta: np.ndarray, grad: np.ndarray, h: np.ndarray, l1: float) -> np.ndarray:

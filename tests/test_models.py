@@ -73,6 +73,38 @@ def test_cox_maximises_the_efron_likelihood(spark, bits):
     assert lasso["coef"] == 0.0
 
 
+def test_cox_score_with_many_ties(spark, monkeypatch):
+    monkeypatch.setattr(SV, "TIED", 7)  # tied deaths in several blocks
+    r = random.Random(4)
+    rows = []
+    for _ in range(300):
+        a = r.randrange(0, 3)
+        rows.append((float(a), float(r.choice([4, 4, 4, 5, 6])), int(r.random() < 0.6), r.gauss(0, 1)))
+    df = spark.createDataFrame(rows, "start_time double, end_time double, event int, x double")
+    for beta in (0.0, 0.7):
+        got = SV.cox_score(df, ["x"], [beta], chunk_bits=1).first()
+        h = 1e-4
+        low, mid, high = (_cox_loglik(rows, beta + d) for d in (-h, 0, h))
+        assert got["ll"] == pytest.approx(mid, rel=1e-10)
+        assert got["g0"] == pytest.approx((high - low) / (2 * h), rel=1e-5, abs=1e-4)
+        assert got["h0_0"] == pytest.approx(-(high - 2 * mid + low) / h**2, rel=1e-3)
+
+
+def test_cox_path_shrinks_and_reads_one_sequence(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(0.0, float(1 + i % 9), int(r.random() < 0.5 + 0.3 * (x > 0)), x, r.gauss(0, 1)) for i in range(120) for x in [r.gauss(0, 1)]]
+    df = spark.createDataFrame(rows, "start_time double, end_time double, event int, x double, z double")
+    made, original = [], SV.S.sequence
+    monkeypatch.setattr(SV.S, "sequence", lambda *a, **k: made.append(1) or original(*a, **k))
+    path = SV.cox_path(df, ["x", "z"], [0.0, 0.02, 0.2])
+    assert len(made) == 1
+    assert [p for p, _ in path] == [0.2, 0.02, 0.0]
+    size = [sum(abs(f["coef"]) for f in fit) for _, fit in path]
+    assert size[0] <= size[1] <= size[2] and all(f["converged"] for _, fit in path for f in fit)
+    plain = SV.cox(df, ["x", "z"])
+    assert [f["coef"] for f in path[-1][1]] == pytest.approx([f["coef"] for f in plain], abs=1e-6)
+
+
 @pytest.mark.parametrize("bits", [1, 18])
 def test_concordance_counts_pairs(spark, bits):
     r = random.Random(8)
