@@ -177,6 +177,34 @@ def cumulative_gap(spark, sf):
     return out.select("Id", F.col("SimulationTime").alias("t"), "object1", "object2", F.round("GapAcceptance", 3).alias("gap"))
 
 
+@query(
+    "own_gap",
+    f"""WITH {_TRIPS_SQL},
+gf AS (SELECT "Id", t, round_even(t * 10, 0) AS ds, CASE ord % 3 WHEN 0 THEN 'car view' WHEN 1 THEN 'car click' ELSE 'car signup, car view' END AS rel FROM drv WHERE label = 'error'),
+nm AS (SELECT DISTINCT "Id", unnest(string_split(rel, ', ')) AS name FROM gf),
+mv AS (SELECT "Id", 'car ' || label AS name, t, ord, value * coalesce(t - lag(t) OVER (PARTITION BY "Id", label ORDER BY t, ord), 0) AS part FROM drv
+  WHERE label IN ('view', 'click', 'signup') AND ("Id", 'car ' || label) IN (SELECT ("Id", name) FROM nm)),
+cu AS (SELECT *, sum(part) OVER (PARTITION BY "Id", name ORDER BY t, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS km FROM mv),
+nx AS (SELECT "Id", name AS object1, lead(name) OVER (PARTITION BY "Id" ORDER BY f, name) AS object2 FROM (SELECT "Id", name, min(t) AS f FROM mv GROUP BY "Id", name)),
+ak AS (SELECT DISTINCT a."Id", a.t, b.rel AS object1 FROM gf a JOIN gf b ON a."Id" = b."Id" AND a.ds = b.ds),
+pr AS (SELECT ak."Id", ak.t, ak.object1, object2, (SELECT max(km) FROM cu WHERE cu."Id" = ak."Id" AND cu.name = ak.object1 AND cu.t <= ak.t) AS one,
+  (SELECT max(km) FROM cu WHERE cu."Id" = ak."Id" AND cu.name = nx.object2 AND cu.t <= ak.t) AS two
+  FROM ak JOIN nx ON nx."Id" = ak."Id" AND nx.object1 = ak.object1 WHERE object2 IS NOT NULL)
+SELECT "Id", t, object1, object2, round(one / 1000, 3) AS one, round(two / 1000, 3) AS two, round(abs(two - one) / 1000, 3) AS gap FROM pr""",
+)
+def own_gap(spark, sf):
+    """Gap between each gap frame's own vehicle and the one that follows it."""
+    drive = _drive(spark, sf).withColumn("SimulationTime", F.col("t"))
+    gap, kind = F.col("label") == "error", F.col("ord") % 3
+    name = F.when(kind == 0, "car view").when(kind == 1, "car click").otherwise("car signup, car view")
+    labelled = drive.withColumn("SpacialEvent", F.when(gap, "Egocar gap acceptance").otherwise("None")).withColumn("relevant_object_name", F.when(gap, name))
+    frames = _frames(labelled, "SpacialEvent", "relevant_object_name")
+    tracks = _tracks(drive, ["view", "click", "signup"]).withColumn("_world", F.col("t"))
+    out = K.own_gaps(frames, tracks, unit_scale=0.001)
+    one, two = F.col("CumulativeDistance_object1"), F.col("CumulativeDistance_object2")
+    return out.select("Id", F.col("SimulationTime").alias("t"), "object1", "object2", *[F.round(c, 3).alias(n) for n, c in (("one", one), ("two", two), ("gap", F.col("GapAcceptance")))])
+
+
 @query(
     "police_distance",
     f"""WITH {_TRIPS_SQL},

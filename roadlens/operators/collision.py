@@ -35,56 +35,94 @@ def is_gap_frame(map_: Column, label: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def gap_table(
-    frames: DataFrame,
-    tracks: DataFrame,
-    *,
-    keys: Sequence[str] = TRIP,
-    at: str = "SimulationTime",
-    object_name: str = "relevant_object_name",
-    unit_scale: float = 1.0,
-    chunk_bits: int = S.CHUNK_BITS,
-) -> DataFrame:
-    """Difference of travelled distance of consecutive vehicles at every gap-event time.
-
-    Vehicles are ordered by their first world time. The distance is speed (km/h)
-    times seconds; ``unit_scale=1/3.6`` turns it into metres. ``tracks`` has
-    ``_world`` seconds.
-    """
-    keys = list(keys)
-    gap = frames.where(is_gap_frame(F.col("Map"), F.col("SpacialEvent")))
+def _line(gap: DataFrame, tracks: DataFrame, keys: list[str], object_name: str, unit_scale: float, chunk_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Names of the gap frames' objects, distance travelled at each sample of those vehicles, and each vehicle's follower."""
     names = (
         gap.where(F.col(object_name).isNotNull())
         .select(*keys, F.explode(F.split(object_name, ", ")).alias("Name"))
         .distinct()
     )
-    moves = tracks.join(names, [*keys, "Name"], "left_semi").select(*keys, "Name", "SimulationTime", "_world", "Speed", "ord")
     by = [*keys, "Name"]
+    moves = tracks.join(names, by, "left_semi").select(*by, "SimulationTime", "_world", "Speed", "ord")
     seq = S.sequence(moves, by, ["_world", "ord"], chunk_bits)
     travelled = TR.cumulative_distance(seq, by, "_world", "Speed", out="_km")
     # order of appearance, then each vehicle's follower: one small row per vehicle
     line = Window.partitionBy(*keys).orderBy("_first", "Name")
     followers = (
-        moves.groupBy(*by).agg(F.min("_world").alias("_first"))
+        seq.groupBy(*by).agg(F.min("_world").alias("_first"))
         .select(*keys, F.col("Name").alias("object1"), F.lead("Name").over(line).alias("object2"))
         .where("object2 is not null")
     )
-    times = gap.select(*keys, F.col(at).alias("SimulationTime")).distinct()
-    probes = times.join(names, keys)
     marks = travelled.select(*by, "SimulationTime", (F.col("_km") * unit_scale).alias("_km")).withColumn("_side", F.lit(0))
+    return names, marks, followers
+
+
+def _reached(marks: DataFrame, probes: DataFrame, by: list[str], chunk_bits: int) -> DataFrame:
+    """The probes with ``_far``, the largest distance that their vehicle has travelled by their time."""
     union = marks.unionByName(probes.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     both = S.sequence(union, by, ["SimulationTime", "_side"], chunk_bits)
-    reached = S.scan(both, by, _far=S.running_max("_km")).where("_side = 1").select(*by, "SimulationTime", "_far")
+    return S.scan(both, by, _far=S.running_max("_km")).where("_side = 1").select(*probes.columns, "_far")
+
+
+def _gap_rows(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    one, two = F.col("CumulativeDistance_object1"), F.col("CumulativeDistance_object2")
+    return pairs.select(*keys, "SimulationTime", "object1", "object2", one, two, F.abs(two - one).alias("GapAcceptance"))
+
+
+def gap_table(
+    frames: DataFrame,
+    tracks: DataFrame,
+    *,
+    keys: Sequence[str] = TRIP,
+    at: str = "SimulationTime",
+    object_name: str = "relevant_object_name",
+    unit_scale: float = 1.0,
+    chunk_bits: int = S.CHUNK_BITS,
+) -> DataFrame:
+    """Difference of travelled distance of all consecutive vehicles at every gap-event time.
+
+    Vehicles are ordered by their first world time. The distance is speed (km/h)
+    times seconds; ``unit_scale=1/3.6`` turns it into metres. ``tracks`` has
+    ``_world`` seconds. Where only the gap of a frame's own vehicle is needed, :func:`own_gaps` asks for two vehicles a frame.
+    """
+    keys = list(keys)
+    gap = frames.where(is_gap_frame(F.col("Map"), F.col("SpacialEvent")))
+    names, marks, followers = _line(gap, tracks, keys, object_name, unit_scale, chunk_bits)
+    probes = gap.select(*keys, F.col(at).alias("SimulationTime")).distinct().join(names, keys)
+    reached = _reached(marks, probes, [*keys, "Name"], chunk_bits)
     one = reached.withColumnRenamed("Name", "object1").withColumnRenamed("_far", "CumulativeDistance_object1")
     two = reached.withColumnRenamed("Name", "object2").withColumnRenamed("_far", "CumulativeDistance_object2")
-    return (
-        one.join(followers, [*keys, "object1"])
-        .join(two, [*keys, "object2", "SimulationTime"])
-        .select(
-            *keys, "SimulationTime", "object1", "object2", "CumulativeDistance_object1", "CumulativeDistance_object2",
-            F.abs(F.col("CumulativeDistance_object2") - F.col("CumulativeDistance_object1")).alias("GapAcceptance"),
-        )
-    )
+    return _gap_rows(one.join(followers, [*keys, "object1"]).join(two, [*keys, "object2", "SimulationTime"]), keys)
+
+
+def own_gaps(
+    frames: DataFrame,
+    tracks: DataFrame,
+    *,
+    keys: Sequence[str] = TRIP,
+    at: str = "SimulationTime",
+    object_name: str = "relevant_object_name",
+    unit_scale: float = 1.0,
+    chunk_bits: int = S.CHUNK_BITS,
+) -> DataFrame:
+    """The rows of :func:`gap_table` that :func:`attach_gaps` uses: the gap between each gap frame's own vehicle and its follower.
+
+    A frame points to its vehicle's place in the line of vehicles and from there to the next one, so it makes two as-of probes,
+    however many vehicles the trip has. Frames without an object, or with the last vehicle of the line, have no row.
+    """
+    keys = list(keys)
+    gap = frames.where(is_gap_frame(F.col("Map"), F.col("SpacialEvent")))
+    _, marks, followers = _line(gap, tracks, keys, object_name, unit_scale, chunk_bits)
+    tenth = N.decisecond(F.col(at)).alias("_ds")
+    times = gap.select(*keys, tenth, F.col(at).alias("SimulationTime")).distinct()
+    own = frames.where(F.col(object_name).isNotNull()).select(*keys, tenth, F.col(object_name).alias("object1")).distinct()
+    asked = times.join(own, [*keys, "_ds"]).drop("_ds").join(followers, [*keys, "object1"]).distinct()
+    pair = [*keys, "SimulationTime", "object1", "object2"]
+    side = F.explode(F.array(F.struct(F.col("object1").alias("Name"), F.lit(1).alias("n")), F.struct(F.col("object2").alias("Name"), F.lit(2).alias("n")))).alias("_p")
+    probes = asked.select(*pair, side).select(*pair, "_p.Name", F.col("_p.n").alias("_n"))
+    far = _reached(marks, probes, [*keys, "Name"], chunk_bits)
+    both = [F.max(F.when(F.col("_n") == n, F.col("_far"))).alias(f"CumulativeDistance_object{n}") for n in (1, 2)]
+    return _gap_rows(far.groupBy(*pair).agg(*both), keys)
 
 
 def attach_gaps(frames: DataFrame, gaps: DataFrame, *, keys: Sequence[str] = TRIP, at: str = "SimulationTime") -> DataFrame:

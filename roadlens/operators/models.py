@@ -10,13 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml import classification as MC
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadlens.functions import linear as LA
 from roadlens.operators import joins as J
 from roadlens.operators import stats as ST
 from roadlens.operators import windows as W
@@ -34,76 +34,96 @@ def class_weights(df: DataFrame, y: str, keys: Sequence[str] = ()) -> DataFrame:
     return ST._unkeyed(joined.drop("_n", "_p"))
 
 
-def logistic(
+def fit_logistic(
     df: DataFrame,
     features: Sequence[str],
     y: str,
     *,
-    key: str | None = None,
+    keys: Sequence[str] = (),
     balanced: bool = True,
     penalty: float = 1.0,
     min_class: int = 1,
     max_iter: int = 50,
     tol: float = 1e-8,
-) -> list[dict]:
-    """Logistic regression per key: minimises weighted log loss + penalty/2 * |coef|^2.
+) -> DataFrame:
+    """Logistic regressions of any number of keys at once: one row a key with ``n, positives, beta, se, converged, fitted``.
+
+    Each minimises weighted log loss + penalty/2 * |coef|^2; ``beta`` starts with the intercept. ``penalty=0, balanced=False`` is the
+    plain maximum-likelihood fit with meaningful standard errors. Keys with fewer than ``min_class`` rows of a class have no
+    coefficients. ``converged`` tells whether the steps came below ``tol`` within ``max_iter`` of them; perfectly separable data never do.
 
-    ``penalty=0, balanced=False`` is the plain maximum-likelihood fit with
-    meaningful standard errors. Keys with fewer than ``min_class`` rows of a
-    class are reported without coefficients. ``converged`` tells whether the steps came below ``tol``
-    within ``max_iter`` of them; perfectly separable data never do.
+    A Newton step joins each row to its key's coefficients, adds up k and k x k numbers a key, and solves the systems as columns. Coefficients
+    stay in a table of one row a key; the driver only asks whether any key is left.
     """
-    k = len(features) + 1
-    g = F.col(key).cast("string") if key else F.lit("all")
+    keys, k = list(keys), len(features) + 1
     x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features])
-    rows = df.select(g.alias("g"), x.alias("x"), F.col(y).cast("double").alias("y"))
+    key = F.struct(*[F.col(c) for c in keys]) if keys else F.struct(F.lit("all").alias("_all"))
+    rows = df.select(key.alias("g"), x.alias("x"), F.col(y).cast("double").alias("y"))
     rows = rows.withColumn("weight", F.lit(1.0)) if not balanced else class_weights(rows, "y", ["g"])
     rows = materialize(rows, "logistic")
-    counts = {r["g"]: (r["n"], int(r["p"])) for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).collect()}
-    live = {c for c, (n, p) in counts.items() if min(p, n - p) >= min_class}
-    beta = {c: np.zeros(k) for c in live}
-    hess: dict[str, np.ndarray] = {}
-    fitted = set(live)
-    ridge = np.diag([0.0] + [penalty] * (k - 1))
+    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("positives"))
+    zero = F.array_repeat(F.lit(0.0), k)
+    none = F.array_repeat(F.lit(None).cast("double"), k)
+    start = counts.withColumn("fitted", F.least(F.col("positives"), F.col("n") - F.col("positives")) >= min_class)
+    state = materialize(start.select("*", zero.alias("beta"), none.alias("se"), (~F.col("fitted")).alias("done")), "logistic-state")
+    ridge = [0.0] + [float(penalty)] * (k - 1)
+    xi = [F.get("x", F.lit(i)) for i in range(k)]
     for _ in range(max_iter):
-        if not live:
+        live = state.where("not done")
+        if live.isEmpty():
             break
-        table = F.create_map(*[v for c in sorted(live) for v in (F.lit(c), F.array(*[F.lit(float(b)) for b in beta[c]]))])
-        eta = F.aggregate(F.zip_with("x", table[F.col("g")], lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        now = rows.where(F.col("g").isin(*live)).withColumn("p", 1 / (1 + F.exp(-eta)))
-        xi = [F.get("x", F.lit(i)) for i in range(k)]
+        now = J.lookup(rows, live.select("g", "beta"), ["g"]).withColumn("p", 1 / (1 + F.exp(-LA.dot(F.col("x"), F.col("beta")))))
         curve = F.col("weight") * F.col("p") * (1 - F.col("p"))
         aggs = [F.sum(F.col("weight") * (F.col("y") - F.col("p")) * xi[i]).alias(f"g{i}") for i in range(k)]
         aggs += [F.sum(curve * xi[i] * xi[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-        for r in now.groupBy("g").agg(*aggs).collect():
-            c = r["g"]
-            grad = np.array([r[f"g{i}"] for i in range(k)]) - ridge @ beta[c]
-            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + ridge
-            step = np.linalg.lstsq(h, grad, rcond=None)[0]
-            # damp steps that would overshoot into saturation
-            step *= min(1.0, 10.0 / max(np.max(np.abs(step)), 1e-300))
-            beta[c] = beta[c] + step
-            hess[c] = h
-            if np.max(np.abs(step)) < tol * max(1.0, np.max(np.abs(beta[c]))):
-                live.discard(c)
+        sums = live.select("g", "beta").join(now.groupBy("g").agg(*aggs), "g")
+        grad = F.array(*[F.col(f"g{i}") - ridge[i] * F.get("beta", F.lit(i)) for i in range(k)])
+        hess = LA.symmetric([[F.col(f"h{i}_{j}") + (ridge[i] if i == j else 0.0) for j in range(i, k)] for i in range(k)])
+        solved = sums.select("g", "beta", hess.alias("_h"), grad.alias("_r")).select("g", "beta", LA.solve(F.col("_h"), F.col("_r"), k).alias("_s"))
+        # damp steps that would overshoot into saturation
+        size = F.array_max(F.transform("_s.x", F.abs))
+        step = F.transform("_s.x", lambda v: v * F.least(F.lit(1.0), 10.0 / F.greatest(size, F.lit(1e-300))))
+        moved = solved.select(
+            "g", F.zip_with("beta", step, lambda b, v: b + v).alias("_b"), F.least(size, F.lit(10.0)).alias("_size"),
+            F.transform("_s.inverse", lambda row, i: F.sqrt(F.greatest(F.get(row, i), F.lit(0.0)))).alias("_e"),
+        )
+        next_ = state.join(moved, "g", "left")
+        still = F.col("_size") < tol * F.greatest(F.lit(1.0), F.array_max(F.transform("_b", F.abs)))
+        state = materialize(
+            next_.select(
+                "g", "n", "positives", "fitted", F.coalesce("_b", "beta").alias("beta"), F.coalesce("_e", "se").alias("se"), (F.col("done") | F.coalesce(still, F.lit(False))).alias("done")
+            ),
+            "logistic-state",
+        )
+    shown = state.select("g", "n", "positives", F.when(F.col("fitted"), F.col("beta")).alias("beta"), F.when(F.col("fitted"), F.col("se")).alias("se"), (F.col("fitted") & F.col("done")).alias("converged"), "fitted")
+    return shown.select(*[F.col("g")[c].alias(c) for c in keys], "n", "positives", "beta", "se", "converged", "fitted")
+
+
+def logistic(df: DataFrame, features: Sequence[str], y: str, *, key: str | None = None, **options) -> list[dict]:
+    """The fits of :func:`fit_logistic` with odds ratios and limits, for one model or few keys: they are collected."""
+    base = df.withColumn("key", F.col(key).cast("string") if key else F.lit("all"))
     out = []
-    for c, (n, p) in sorted(counts.items()):
-        fit: dict = {"key": c, "n": n, "positives": p, "terms": [], "converged": c in fitted and c not in live}
-        if c in fitted:
-            cov = np.linalg.pinv(hess[c])
-            for i, name in enumerate(["intercept", *features]):
-                b, se = float(beta[c][i]), math.sqrt(max(cov[i, i], 0.0))
-                fit["terms"].append({
-                    "feature": name, "coef": b, "se": se, "odds_ratio": math.exp(min(b, 700.0)),
-                    "ci_lower": math.exp(min(b - 1.959963984540054 * se, 700.0)), "ci_upper": math.exp(min(b + 1.959963984540054 * se, 700.0)),
-                    "p": math.erfc(abs(b / se) / math.sqrt(2)) if se > 0 else float("nan"),
-                })
+    for r in fit_logistic(base, features, y, keys=["key"], **options).orderBy("key").collect():
+        fit: dict = {"key": r["key"], "n": r["n"], "positives": r["positives"], "terms": [], "converged": r["converged"]}
+        for name, b, se in zip(["intercept", *features], r["beta"] or [], r["se"] or []):
+            fit["terms"].append({
+                "feature": name, "coef": b, "se": se, "odds_ratio": math.exp(min(b, 700.0)),
+                "ci_lower": math.exp(min(b - 1.959963984540054 * se, 700.0)), "ci_upper": math.exp(min(b + 1.959963984540054 * se, 700.0)),
+                "p": math.erfc(abs(b / se) / math.sqrt(2)) if se > 0 else float("nan"),
+            })
         out.append(fit)
     return out
 
 
+def keyed_scores(df: DataFrame, fits: DataFrame, features: Sequence[str], keys: Sequence[str], *, out: str = "score") -> DataFrame:
+    """Probability of class 1 by each key's own fit, joined by key; null for keys without a fit."""
+    x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features])
+    joined = J.lookup(df, fits.select(*keys, F.col("beta").alias("_beta")), list(keys), "left")
+    return joined.withColumn(out, 1 / (1 + F.exp(-LA.dot(x, F.col("_beta"))))).drop("_beta")
+
+
 def logistic_scores(df: DataFrame, fits: Sequence[dict], *, key: str | None = None, out: str = "score") -> DataFrame:
-    """Probability of class 1; null for keys without a fit."""
+    """Probability of class 1 by few collected fits; null for keys without a fit."""
     eta = F.lit(None).cast("double")
     for fit in fits:
         if not fit["terms"]:
@@ -127,17 +147,15 @@ def fit_and_auc(df: DataFrame, features: Sequence[str], y: str, *, name: str = "
 
 
 def grid_auc(cells: DataFrame, features: Sequence[str], *, fill: float = 6.0, y: str = "target", min_class: int = 3) -> DataFrame:
-    """AUC per window size and horizon from one table of all cells.
+    """AUC per window size and horizon from one table of all cells, and whether the cell's fit converged.
 
     Cells with fewer than ``min_class`` rows of a class have no AUC.
     """
-    ready = cells.fillna({f: fill for f in features}).withColumn("_cell", F.concat_ws("x", "win", "horizon"))
-    ready = materialize(ready, "cells")
-    fits = logistic(ready, features, y, key="_cell", min_class=min_class)
-    scored = logistic_scores(ready, fits, key="_cell")
-    auc = ST.roc_auc(scored, "score", y, keys=["win", "horizon"]).select("win", "horizon", "auc")
-    sizes = ready.groupBy("win", "horizon").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("positives"))
-    return sizes.join(auc, ["win", "horizon"], "left")
+    keys = ["win", "horizon"]
+    ready = materialize(cells.fillna({f: fill for f in features}), "cells")
+    fits = fit_logistic(ready, features, y, keys=keys, min_class=min_class)
+    auc = ST.roc_auc(keyed_scores(ready, fits, features, keys), "score", y, keys=keys).select(*keys, "auc")
+    return fits.select(*keys, "n", "positives", "converged").join(auc, keys, "left")
 
 
 # --- pyspark.ml models ---------------------------------------------------------------------------
@@ -207,9 +225,12 @@ def cross_validate(
 ) -> DataFrame:
     """Grouped, stratified k-fold run: AUC, precision, recall, F1 at 0.5 and at the best train threshold.
 
-    Folds without positives in the test part are skipped.
+    Folds without positives in the test part are skipped. Logistic fits of all folds are one keyed fit, and all their statistics one
+    keyed job each; other models and a selection of features fit one fold after the other.
     """
     folded = materialize(W.group_folds(chunks.fillna(0.0, subset=list(features)), group=group, label=y, k=k, seed=seed), "folds")
+    if kind == "logistic" and not l1_c:
+        return _cross_validate_at_once(folded, features, y, k)
     usable = sorted(r["fold"] for r in folded.groupBy("fold").agg(F.max(y).alias("p")).where("p = 1").select("fold").collect())
     results = None
     for f in usable:
@@ -219,16 +240,18 @@ def cross_validate(
         if kind == "logistic":
             fits = logistic(train_s, chosen, y)
             score = lambda d: logistic_scores(d, fits)  # noqa: B023, E731
+            converged = fits[0]["converged"]
         else:
             model = fit_classifier(kind, train_s, chosen, y)
             score = lambda d: classifier_scores(model, d, chosen)  # noqa: B023, E731
+            converged = None
         tested = materialize(score(test_s).select("score", y), "tested")
         tuned = ST.best_threshold(score(train_s).select("score", y), "score", y).first()
         auc = ST.roc_auc(tested, "score", y).first()["auc"]
         for name, t in (("default", 0.5), ("tuned", tuned["threshold"] if tuned else 0.5)):
             row = ST.class_metrics(tested, "score", y, float(t)).select(
                 F.lit(f + 1).alias("fold"), F.lit(name).alias("threshold"), F.lit(float(t)).alias("value"), F.lit(len(chosen)).alias("n_features"),
-                F.lit(auc).alias("auc"), "precision", "recall", "f1",
+                F.lit(auc).alias("auc"), "precision", "recall", "f1", F.lit(converged).cast("boolean").alias("converged"),
             )
             results = row if results is None else results.unionByName(row)
     if results is None:
@@ -236,6 +259,29 @@ def cross_validate(
     return results
 
 
+def _cross_validate_at_once(folded: DataFrame, features: Sequence[str], y: str, k: int) -> DataFrame:
+    """All folds as keys of one fit: a row is a test row of its own fold's model and a training row of the others."""
+    usable = folded.groupBy("fold").agg(F.max(y).alias("_p")).where("_p = 1").select(F.col("fold").alias("model"))
+    rows = folded.select("fold", y, *features).withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    rows = J.lookup(rows.withColumn("_test", F.col("fold") == F.col("model")), usable, ["model"])
+    train = lambda c: F.when(~F.col("_test"), F.col(c))
+    spread = rows.groupBy("model").agg(*[f(train(c)).alias(f"_{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = {c: (F.col(c) - F.coalesce(f"_m_{c}", F.lit(0.0))) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in features}
+    ready = materialize(J.lookup(rows, spread, ["model"]).withColumns(scaled).select("model", "_test", y, *features), "fold-rows")
+    fits = materialize(fit_logistic(ready.where("not _test"), features, y, keys=["model"]), "fold-fits")
+    scored = materialize(keyed_scores(ready, fits, features, ["model"]).select("model", "_test", y, "score"), "fold-scores")
+    tested = scored.where("_test")
+    auc = ST.roc_auc(tested, "score", y, keys=["model"]).select("model", "auc")
+    tuned = ST.best_threshold(scored.where("not _test"), "score", y, keys=["model"]).select("model", F.col("threshold").alias("_t"))
+    both = F.explode(F.array(F.struct(F.lit("default").alias("threshold"), F.lit(0.5).alias("value")), F.struct(F.lit("tuned").alias("threshold"), F.coalesce("_t", F.lit(0.5)).alias("value"))))
+    levels = J.lookup(fits.select("model", "converged"), tuned, ["model"], "left").withColumn("_v", both).select("model", "converged", "_v.*")
+    judged = tested.join(levels, "model")
+    metrics = ST.class_metrics(judged, "score", y, F.col("value"), keys=["model", "threshold", "value", "converged"])
+    return metrics.join(auc, "model", "left").select(
+        (F.col("model") + 1).alias("fold"), "threshold", "value", F.lit(len(features)).alias("n_features"), "auc", "precision", "recall", "f1", "converged"
+    )
+
+
 def fold_summary(folds: DataFrame) -> DataFrame:
     """Mean and deviation of every metric per threshold."""
     long = folds.selectExpr("threshold", "stack(4, 'auc', auc, 'precision', precision, 'recall', recall, 'f1', f1) as (metric, v)")

@@ -110,7 +110,7 @@ def enrich(inputs: Inputs, *, chunk_bits: int = S.CHUNK_BITS) -> DataFrame:
     phases = L.junction_phase(placed, junctions)
     lit = _side_join(L.light_state(placed, tracks), critical, phases)
     world_tracks = with_world_time(tracks, chunk_bits)
-    gaps = K.gap_table(placed, world_tracks, chunk_bits=chunk_bits)
+    gaps = K.own_gaps(placed, world_tracks, chunk_bits=chunk_bits)
     scene = materialize(K.attach_gaps(lit, gaps), "scene")
 
     ttc = K.time_to_collision(

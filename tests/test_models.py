@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from roadlens.functions import linear as LA
 from roadlens.operators import models as M
 from roadlens.operators import nearest as NP
 from roadlens.operators import smote as SM
@@ -44,6 +45,42 @@ def test_logistic_per_key(spark):
     assert scored.where("g = 'c' and score is not null").count() == 0
 
 
+def test_thousands_of_keys_in_one_fit(spark):
+    r = np.random.default_rng(11)
+    keys = np.repeat(np.arange(3000), 24)
+    x = r.normal(size=(len(keys), 2))
+    y = (x[:, 0] - x[:, 1] * (keys % 3) + r.normal(size=len(keys)) > 0).astype(int)
+    df = spark.createDataFrame(list(zip(keys.tolist(), x[:, 0].tolist(), x[:, 1].tolist(), y.tolist())), "k long, a double, b double, y int")
+    fits = M.fit_logistic(df, ["a", "b"], "y", keys=["k"], balanced=False)
+    got = {f["k"]: f for f in fits.collect()}
+    assert len(got) == 3000 and all(f["converged"] for f in got.values() if f["fitted"])
+    # the plan reads a table: it does not grow with the keys
+    assert len(fits._jdf.queryExecution().analyzed().toString()) < 5000
+    for key in (0, 1, 2, 2999):
+        part = keys == key
+        design = np.c_[np.ones(part.sum()), x[part]]
+        if not got[key]["fitted"]:
+            continue
+        want = _logit_reference(design, y[part].astype(float), np.ones(part.sum()), 1.0)
+        assert got[key]["beta"] == pytest.approx(list(want), abs=1e-6)
+        p = 1 / (1 + np.exp(-design @ want))
+        cov = np.linalg.inv((design * (p * (1 - p))[:, None]).T @ design + np.diag([0.0, 1.0, 1.0]))
+        assert got[key]["se"] == pytest.approx(np.sqrt(np.diag(cov)).tolist(), rel=1e-5)
+
+
+def test_solve(spark):
+    r = np.random.default_rng(1)
+    for k in (1, 2, 6):
+        root = r.normal(size=(k, k))
+        m, b = root @ root.T + 0.1 * np.eye(k), r.normal(size=k)
+        df = spark.createDataFrame([(m.tolist(), b.tolist())], "m array<array<double>>, b array<double>")
+        got = df.select(LA.solve(F.col("m"), F.col("b"), k).alias("s")).first()["s"]
+        assert got["x"] == pytest.approx(np.linalg.solve(m, b).tolist(), rel=1e-8)
+        assert np.allclose(got["inverse"], np.linalg.inv(m), rtol=1e-8)
+    flat = spark.createDataFrame([([[4.0, 2.0, 0.0], [2.0, 1.0, 0.0], [0.0, 0.0, 0.0]], [2.0, 1.0, 0.0])], "m array<array<double>>, b array<double>")
+    assert flat.select(LA.solve(F.col("m"), F.col("b"), 3).alias("s")).first()["s"]["x"] == pytest.approx([0.5, 0.0, 0.0])
+
+
 def _cox_loglik(rows, beta):
     ll = 0.0
     for t in sorted({b for _, b, e, _ in rows if e}):

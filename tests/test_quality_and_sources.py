@@ -1,6 +1,7 @@
 """Quality checks, ragged files, readers and sinks."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,11 @@ from roadlens import schema as C
 from roadlens.functions import geometry as G
 from roadlens.functions import numeric as N
 from roadlens.functions import text as T
+from roadlens.operators import collision as K
 from roadlens.operators import events as E
 from roadlens.operators import quality as Q
 from roadlens.operators import scan as S
+from roadlens.session import materialize
 from roadlens.sources import logs, sinks
 
 
@@ -180,3 +183,24 @@ def test_later_pair_wins_and_ends_stay(spark):
     pairs = spark.createDataFrame([("t", 0.0, 5.0, "one", 1), ("t", 3.0, 7.0, "two", 2), ("t", 6.0, 2.0, "backwards", 3)], "k string, _from double, _to double, _pair string, _rank int")
     got = [r["lab"] for r in E.fill_between(f, pairs, keys=["k"], at="t", label="lab").orderBy("t").collect()]
     assert got == ["n", "one", "one", "one", "two", "two", "two", "n"]
+
+
+def test_own_gaps_are_the_rows_of_the_gap_table_that_frames_use(spark):
+    r = random.Random(12)
+    names = [f"car {i}" for i in range(6)]
+    tracks = spark.createDataFrame(
+        [("a", "c", m, n, float(t) + i / 10, float(t) + i / 10, r.uniform(0, 50), t) for m in "AB" for i, n in enumerate(names) for t in range(8)],
+        "Id string, Condition string, Map string, Name string, SimulationTime double, _world double, Speed double, ord long",
+    )
+    rows = []
+    for m in "AB":
+        for t in range(0, 90, 3):
+            own = r.choice([*names, None, "car 0, car 3", "bus"])
+            rows.append(("a", "c", m, t / 10, r.choice(["Egocar gap acceptance", "gap acceptance", "Egocar gap acceptance", "other"]), own))
+    frames = spark.createDataFrame(rows, "Id string, Condition string, Map string, SimulationTime double, SpacialEvent string, relevant_object_name string")
+    whole, own = (materialize(f(frames, tracks)) for f in (K.gap_table, K.own_gaps))
+    assert own.join(whole, own.columns, "left_anti").count() == 0
+    key = lambda df: sorted(map(repr, K.attach_gaps(frames, df).collect()))
+    assert key(own) == key(whole) and own.where("GapAcceptance is not null").count() > 5
+    gap = frames.where(K.is_gap_frame(F.col("Map"), F.col("SpacialEvent")))
+    assert own.count() <= gap.count() < whole.count()
