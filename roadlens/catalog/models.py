@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from roadlens.catalog import query
 from roadlens.catalog.windows import cells
+from roadlens.functions import linear as LA
 from roadlens.operators import models as M
 from roadlens.operators import nearest as NP
 from roadlens.operators import smote as SM
@@ -44,6 +45,28 @@ def cross_validation(spark, sf):
     return M.fold_summary(M.cross_validate(_merged(spark, sf), _FEATURES))
 
 
+_DIRECTIONS, _PHASES = M.fourier_weights(3, 16, 0.5)
+
+
+def _wave_sql(x: str) -> str:
+    terms = [f"cos({' + '.join(f'({v!r}) * {x}[{i + 1}]' for i, v in enumerate(w))} + {b!r})" for w, b in zip(_DIRECTIONS, _PHASES)]
+    return f"list_transform([{', '.join(terms)}], lambda c: c * sqrt(2.0 / {len(_PHASES)}))"
+
+
+@query(
+    "kernel_features",
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding[1:3], lambda e: CAST(e AS DOUBLE) * 5) AS x FROM embeddings),
+w AS (SELECT vec_id, {_wave_sql('x')} AS z FROM v), o AS (SELECT z AS z0 FROM w WHERE vec_id = 0)
+SELECT vec_id, round(list_dot_product(z, z0), 9) AS kernel FROM w CROSS JOIN o""",
+)
+def kernel_features(spark, sf):
+    """Approximate kernel of every vector with the first one, from random Fourier features."""
+    x = F.transform(F.slice("embedding", 1, 3), lambda e: e.cast("double") * 5)
+    w = D.table(spark, sf, "embeddings").select("vec_id", M.fourier_features(x, _DIRECTIONS, _PHASES).alias("z"))
+    first = F.array(*[F.lit(v) for v in w.where("vec_id = 0").first()["z"]])
+    return w.select("vec_id", F.round(LA.dot(F.col("z"), first), 9).alias("kernel"))
+
+
 @query("boosted_trees")
 def boosted_trees(spark, sf):
     """Importances and training AUC of boosted trees."""

@@ -98,16 +98,32 @@ def ragged_rows(spark, sf):
     return Q.field_counts(Q.split_ragged(d), expected=10)
 
 
-@query(
-    "profile",
-    """SELECT * FROM (SELECT CAST(count(*) AS BIGINT) AS rows, 'o_orderkey' AS column_name, 'bigint' AS type, CAST(count(*) - count(o_orderkey) AS BIGINT) AS nulls FROM orders
-  UNION ALL SELECT count(*), 'o_custkey', 'bigint', count(*) - count(o_custkey) FROM orders
-  UNION ALL SELECT count(*), 'o_orderstatus', 'string', count(*) - count(o_orderstatus) FROM orders
-  UNION ALL SELECT count(*), 'o_totalprice', 'double', count(*) - count(o_totalprice) FROM orders
-  UNION ALL SELECT count(*), 'o_orderpriority', 'string', count(*) - count(o_orderpriority) FROM orders)""",
-)
+_ORDERS = (
+    ("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"),
+)
+
+
+def _profile_sql(c: str, kind: str) -> str:
+    text = (lambda v: f"strftime({v}, '%Y-%m-%d %H:%M:%S')") if kind == "timestamp_ntz" else (lambda v: f"CAST({v} AS VARCHAR)")
+    end = lambda f: text(f"(SELECT {c} FROM orders ORDER BY o_orderkey {f} LIMIT 1)")
+    mean, sd = (f"round(avg({c}), 4)", f"round(stddev_samp({c}), 4)") if kind in ("bigint", "double") else ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
+    return (
+        f"SELECT count(*) AS rows, '{c}' AS column_name, '{kind}' AS type, CAST(count(*) - count({c}) AS BIGINT) AS nulls, {text(f'min({c})')} AS least, "
+        f"{text(f'max({c})')} AS greatest, {mean} AS mean, {sd} AS sd, {end('ASC')} AS first, {end('DESC')} AS last, true AS distinct_close FROM orders"
+    )
+
+
+@query("profile", "\nUNION ALL ".join(_profile_sql(*c) for c in _ORDERS))
 def profile(spark, sf):
-    return logs.profile(D.table(spark, sf, "orders").drop("o_orderdate"))
+    """All columns of the orders; the distinct estimates are held against exact counts."""
+    orders = D.table(spark, sf, "orders")
+    names = [c for c, _ in _ORDERS]
+    exact = orders.agg(*[F.count_distinct(c).alias(c) for c in names]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("_n")) for c in names])))
+    shown = logs.profile(orders, order=["o_orderkey"]).join(exact, "column_name")
+    close = F.abs(F.col("distinct_estimate") - F.col("_n")) <= 0.06 * F.col("_n") + 0.5
+    return shown.select(
+        "rows", "column_name", "type", "nulls", "least", "greatest", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "first", "last", close.alias("distinct_close")
+    )
 
 
 @query(

@@ -8,12 +8,13 @@ come from ``pyspark.ml``.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Sequence
 
 from pyspark.ml import classification as MC
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions import linear as LA
@@ -167,7 +168,7 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def classifier(kind: str, *, seed: int = 42, c: float = 1.0, rows: int = 1, rounds: int = 100):
-    """Estimator with the weight column: l1, forest, boost or svm (linear kernel). The linear ones run until they converge."""
+    """Estimator with the weight column: l1, forest, boost or svm (linear kernel; ``rbf`` is a :class:`KernelMachine`). The linear ones run until they converge."""
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if kind == "l1":
         return MC.LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * rows), standardization=False, maxIter=10_000, **common)
@@ -180,9 +181,48 @@ def classifier(kind: str, *, seed: int = 42, c: float = 1.0, rows: int = 1, roun
     raise ValueError(f"unknown classifier {kind!r}")
 
 
+def fourier_weights(size: int, components: int, gamma: float, seed: int = 42) -> tuple[list[list[float]], list[float]]:
+    """Random directions and phases whose cosines have the kernel exp(-gamma |x - y|^2) as mean product."""
+    r = random.Random(seed)
+    spread = math.sqrt(2 * gamma)
+    return [[r.gauss(0, spread) for _ in range(size)] for _ in range(components)], [r.uniform(0, 2 * math.pi) for _ in range(components)]
+
+
+def fourier_features(x: Column, weights: list[list[float]], phases: list[float]) -> Column:
+    """``sqrt(2 / D) cos(w x + b)`` for each of D directions, of an array of features."""
+    scale = math.sqrt(2.0 / len(phases))
+    lines = F.array(*[F.struct(F.array(*[F.lit(v) for v in w]).alias("w"), F.lit(b).alias("b")) for w, b in zip(weights, phases)])
+    return F.transform(lines, lambda line: F.lit(scale) * F.cos(LA.dot(line["w"], x) + line["b"]))
+
+
+class KernelMachine:
+    """A linear support-vector classifier on random Fourier features of standardised columns: the RBF kernel without a kernel matrix.
+
+    The width follows the data as 1 / (number of features * variance), which for standardised columns is 1 / number of features.
+    """
+
+    def __init__(self, df: DataFrame, features: Sequence[str], *, components: int = 256, gamma: float | None = None, seed: int = 42, c: float = 1.0, rows: int | None = None):
+        self.features = list(features)
+        filled = df.fillna(0.0, subset=self.features)
+        m = filled.agg(*[f(x).alias(f"{n}_{x}") for x in self.features for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first().asDict()
+        self.scale = [(m[f"m_{x}"] or 0.0, m[f"s_{x}"] or 1.0) for x in self.features]
+        self.weights, self.phases = fourier_weights(len(self.features), components, gamma or 1.0 / len(self.features), seed)
+        ready = self._expand(filled)
+        self.model = classifier("svm", c=c, rows=rows or ready.count()).fit(ready)
+
+    def _expand(self, df: DataFrame) -> DataFrame:
+        x = F.array(*[(F.col(c).cast("double") - mean) / sd for c, (mean, sd) in zip(self.features, self.scale)])
+        return df.withColumn("features", array_to_vector(fourier_features(x, self.weights, self.phases)))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self._expand(df.drop("features")))
+
+
 def fit_classifier(kind: str, df: DataFrame, features: Sequence[str], y: str, **options):
     weighted = class_weights(df.withColumn("label", F.col(y).cast("double")), "label")
     ready = assemble(weighted, features)
+    if kind == "rbf":
+        return KernelMachine(weighted, features, **options)
     if kind in ("l1", "svm"):
         options.setdefault("rows", ready.count())
     return classifier(kind, **options).fit(ready)

@@ -274,9 +274,36 @@ def read_transcripts(spark: SparkSession, path: str, multiline: bool = True) ->
     )
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """One row per column: type, rows, nulls, distinct estimate."""
-    aggs = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
+def profile(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """One row per column, from one pass over the whole table.
+
+    Type, rows, nulls, an estimate of the distinct values (a HyperLogLog sketch, about 2 % off), least and greatest value, for numbers
+    mean, deviation and approximate quartiles, and with ``order`` the values of the first and the last row. Values are shown as text.
+    """
+    numbers = {c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")}
+    place = F.struct(*[F.col(f"`{c}`") for c in order]) if order else None
+    aggs = []
+    for i, (c, t) in enumerate(df.dtypes):
+        v = F.col(f"`{c}`")
+        text = v.cast("string") if not t.startswith(("array", "map", "struct", "binary")) else F.base64(v) if t == "binary" else F.to_json(F.array(v))
+        none = F.lit(None).cast("double")
+        x = v.cast("double")
+        shown = v if not t.startswith("map") else text  # maps have no order
+        aggs.append(
+            F.struct(
+                F.lit(c).alias("column_name"), F.lit(t).alias("type"), F.count_if(v.isNull()).alias("nulls"),
+                F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(text, F.lit(12))), F.lit(0).cast("long")).alias("distinct_estimate"),
+                F.min(shown).cast("string").alias("least"), F.max(shown).cast("string").alias("greatest"),
+                *[(f(x) if c in numbers else none).alias(n) for n, f in (("mean", F.avg), ("sd", F.stddev_samp))],
+                *[(F.percentile_approx(x, q, 10000) if c in numbers else none).alias(n) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))],
+                *[(f(v, place).cast("string") if order else F.lit(None).cast("string")).alias(n) for n, f in (("first", F.min_by), ("last", F.max_by))],
+            ).alias(f"c{i}")
+        )
     one = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
-    cells = ", ".join(f"'{c}', '{t}', n{i}" for i, (c, t) in enumerate(df.dtypes))
-    return one.selectExpr("rows", f"stack({len(df.columns)}, {cells}) as (column_name, type, nulls)")
+    return one.select("rows", F.inline(F.array(*[F.col(f"c{i}") for i in range(len(aggs))])))
+
+
+def head_and_tail(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The first and the last ``n`` rows by ``order``, marked ``part``; no more than these leave a task."""
+    head = df.orderBy(*order).limit(n).withColumn("part", F.lit("head"))
+    return head.unionByName(df.orderBy(*[F.desc(c) for c in order]).limit(n).withColumn("part", F.lit("tail")))

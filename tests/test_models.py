@@ -308,3 +308,27 @@ def test_constant_data_gives_nulls_and_no_error(spark):
     assert SV.log_rank(df, "x", "y", "y").first()["chi2"] is None
     assert {r["density"] for r in ST.density(df, "c", 0.0, 2.0, 3).collect()} == {None}
     assert ST.pearson(df.withColumn("z", 2 * F.col("x")), "x", "z").first()["r"] == pytest.approx(1.0)
+
+
+def test_fourier_features_have_the_kernel(spark):
+    weights, phases = M.fourier_weights(3, 2000, 0.4)
+    points = np.random.default_rng(3).normal(size=(6, 3))
+    df = spark.createDataFrame([(p.tolist(),) for p in points], "x array<double>")
+    z = np.array([r["z"] for r in df.select(M.fourier_features(F.col("x"), weights, phases).alias("z")).collect()])
+    exact = np.exp(-0.4 * ((points[:, None] - points[None]) ** 2).sum(2))
+    assert np.abs(z @ z.T - exact).max() < 5 / math.sqrt(2000)
+
+
+def test_rings_need_the_kernel(spark):
+    r = random.Random(2)
+    rows = []
+    for i in range(400):
+        a, d = r.uniform(0, 2 * math.pi), r.gauss(1 if i % 2 else 3, 0.25)
+        rows.append((d * math.cos(a), d * math.sin(a), i % 2))
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    area = {}
+    for kind in ("svm", "rbf"):
+        options = {"components": 64} if kind == "rbf" else {}
+        model = M.fit_classifier(kind, df, ["a", "b"], "y", **options)
+        area[kind] = ST.roc_auc(M.classifier_scores(model, df, ["a", "b"]), "score", "y").first()["auc"]
+    assert area["rbf"] > 0.95 > 0.8 > area["svm"]

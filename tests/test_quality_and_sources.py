@@ -204,3 +204,20 @@ def test_own_gaps_are_the_rows_of_the_gap_table_that_frames_use(spark):
     assert key(own) == key(whole) and own.where("GapAcceptance is not null").count() > 5
     gap = frames.where(K.is_gap_frame(F.col("Map"), F.col("SpacialEvent")))
     assert own.count() <= gap.count() < whole.count()
+
+
+def test_profile_reads_everything_once(spark):
+    rows = [(i, float(i % 500) if i % 10 else None, f"t{i % 37}", [i % 3]) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, v double, name string, list array<long>")
+    got = {r["column_name"]: r for r in logs.profile(df, order=["id"]).collect()}
+    assert [got[c]["nulls"] for c in ("id", "v", "name", "list")] == [0, 500, 0, 0] and {r["rows"] for r in got.values()} == {5000}
+    for c, n in (("id", 5000), ("v", 450), ("name", 37), ("list", 3)):
+        assert abs(got[c]["distinct_estimate"] - n) <= 0.06 * n
+    known = sorted(v for _, v, _, _ in rows if v is not None)
+    for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        assert abs(sum(v <= got["v"][q] for v in known) / len(known) - p) < 0.01
+    assert (got["name"]["first"], got["name"]["last"], got["name"]["mean"]) == ("t0", f"t{4999 % 37}", None)
+    empty = {r["column_name"]: r for r in logs.profile(df.limit(0)).collect()}
+    assert empty["v"]["rows"] == 0 and empty["v"]["distinct_estimate"] == 0 and empty["v"]["first"] is None
+    ends = logs.head_and_tail(df, ["id"], 2).collect()
+    assert sorted((r["part"], r["id"]) for r in ends) == [("head", 0), ("head", 1), ("tail", 4998), ("tail", 4999)]
