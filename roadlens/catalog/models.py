@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadlens.catalog import query
+from roadlens.catalog.stats import normal_p_sql
 from roadlens.catalog.windows import cells
 from roadlens.functions import linear as LA
 from roadlens.operators import models as M
@@ -30,13 +31,25 @@ def grid_auc(spark, sf):
     return M.grid_auc(cells(spark, sf), ["TTC_min", "Speed_mean"])
 
 
-@query("logistic_documents")
+@query(
+    "logistic_documents",
+    f"""WITH RECURSIVE {D.OUTCOME_SQL},
+o AS MATERIALIZED (SELECT ln(1 + score) AS x, CAST(y AS DOUBLE) AS y FROM outcome WHERE score IS NOT NULL AND y IS NOT NULL),
+b AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS v0, CAST(0 AS DOUBLE) AS v1 UNION ALL
+  SELECT i + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01), h11 / (h00 * h11 - h01 * h01), h00 / (h00 * h11 - h01 * h01)
+  FROM (SELECT i, b0, b1, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11
+    FROM (SELECT i, b0, b1, x, y, 1 / (1 + exp(-b0 - b1 * x)) AS p FROM b CROSS JOIN o WHERE i < 25) GROUP BY i, b0, b1)),
+t AS (SELECT unnest(['intercept', 'log_length']) AS feature, unnest([b0, b1]) AS c, unnest([sqrt(v0), sqrt(v1)]) AS s FROM b WHERE i = 25)
+SELECT feature, round(c, 6) AS coef, round(exp(c), 6) AS odds_ratio, round(exp(c - 1.959963984540054 * s), 6) AS ci_lower, round(exp(c + 1.959963984540054 * s), 6) AS ci_upper,
+  round({normal_p_sql('c / s')}, 8) AS p, true AS converged FROM t""",
+)
 def logistic_documents(spark, sf):
     """Toxic documents by length: coefficient, odds ratio and p of a plain logit."""
     o = D.outcome(spark, sf).withColumn("log_length", F.log1p("score"))
     fit = M.logistic(o, ["log_length"], "y", balanced=False, penalty=0.0)[0]
     rows = [(t["feature"], t["coef"], t["odds_ratio"], t["ci_lower"], t["ci_upper"], t["p"], fit["converged"]) for t in fit["terms"]]
-    return spark.createDataFrame(rows, "feature string, coef double, odds_ratio double, ci_lower double, ci_upper double, p double, converged boolean")
+    out = spark.createDataFrame(rows, "feature string, coef double, odds_ratio double, ci_lower double, ci_upper double, p double, converged boolean")
+    return out.withColumns({c: F.round(c, 8 if c == "p" else 6) for c in ("coef", "odds_ratio", "ci_lower", "ci_upper", "p")})
 
 
 @query("cross_validation")

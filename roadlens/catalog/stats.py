@@ -51,7 +51,7 @@ def _simpson(f: str, top: str, steps: int = 2000) -> str:
     return f"(({top}) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f.replace('v', at)})))"
 
 
-def _normal_p_sql(z: str) -> str:
+def normal_p_sql(z: str) -> str:
     return f"greatest(0, 1 - sqrt(2 / pi()) * {_simpson('exp(-v * v / 2)', f'least(abs({z}), 12)')})"
 
 
@@ -91,7 +91,7 @@ def student_fit(spark, sf):
 t AS (SELECT g, sum(CAST(n AS DOUBLE) * n * n - n) AS tie FROM (SELECT g, score, count(*) AS n FROM r GROUP BY g, score) GROUP BY g),
 s AS (SELECT g, CAST(sum(1 - y) AS DOUBLE) AS n0, CAST(sum(y) AS DOUBLE) AS n1, sum(CASE WHEN y = 0 THEN rk END) AS r0 FROM k GROUP BY g),
 u AS (SELECT s.*, tie, r0 - n0 * (n0 + 1) / 2 AS u FROM s JOIN t USING (g))
-SELECT g, n0, n1, u, round(z, 8) AS z, round(least(1, CASE WHEN z < 0 THEN 2 - {_normal_p_sql('z')} ELSE {_normal_p_sql('z')} END), 8) AS p FROM (
+SELECT g, n0, n1, u, round(z, 8) AS z, round(least(1, CASE WHEN z < 0 THEN 2 - {normal_p_sql('z')} ELSE {normal_p_sql('z')} END), 8) AS p FROM (
   SELECT g, n0, n1, u, (greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5) / sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - tie / ((n0 + n1) * (n0 + n1 - 1)))) AS z FROM u)""",
 )
 def mann_whitney(spark, sf):
@@ -315,7 +315,7 @@ def km_median(spark, sf):
 n AS (SELECT *, sum(m) OVER w AS r, sum(m1) OVER w AS r1 FROM c WINDOW w AS (PARTITION BY g ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 q AS (SELECT g, sum(d1) AS o, sum(d * r1 / r) AS e, sum(CASE WHEN r > 1 THEN d * (r1 / r) * (1 - r1 / r) * (r - d) / (r - 1) END) AS v FROM n GROUP BY g)
 SELECT g, CAST(o AS BIGINT) AS observed, round(e, 6) AS expected, round(v, 6) AS variance, round((o - e) * (o - e) / v, 6) AS chi2,
-  round({_normal_p_sql('(o - e) / sqrt(v)')}, 8) AS p FROM q""",
+  round({normal_p_sql('(o - e) / sqrt(v)')}, 8) AS p FROM q""",
 )
 def logrank(spark, sf):
     out = SV.log_rank(_shipments(spark, sf), "duration", "event", "grp", keys=["g"])
