@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadlens.functions.numeric import ratio
 from roadlens.operators import joins as J
 from roadlens.operators import scan as S
 from roadlens.operators import trips as TR
@@ -72,7 +73,9 @@ def window_features(
     """One row per event and window with the 26 features.
 
     Positional first/last values keep nulls; distance and time-to-collision
-    deltas use the first and last non-null value.
+    deltas use the first and last non-null value. The mean speed is summed in
+    the order of ``order``, whatever the partitioning, so that a mean on a limit
+    falls on the same side in every run; a window's speeds are held for that.
     """
     placed = place_in_windows(frames, [key], at, size)
     o = [F.col(at).alias("t"), F.col(order).alias("o")]
@@ -94,7 +97,7 @@ def window_features(
         F.max("Acceleration").alias("Acceleration_max"),
         F.min("Acceleration").alias("Acceleration_min"),
         rate(F.col("Acceleration") > 0).alias("Accelerating_rate"),
-        F.avg("Speed").alias("Speed_mean"),
+        F.array_sort(F.collect_list(F.when(F.col("Speed").isNotNull(), F.struct(F.col(order).alias("o"), F.col("Speed").cast("double").alias("v"))))).alias("_v"),
         F.max("Speed").alias("Speed_max"),
         F.stddev_samp("Speed").alias("Speed_std"),
         F.max(F.abs("SteeringAngle")).alias("SteeringAngle_absmax"),
@@ -106,6 +109,7 @@ def window_features(
         F.count(ttc).alias("_cn"),
         F.bool_or(F.col("TrafficLight") == "Yellow").alias("_yellow"),
     )
+    g = g.withColumn("Speed_mean", ratio(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x["v"]), F.size("_v")))
     light0, phase0, phase1 = F.col("_a.TrafficLight"), F.col("_a.TrafficLight_JunctionPhase"), F.col("_z.TrafficLight_JunctionPhase")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return g.select(

@@ -51,6 +51,17 @@ def test_features_by_rule(spark):
     assert b["Speed_std"] == pytest.approx(math.sqrt(0.005)) and out[2]["is_partial_window"] == 1 if 2 in out else True
 
 
+def test_mean_speed_is_summed_in_record_order(spark):
+    # sums of these speeds depend on their order
+    speeds = next(v for i in range(1, 500) for v in [(i / 7 % 18, 18.1, 35.9 - i / 7 % 18)] if (v[0] + v[1] + v[2]) / 3 != (v[2] + v[1] + v[0]) / 3)
+    rows = [_frame("e", i, 0.1 * i, speed=v) for i, v in enumerate(speeds)] + [_frame("e", 3, 2.0, speed=0.0)]
+    for some in (rows, rows[::-1], rows[1:] + rows[:1]):
+        frames = spark.createDataFrame(some, _COLS)
+        for df in (frames.coalesce(1), frames.repartition(3)):
+            got = W.window_features(df, size=1.0, at="t", order="ord").where("window_index = 0").first()
+            assert got["Speed_mean"] == ((speeds[0] + speeds[1]) + speeds[2]) / 3
+
+
 def test_targets(spark):
     win = spark.createDataFrame([("e", i, float(i), i + 1.0) for i in range(5)] + [("f", 0, 0.0, 1.0)], "event_id string, window_index long, start_time double, end_time double")
     fb = spark.createDataFrame([("e", 3.0), ("e", 4.2)], "event_id string, feedback_at double")
