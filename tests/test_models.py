@@ -247,6 +247,41 @@ def test_nearest_points_grow_slowly(spark):
     assert took[1] < 5 * took[0] + 5, took
 
 
+def test_a_point_is_sent_to_a_block_once():
+    x = np.random.default_rng(4).uniform(size=(3000, 12))
+    pivots = x[:100]
+    leaf = NP.distances(x, pivots).argmin(1)
+    count, away = np.bincount(leaf, minlength=100), NP.distances(x, pivots).min(1)
+    radius = np.array([away[leaf == i].max() for i in range(100)])
+    block = NP.blocks_of(pivots, count, 500)
+    assert np.bincount(block, weights=count).max() <= 500 and len(set(block)) <= 12
+    order = np.argsort(block, kind="stable")
+    tree = NP.Tree(pivots[order], count[order], radius[order], block[order])
+    mine = x[leaf == order[0]]
+    i, target = tree.asked(mine, 0, np.full(len(mine), np.inf))
+    # every other block, not every leaf
+    assert len(set(zip(i.tolist(), target.tolist()))) == len(i) == len(mine) * (len(set(block)) - 1)
+    assert len(tree.asked(mine, 0, np.zeros(len(mine)))[0]) == 0
+
+
+def test_points_without_end_take_no_part(spark):
+    assert _found(spark, [[0.0, 0.0], [3.0, 4.0], [math.inf, 1.0], [1.0, -math.inf]], 2, 5) == {(0.0, 0.0): [5.0], (3.0, 4.0): [5.0]}
+
+
+def test_smote_tells_the_ends_of_new_rows(spark):
+    r = random.Random(8)
+    rows = [(r.uniform(0, 1), r.uniform(0, 1), 0) for _ in range(40)] + [(r.uniform(5, 6), r.uniform(5, 6), 1) for _ in range(12)] + [(5.5, 5.5, 1)] * 3
+    out = SM.smote(spark.createDataFrame(rows, "a double, b double, y int"), ["a", "b"], "y", k=3, ends=True)
+    made = out.where("start is not null").collect()
+    assert len(made) == 25 and out.where("start is null").count() == 55 and all(m["y"] == 1 for m in made)
+    few = {(a, b) for a, b, y in rows if y}
+    near = _neighbours(list(few), 3)
+    for m in made:
+        (ax, ay), (bx, by) = m["start"], m["end"]
+        assert (ax, ay) in few and (bx, by) in few and math.dist((ax, ay), (bx, by)) <= near[ax, ay][-1] + 1e-12
+        assert abs((bx - ax) * (m["b"] - ay) - (by - ay) * (m["a"] - ax)) < 1e-12 and min(ax, bx) - 1e-12 <= m["a"] <= max(ax, bx) + 1e-12
+
+
 def test_smote_balances_inside_the_minority(spark):
     r = random.Random(9)
     rows = [(r.uniform(0, 1), r.uniform(0, 1), 0) for _ in range(50)] + [(r.uniform(5, 6), r.uniform(5, 6), 1) for _ in range(10)] + [(5.5, 5.5, 1)] * 4
