@@ -112,24 +112,20 @@ c AS (SELECT y, min(price) AS a, max(price) AS b, min(cust) AS c, max(cust) AS d
 SELECT y, CAST(max(n) OVER () AS BIGINT) AS n, round(a, 9) AS min_price, round(b, 9) AS max_price, round(c, 9) AS min_cust, round(d, 9) AS max_cust, CAST(0 AS BIGINT) AS off_line FROM c""",
 )
 def smote_orders(spark, sf):
-    """Orders in part delivery raised to the size of the rest: class sizes, ranges (new rows lie between old ones), and rows that lie on no
-    line between an old row and one of its five nearest."""
+    """Orders in part delivery raised to the size of the rest: class sizes, ranges (new rows lie between old ones), and rows that do not lie
+    on the line between the old row that they start from and one of its five nearest, or a copy of it."""
     li = D.table(spark, sf, "orders").select(
         (F.col("o_totalprice") / 100000).alias("price"), (F.col("o_custkey") / 1000).alias("cust"), (F.col("o_orderstatus") == "P").cast("int").alias("y")
     )
-    made = materialize(SM.smote(li, ["price", "cust"], "y"), "smote-made")
-    ends = [F.round(f(c), 9).alias(f"{n}_{c}") for c in ("price", "cust") for n, f in (("min", F.min), ("max", F.max))]
-    sizes = made.groupBy("y").agg(F.count(F.lit(1)).alias("n"), *ends)
+    made = materialize(SM.smote(li, ["price", "cust"], "y", ends=True), "smote-made")
+    bounds = [F.round(f(c), 9).alias(f"{n}_{c}") for c in ("price", "cust") for n, f in (("min", F.min), ("max", F.max))]
+    sizes = made.groupBy("y").agg(F.count(F.lit(1)).alias("n"), *bounds)
     few = li.where("y = 1").select(F.array(F.col("price"), F.col("cust")).alias("x"))
-    lines = NP.nearest_points(few, 2, 5).select(F.get("x", F.lit(0)).alias("ax"), F.get("x", F.lit(1)).alias("ay"), F.get("neighbour", F.lit(0)).alias("bx"), F.get("neighbour", F.lit(1)).alias("by"))
-    new = made.where("y = 1").select("price", "cust").distinct().join(few.select(F.get("x", F.lit(0)).alias("price"), F.get("x", F.lit(1)).alias("cust")), ["price", "cust"], "left_anti")
-    # a line is met through the price cells that it crosses
-    cell = lambda c: F.floor(c / F.lit(0.01)).cast("long")
-    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
-    crossed = lines.withColumn("cell", F.explode(F.sequence(cell(low - 1e-9), cell(high + 1e-9))))
-    side = (F.col("bx") - F.col("ax")) * (F.col("cust") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("price") - F.col("ax"))
-    inside = (F.abs(side) < 1e-9) & (F.col("price") >= low - 1e-9) & (F.col("price") <= high + 1e-9)
-    on = new.withColumn("cell", cell(F.col("price"))).join(crossed, "cell").where(inside).select("price", "cust").distinct()
-    off = new.join(on, ["price", "cust"], "left_anti").select(F.lit(1).alias("y"))
+    lines = NP.nearest_points(few, 2, 5).select("x", "neighbour").unionByName(few.distinct().withColumn("neighbour", F.col("x")))
+    part = lambda c, i: F.get(c, F.lit(i))
+    side = (part("end", 0) - part("start", 0)) * (F.col("cust") - part("start", 1)) - (part("end", 1) - part("start", 1)) * (F.col("price") - part("start", 0))
+    within = [F.col(c).between(F.least(part("start", i), part("end", i)) - 1e-9, F.greatest(part("start", i), part("end", i)) + 1e-9) for i, c in enumerate(("price", "cust"))]
+    on = (F.abs(side) < 1e-9) & within[0] & within[1] & (F.col("start") == F.col("x")) & (F.col("end") == F.col("neighbour"))
+    off = made.where("start is not null").join(lines, on, "left_anti").select("y")
     lost = off.groupBy("y").agg(F.count(F.lit(1)).alias("off_line"))
     return sizes.join(lost, "y", "left").withColumn("off_line", F.coalesce("off_line", F.lit(0).cast("long")))

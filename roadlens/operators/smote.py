@@ -13,19 +13,21 @@ from roadlens.session import materialize
 
 
 def smote(
-    df: DataFrame, features: Sequence[str], y: str, *, k: int = 5, seed: int = 42, chunk_bits: int = S.CHUNK_BITS
+    df: DataFrame, features: Sequence[str], y: str, *, k: int = 5, seed: int = 42, chunk_bits: int = S.CHUNK_BITS, ends: bool = False
 ) -> DataFrame:
     """Features and label with the minority class raised to the size of the other.
 
     New rows lie at a random place between a minority row and one of its k
     nearest minority rows. Every minority row gets its equal share of new rows;
-    equal rows are neighbours of each other at distance 0.
+    equal rows are neighbours of each other at distance 0. With ``ends`` the arrays ``start`` and ``end`` tell
+    the two old rows of each new one (null for old rows).
     """
     base = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(y).cast("int").alias(y))
     base = materialize(base.dropna(), "smote")
+    old = base.withColumns({c: F.lit(None).cast("array<double>") for c in ("start", "end")}) if ends else base
     sizes = {r[y]: r["n"] for r in base.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) != 2 or sizes[0] == sizes[1]:
-        return base
+        return old
     rare = min(sizes, key=lambda c: sizes[c])
     need, have = max(sizes.values()) - sizes[rare], sizes[rare]
     few = base.where(F.col(y) == rare).select(F.array(*features).alias("x"))
@@ -49,6 +51,7 @@ def smote(
     pick = F.floor(uniform(1) * known)
     target = F.when(pick < twins, F.col("x")).otherwise(F.get("_o", (pick - twins).cast("int"))["neighbour"])
     gap = uniform(2)
-    new = F.zip_with("x", F.coalesce(target, F.col("x")), lambda a, b: a + gap * (b - a))
-    fresh = made.select(new.alias("_x")).select(*[F.get("_x", F.lit(i)).alias(f) for i, f in enumerate(features)], F.lit(rare).alias(y))
-    return base.unionByName(fresh)
+    new = F.zip_with("start", "end", lambda a, b: a + gap * (b - a))
+    fresh = made.withColumns({"start": F.col("x"), "end": F.coalesce(target, F.col("x"))}).withColumn("_x", new)
+    fresh = fresh.select(*[F.get("_x", F.lit(i)).alias(f) for i, f in enumerate(features)], F.lit(rare).alias(y), "start", "end")
+    return old.unionByName(fresh if ends else fresh.drop("start", "end"))
