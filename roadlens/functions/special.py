@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Terms of the series and continued fractions; freedoms beyond which Student's t is a corrected normal.
+#: Terms of the series and continued fractions (of the beta function at most); freedoms beyond which Student's t is a corrected normal.
 SERIES, FRACTION, BETA_FRACTION, LARGE = 70, 60, 500, 20_000
 #: Newton steps of the quantile; from the normal quantile they only climb.
 STEPS = 40
@@ -63,7 +63,9 @@ def incomplete_beta(a: Column, b: Column, x: Column, rest: Column | None = None)
             odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
             return F.when(i % 2 == 0, even).otherwise(odd)
 
-        return 1 / F.aggregate(F.sequence(F.lit(BETA_FRACTION), F.lit(1), F.lit(-1)), F.lit(1.0), lambda v, i: 1 + term(i) / v)
+        # terms needed grow with the root of the larger parameter
+        last = F.least(F.lit(BETA_FRACTION), 40 + F.ceil(5 * F.sqrt(F.greatest(a, b))).cast("int"))
+        return 1 / F.aggregate(F.sequence(last, F.lit(1), F.lit(-1)), F.lit(1.0), lambda v, i: 1 + term(i) / v)
 
     front = F.exp(a * F.log(x) + b * F.log(rest) + log_gamma(a + b) - log_gamma(a) - log_gamma(b))
     value = F.when(x < (a + 1) / (a + b + 2), front * fraction(a, b, x) / a).otherwise(1 - front * fraction(b, a, rest) / b)
