@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.session import materialize
-from roadlens.sources.ranges import BEYOND, RANGE, file_ranges, file_system, spread
+from roadlens.sources.ranges import BEYOND, RANGE, file_ranges, file_system, spread, tasks
 
 _QUOTE, _BREAK = 34, 10
 
 
-def _parities(ranges: DataFrame, root: str, rows: int) -> DataFrame:
+def _parities(ranges: DataFrame, root: str, parts: int) -> DataFrame:
     """The ranges with ``quoted``: is the first byte inside quotes?"""
 
     def run(batches):
@@ -31,7 +31,7 @@ def _parities(ranges: DataFrame, root: str, rows: int) -> DataFrame:
                     odd.append(f.read(r["stop"] - r["start"]).count(b'"') % 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(odd, pa.int64())], names=["file", "start", "odd"])
 
-    some = spread(ranges.select("file", "start", "stop"), rows).mapInArrow(run, "file string, start long, odd long")
+    some = spread(ranges.select("file", "start", "stop"), parts).mapInArrow(run, "file string, start long, odd long")
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     return ranges.join(some.select("file", "start", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("quoted")), ["file", "start"])
 
@@ -68,8 +68,9 @@ def read_lines(files: DataFrame, root: str, *, size: int = RANGE) -> DataFrame:
     rest of the file as one record. Files that do not exist or are empty have no records.
     """
     ranges = file_ranges(files, root, size)
-    seen = ranges.agg(F.count("*").alias("n"), F.max("start").alias("last")).first()
-    known = _parities(ranges, root, seen["n"]) if seen["last"] else ranges.withColumn("quoted", F.lit(False))
+    seen = ranges.agg(F.count("*").alias("n"), F.max("start").alias("last"), F.sum(F.col("stop") - F.col("start")).alias("bytes")).first()
+    parts = tasks(seen["n"], seen["bytes"] or 0)
+    known = _parities(ranges, root, parts) if seen["last"] else ranges.withColumn("quoted", F.lit(False))
 
     def run(batches):
         system, base = file_system(root)
@@ -83,7 +84,7 @@ def read_lines(files: DataFrame, root: str, *, size: int = RANGE) -> DataFrame:
                 columns = [pa.array([r["file"]] * n, pa.string()), pa.array([r["start"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(lines, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["file", "start", "place", "value"])
 
-    rows = materialize(spread(known, seen["n"]).mapInArrow(run, "file string, start long, place long, value string"), "csv-records")
+    rows = materialize(spread(known, parts).mapInArrow(run, "file string, start long, place long, value string"), "csv-records")
     counts = rows.groupBy("file", "start").agg(F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))

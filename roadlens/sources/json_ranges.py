@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadlens.session import materialize
-from roadlens.sources.ranges import BEYOND, RANGE, file_ranges, file_system, spread
+from roadlens.sources.ranges import BEYOND, RANGE, file_ranges, file_system, spread, tasks
 
 _QUOTE, _BACKSLASH = 34, 92
 _STEP = np.zeros(256, np.int8)
@@ -83,7 +83,7 @@ def _root_kind(f) -> bytes:
     return f.read(4096).lstrip(b"\xef\xbb\xbf \t\r\n")[:1]
 
 
-def _states(ranges: DataFrame, root: str, rows: int) -> DataFrame:
+def _states(ranges: DataFrame, root: str, parts: int) -> DataFrame:
     """The ranges with ``quoted`` and ``depth`` at their start."""
 
     def run(batches):
@@ -102,7 +102,7 @@ def _states(ranges: DataFrame, root: str, rows: int) -> DataFrame:
                 names=["file", "start", "odd", "plain", "inside"],
             )
 
-    some = spread(ranges.select("file", "start", "stop"), rows).mapInArrow(run, "file string, start long, odd long, plain long, inside long")
+    some = spread(ranges.select("file", "start", "stop"), parts).mapInArrow(run, "file string, start long, odd long, plain long, inside long")
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     quoted = some.withColumn("quoted", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1)
     moved = quoted.withColumn("_move", F.when(F.col("quoted"), F.col("inside")).otherwise(F.col("plain")))
@@ -155,9 +155,10 @@ def read_log_records(files: DataFrame, root: str, record: T.StructType, *, size:
     objects are passed over. Names stay in the table: the driver sees only how many ranges there are.
     """
     ranges = file_ranges(files, root, size)
-    seen = ranges.agg(F.count("*").alias("n"), F.max("start").alias("last")).first()
+    seen = ranges.agg(F.count("*").alias("n"), F.max("start").alias("last"), F.sum(F.col("stop") - F.col("start")).alias("bytes")).first()
+    parts = tasks(seen["n"], seen["bytes"] or 0)
     if seen["last"]:
-        states = _states(ranges, root, seen["n"])
+        states = _states(ranges, root, parts)
     else:  # every file is one range
         states = ranges.select("*", F.lit(False).alias("quoted"), F.lit(0).cast("long").alias("depth"))
 
@@ -173,7 +174,7 @@ def read_log_records(files: DataFrame, root: str, record: T.StructType, *, size:
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["file", "start", "place", "text", "section", "root", "whole"])
 
-    read = spread(states, seen["n"]).mapInArrow(run, _ROWS)
+    read = spread(states, parts).mapInArrow(run, _ROWS)
     schema = T.StructType([*record.fields, T.StructField("_broken", T.StringType())])
     parsed = F.from_json("text", schema, {"columnNameOfCorruptRecord": "_broken"})
     rows = materialize(read.withColumn("_rec", parsed).withColumn("_broken", F.col("_rec._broken").isNotNull()).drop("text"), "json-records")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from roadlens.session import materialize
 
-#: Bytes of a range, bytes read beyond it at first, and the most tasks of a pass.
-RANGE, BEYOND, TASKS = 8 << 20, 64 << 10, 20_000
+#: Bytes of a range, bytes read beyond it at first, bytes of a task, and the fewest and most tasks of a pass.
+RANGE, BEYOND, PER_TASK, FEWEST, TASKS = 8 << 20, 64 << 10, 8 << 20, 32, 20_000
 
 
 def file_system(root: str) -> tuple[fs.FileSystem, str]:
@@ -39,6 +39,11 @@ def file_ranges(files: DataFrame, root: str, size: int) -> DataFrame:
     return materialize(cut.withColumn("stop", F.least(F.col("start") + size, "size")), "file-ranges")
 
 
-def spread(ranges: DataFrame, rows: int) -> DataFrame:
+def tasks(ranges: int, size: int) -> int:
+    """The tasks for so many ranges with so many bytes: small ranges share a task, so that tasks grow with the bytes."""
+    return max(1, min(ranges, max(FEWEST, -(-size // PER_TASK)), TASKS))
+
+
+def spread(ranges: DataFrame, parts: int) -> DataFrame:
     """Ranges dealt over tasks; partitions of few small rows are not merged again."""
-    return ranges.repartition(max(1, min(rows, TASKS)), "file", "start")
+    return ranges.repartition(parts, "file", "start")

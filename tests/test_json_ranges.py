@@ -99,3 +99,12 @@ def test_structure_knows_strings():
         lead = cut - len(text[:cut].rstrip(b"\\"))
         tail = R.Structure(np.frombuffer(text[cut:], np.uint8), quoted, depth, lead)
         assert (tail.ends_quoted(), tail.ends_at()) == (False, 0)
+
+
+def test_small_ranges_share_tasks():
+    from roadlens.sources import ranges as R
+
+    assert R.tasks(0, 0) == 1 and R.tasks(5, 5 << 16) == 5
+    # 10 GB in ranges of 64 KB: tasks follow the bytes, not the ranges
+    assert R.tasks(163_840, 10 << 30) == 1280 and R.tasks(16_384, 1 << 30) == 128
+    assert R.tasks(1280, 10 << 30) == 1280
