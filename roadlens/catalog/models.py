@@ -83,7 +83,7 @@ def kernel_features(spark, sf):
 @query("boosted_trees")
 def boosted_trees(spark, sf):
     """Importances and training AUC of boosted trees."""
-    data = _merged(spark, sf)
+    data = materialize(_merged(spark, sf).select(*_FEATURES, "feedback_next"), "merged")
     model = M.fit_classifier("boost", data, _FEATURES, "feedback_next", rounds=50)
     auc = ST.roc_auc(M.classifier_scores(model, data, _FEATURES), "score", "feedback_next").first()["auc"]
     return spark.createDataFrame([(f, v, auc) for f, v in M.importances(model, _FEATURES)], "feature string, importance double, auc double")

@@ -219,7 +219,13 @@ class KernelMachine:
 
 
 def fit_classifier(kind: str, df: DataFrame, features: Sequence[str], y: str, **options):
-    weighted = class_weights(df.withColumn("label", F.col(y).cast("double")), "label")
+    """Fit one of the :func:`classifier` kinds with balanced class weights.
+
+    The training columns are written first: a fit runs hundreds of jobs over them, and each task of these would send the
+    metrics of the whole plan behind them to the driver. Read back, tasks follow the bytes of these few columns.
+    """
+    weighted = class_weights(df.select(*features, F.col(y).cast("double").alias("label")), "label")
+    weighted = materialize(weighted, "training")
     ready = assemble(weighted, features)
     if kind == "rbf":
         return KernelMachine(weighted, features, **options)

@@ -332,6 +332,21 @@ def test_cross_validation_and_trees(spark):
     assert [e["score"] for e in effect] == sorted(e["score"] for e in effect)
 
 
+def test_tasks_of_a_fit_follow_the_bytes(spark):
+    r = random.Random(4)
+    df = spark.createDataFrame([(r.gauss(0, 1), i % 2) for i in range(640)], "a double, y int").repartition(64)
+    sc = spark.sparkContext
+    sc.setJobGroup("fit-tasks", "")
+    try:
+        M.fit_classifier("boost", df, ["a"], "y", rounds=3)
+    finally:
+        sc._jsc.clearJobGroup()
+    tracker = sc.statusTracker()
+    stages = {i for j in tracker.getJobIdsForGroup("fit-tasks") for i in tracker.getJobInfo(j).stageIds}
+    tasks = [tracker.getStageInfo(i).numTasks for i in stages if tracker.getStageInfo(i)]
+    assert len(tasks) > 20 and sum(n >= 64 for n in tasks) <= 5
+
+
 def test_constant_data_gives_nulls_and_no_error(spark):
     df = spark.createDataFrame([("k", float(i), 1.0, 0) for i in range(4)], "k string, x double, c double, y int")
     assert ST.pearson(df, "x", "c").first()["r"] is None
