@@ -77,6 +77,10 @@ def log_rank(df: DataFrame, duration: str, event: str, group: str, *, keys: Sequ
     return _unkeyed(g.withColumn("chi2", chi2).withColumn("p", special.chi2_p(chi2)))
 
 
+#: Bits of a digit of the score rank: a node keeps one running count for each of its 2 ** DIGIT_BITS digits.
+DIGIT_BITS = 4
+
+
 def concordance(
     df: DataFrame, duration: str, score: str, event: str, *, keys: Sequence[str] = (), chunk_bits: int = S.CHUNK_BITS
 ) -> DataFrame:
@@ -84,45 +88,44 @@ def concordance(
 
     A pair is comparable if the shorter duration ended in an event (an equal
     duration counts if the other one is censored). Pairs are counted, never
-    built: two ranks differ first at exactly one binary digit, so for every
+    built: two ranks differ first at exactly one hexadecimal digit, so for every
     digit the rows sharing the higher digits form a node, and one ordered scan
-    per node counts, for each row with digit 0, the later rows with digit 1. The
-    work is n times the number of digits.
+    per node counts, for each row, the later rows of every digit. The work is n
+    times the number of hexadecimal digits.
     """
     base, group = _keyed(df.where(F.col(duration).isNotNull() & F.col(score).isNotNull()), keys)
     # equal rows count together; an event comes before a censoring of its time
     rows = base.groupBy(*group, F.col(duration).alias("t"), F.col(score).alias("s"), (F.col(event) == 1).alias("e")).agg(
         F.count(F.lit(1)).alias("m")
     )
+    rows = materialize(rows, "concordance")
     ranks = S.sequence(rows.select(*group, "s").distinct(), group, ["s"], chunk_bits)
     ranks = S.scan(ranks, group, r=S.running_count(F.lit(1), inclusive=False)).select(*group, "s", "r")
     ranked = rows.join(ranks, [*group, "s"])
     top = ranks.agg(F.max("r")).first()[0] or 0
-    digits = max(1, int(top).bit_length())
-    # digit -1: rows of one score, digit -2: all rows
-    level = F.explode(F.sequence(F.lit(-2), F.lit(digits - 1)))
+    levels = max(1, -(-int(top).bit_length() // DIGIT_BITS))
+    # level -1: all rows in one node, under one digit
+    level = F.explode(F.sequence(F.lit(-1), F.lit(levels - 1)))
     spread = ranked.select(*group, "t", "e", "m", "r", level.alias("b"))
-    node = F.when(F.col("b") == -2, F.lit(0)).when(F.col("b") == -1, F.col("r")).otherwise(F.expr("shiftright(r, b + 1)"))
-    high = F.when(F.col("b") < 0, F.lit(1)).otherwise(F.expr("shiftright(r, b) & 1"))
-    nodes = spread.select(*group, "t", "e", "m", "b", node.alias("node"), high.alias("high"))
-    # rows of one node and instant count together, so a crowded instant is one row
-    nodes = nodes.groupBy(*group, "b", "node", "t", "e", "high").agg(F.sum("m").alias("m"))
+    node = F.when(F.col("b") < 0, F.lit(0)).otherwise(F.expr(f"shiftright(r, {DIGIT_BITS} * (b + 1))"))
+    digit = F.when(F.col("b") < 0, F.lit(0)).otherwise(F.expr(f"shiftright(r, {DIGIT_BITS} * b) & {(1 << DIGIT_BITS) - 1}")).cast("int")
+    nodes = spread.select(*group, "t", "e", "m", "b", node.alias("node"), digit.alias("digit"))
+    # rows of one node, instant and digit count together, so a crowded instant is a row a digit
+    nodes = nodes.groupBy(*group, "b", "node", "t", "e", "digit").agg(F.sum("m").alias("m"))
     by = [*group, "b", "node"]
-    # latest first; at one time the censored rows come before the events
-    seq = S.sequence(nodes, by, [F.col("t").desc(), F.col("e").cast("int"), "high"], chunk_bits)
-    instant = S.scan(seq, by, _seen=S.running_sum(F.when(F.col("high") == 1, F.col("m")), inclusive=False))
-    # rows of the same time and kind are no partners: take what was seen before the instant began
-    lead = instant.groupBy(*by, "t", "e").agg(
-        F.min(F.coalesce("_seen", F.lit(0))).alias("_later"),
-        F.sum(F.when(F.col("high") == 0, F.col("m")).otherwise(0)).alias("_low"),
-        F.sum("m").alias("_m"),
-    )
-    seekers = F.when(F.col("b") < 0, F.col("_m")).otherwise(F.col("_low"))
-    pairs = lead.where("e").groupBy(*group, "b").agg(F.sum((seekers * F.col("_later")).cast("double")).alias("n"))
-    g = pairs.groupBy(*group).agg(
-        F.sum(F.when(F.col("b") >= 0, F.col("n")).otherwise(0.0)).alias("concordant"),
-        F.sum(F.when(F.col("b") == -1, F.col("n")).otherwise(0.0)).alias("tied"),
-        F.sum(F.when(F.col("b") == -2, F.col("n")).otherwise(0.0)).alias("pairs"),
+    # latest first; at one time the censored rows come before the events. Rows of the same time and kind are no partners:
+    # by ascending digit, a row finds only lower digits of its own instant before it, and these are not asked for
+    seq = S.sequence(nodes, by, [F.col("t").desc(), F.col("e").cast("int"), "digit"], chunk_bits)
+    digits = range(1 << DIGIT_BITS)
+    run = S.scan(seq, by, **{f"_later{j}": S.running_sum(F.when(F.col("digit") == j, F.col("m")), inclusive=False) for j in digits})
+    later = [F.coalesce(f"_later{j}", F.lit(0)) for j in digits]
+    higher = sum((F.when(F.col("digit") < j, later[j]).otherwise(0) for j in digits[1:]), F.lit(0))
+    same = sum((F.when(F.col("digit") == j, later[j]).otherwise(0) for j in digits), F.lit(0))
+    found = run.where("e").select(*group, "b", (F.col("m") * higher).cast("double").alias("_higher"), (F.col("m") * same).cast("double").alias("_same"))
+    g = found.groupBy(*group).agg(
+        F.sum(F.when(F.col("b") >= 0, F.col("_higher")).otherwise(0.0)).alias("concordant"),
+        F.sum(F.when(F.col("b") == 0, F.col("_same")).otherwise(0.0)).alias("tied"),
+        F.sum(F.when(F.col("b") == -1, F.col("_same")).otherwise(0.0)).alias("pairs"),
     )
     c = F.when(F.col("pairs") > 0, (F.col("concordant") + F.col("tied") / 2) / F.col("pairs"))
     return _unkeyed(g.withColumn("c_index", c))

@@ -12,6 +12,7 @@ from roadlens.functions import linear as LA
 from roadlens.operators import models as M
 from roadlens.operators import nearest as NP
 from roadlens.operators import smote as SM
+from roadlens.operators import scan as S
 from roadlens.operators import stats as ST
 from roadlens.operators import survival as SV
 from roadlens.operators import windows as W
@@ -347,6 +348,22 @@ def test_tasks_of_a_fit_follow_the_bytes(spark):
     assert len(tasks) > 20 and sum(n >= 64 for n in tasks) <= 5
 
 
+def test_concordance_counts_few_rows_a_pair_partner(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(r.choice("ab"), r.randint(0, 40), r.randint(0, 3000), r.randint(0, 1)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "g string, t int, s int, e int")
+    made, sequence = [], S.sequence
+    monkeypatch.setattr(S, "sequence", lambda *a, **o: made.append(sequence(*a, **o)) or made[-1])
+    got = {x["g"]: x for x in SV.concordance(df, "t", "s", "e", keys=["g"], chunk_bits=6).collect()}
+    for g in "ab":
+        mine = [x for x in rows if x[0] == g]
+        pairs = [(a, b) for a in mine for b in mine if a[3] and (b[1] > a[1] or (b[1] == a[1] and not b[3]))]
+        want = (sum(b[2] > a[2] for a, b in pairs), sum(b[2] == a[2] for a, b in pairs), len(pairs))
+        assert (got[g]["concordant"], got[g]["tied"], got[g]["pairs"]) == want
+    # ranks below 2 ** 9 have three hexadecimal digits, and all rows are one more node
+    assert max(m.count() for m in made) <= 4 * len(rows)
+
+
 def test_constant_data_gives_nulls_and_no_error(spark):
     df = spark.createDataFrame([("k", float(i), 1.0, 0) for i in range(4)], "k string, x double, c double, y int")
     assert ST.pearson(df, "x", "c").first()["r"] is None
