@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from roadlens.catalog import models as CM
 from roadlens.functions import linear as LA
 from roadlens.operators import models as M
 from roadlens.operators import nearest as NP
@@ -364,6 +365,14 @@ def test_concordance_counts_few_rows_a_pair_partner(spark, monkeypatch):
     assert max(m.count() for m in made) <= 4 * len(rows)
 
 
+def test_merged_windows_carry_no_idle_columns(spark, monkeypatch):
+    seen, sequence = [], S.sequence
+    monkeypatch.setattr(S, "sequence", lambda df, *a, **o: seen.append(df.columns) or sequence(df, *a, **o))
+    merged = CM._merged(spark, "/root/testdata/sf0.001")
+    assert set(CM._FEATURES) < set(merged.columns) and merged.count() > 0
+    assert all(set(c) <= {"event_id", "window_index", "soon", *CM._FEATURES} for c in seen)
+
+
 def test_constant_data_gives_nulls_and_no_error(spark):
     df = spark.createDataFrame([("k", float(i), 1.0, 0) for i in range(4)], "k string, x double, c double, y int")
     assert ST.pearson(df, "x", "c").first()["r"] is None
