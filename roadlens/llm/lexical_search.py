@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import query, slices, stored, table
+from roadlens.llm.common import LARGE_ROWS, query, slices, stored, table
 
 #: A shard is closed at this many documents or bytes of text; a longer text has a shard of its own.
 SHARD_DOCS, SHARD_BYTES = 2048, 8 << 20
@@ -266,7 +266,8 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Two narrow passes: lengths first, since impacts need both totals, then one grid for each some thousand documents of a
     partition. Texts of any length are read whole. Null and empty texts have no terms. Documents without an id count in the totals
-    and for their terms, and are not found. Only the two columns are read.
+    and for their terms, and are not found. Only the two columns are read. A row group of the written table holds a shard or a few,
+    so writing and reading take the memory of some shards, however many a task has.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
 
@@ -295,7 +296,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def as_batch(row):
         return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int32() if k == "height" else pa.binary()) for k, v in row.items()})
 
-    return stored(rows.mapInArrow(grids, INDEX), "lexical-index"), documents, total
+    return stored(rows.mapInArrow(grids, INDEX), "lexical-index", **LARGE_ROWS), documents, total
 
 
 def _item_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:

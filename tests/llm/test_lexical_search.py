@@ -81,3 +81,17 @@ def test_odd_rows(spark):
     assert found(spark, documents(spark), items) == brute([r[:2] for r in ROWS], [i[:2] for i in items])
     assert found(spark, empty(spark), items) == set()
     assert found(spark, documents(spark), []) == set()
+
+
+def test_row_groups_of_the_index_hold_few_shards(spark):
+    """Spark's reader holds a row group at once: all shards of a task in one took its memory."""
+    import pyarrow.parquet as pq
+
+    rows = [(i, " ".join(f"word{i}x{j}" for j in range(60000))) for i in range(16)]
+    index, n, _ = s.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), shard_docs=1)
+    (file,) = index.inputFiles()
+    meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+    sizes = [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert meta.num_rows == 16 and sum(sizes) > 12e6 and max(sizes) < 10e6
+    items = spark.createDataFrame([(1, "word3x17", 0), (2, "word7x59999 word0x0", 0)], "item_id long, text string, rank int")
+    assert {(r.item_id, r.doc_id) for r in s.search(index, n, items).collect()} == {(1, 3), (2, 7), (2, 0)}
