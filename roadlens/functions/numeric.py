@@ -22,6 +22,12 @@ def round_decisecond(t: Column) -> Column:
     return F.rint(t * 10) / 10
 
 
+def round_even(c: Column, digits: int) -> Column:
+    """Rounded half to even as SQL's ``round_even`` and numpy do: the scaled double decides, not (as in ``bround``) its decimal digits."""
+    scale = F.lit(10.0**digits)
+    return F.rint(c * scale) / scale
+
+
 def clock_seconds(c: Column) -> Column:
     """Seconds of ``[N days ]H:M:S[.f]``, else null."""
     form = r"^\s*(?:(-?\d+)\s+days?,?\s+)?(\d+):(\d{1,2}):(\d{1,2}(?:\.\d+)?)\s*$"

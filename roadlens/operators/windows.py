@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.functions.numeric import ratio
+from roadlens.functions.numeric import ratio, round_even
 from roadlens.operators import joins as J
 from roadlens.operators import scan as S
 from roadlens.operators import trips as TR
@@ -55,8 +55,8 @@ def place_in_windows(frames: DataFrame, keys: Sequence[str], at: str, size: floa
         placed.withColumn("window_index", k)
         .withColumn("_begin", begin)
         .where(F.col("_begin") < F.col("_t1"))
-        .withColumn("start_time", F.bround("_begin", 4))
-        .withColumn("end_time", F.bround(F.least(F.col("_begin") + size, F.col("_t1")), 4))
+        .withColumn("start_time", round_even(F.col("_begin"), 4))
+        .withColumn("end_time", round_even(F.least(F.col("_begin") + size, F.col("_t1")), 4))
         .withColumn("is_partial_window", (F.col("_begin") + size > F.col("_t1") + PARTIAL_SLACK).cast("int"))
         .drop("_t0", "_t1", "_begin")
     )
@@ -123,7 +123,7 @@ def window_features(
         "max_time_since_event_start",
         "relevant_object_name",
         "min_distance_from_relevant_object",
-        F.when(F.col("_dn") >= 2, F.bround(F.col("_d0.v") - F.col("_d1.v"), 4)).alias("delta_distance"),
+        F.when(F.col("_dn") >= 2, round_even(F.col("_d0.v") - F.col("_d1.v"), 4)).alias("delta_distance"),
         "Brake_max",
         "Braking_rate",
         "Acceleration_max",
@@ -132,13 +132,13 @@ def window_features(
         "Speed_mean",
         "Speed_max",
         "Speed_std",
-        F.bround(F.col("_z.Speed") - F.col("_a.Speed"), 4).alias("Speed_delta"),
+        round_even(F.col("_z.Speed") - F.col("_a.Speed"), 4).alias("Speed_delta"),
         flag(F.col("Speed_mean") < STOPPED_BELOW).alias("is_stopped"),
         "SteeringAngle_absmax",
         "SteeringAngle_std",
         "TTC_min",
         "TTC_mean",
-        F.when(F.col("_cn") >= 2, F.bround(F.col("_c1.v") - F.col("_c0.v"), 4)).alias("TTC_delta"),
+        F.when(F.col("_cn") >= 2, round_even(F.col("_c1.v") - F.col("_c0.v"), 4)).alias("TTC_delta"),
         light0.alias("TrafficLight_prev"),
         F.col("_z.TrafficLight").alias("TrafficLight_current"),
         flag(F.col("_yellow") & ~light0.eqNullSafe(F.lit("Yellow"))).alias("yellow_transition"),

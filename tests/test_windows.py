@@ -62,6 +62,18 @@ def test_mean_speed_is_summed_in_record_order(spark):
             assert got["Speed_mean"] == ((speeds[0] + speeds[1]) + speeds[2]) / 3
 
 
+def test_window_times_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    # first events 5 in the fifth decimal of an hour: whether a later window's start is a tie depends on its scaled double
+    first = [(360000 * m + 180000) / 1e6 / 3600 for m in range(60)]
+    rows = [_frame(f"e{m}", 100 * m + k, t + 24.0 * k) for m, t in enumerate(first) for k in range(31)]
+    out = W.window_features(spark.createDataFrame(rows, _COLS), size=24.0, at="t", order="ord").select("event_id", "window_index", "start_time", "end_time").collect()
+    begin = {(r.event_id, r.window_index): first[int(r.event_id[1:])] + r.window_index * 24.0 for r in out}
+    want = duckdb.execute("SELECT list_transform(?::DOUBLE[], lambda b: round_even(b, 4))", [list(begin.values())]).fetchone()[0]
+    assert len(out) >= 60 * 30 and [r.start_time for r in out] == want
+
+
 def test_targets(spark):
     win = spark.createDataFrame([("e", i, float(i), i + 1.0) for i in range(5)] + [("f", 0, 0.0, 1.0)], "event_id string, window_index long, start_time double, end_time double")
     fb = spark.createDataFrame([("e", 3.0), ("e", 4.2)], "event_id string, feedback_at double")
