@@ -93,5 +93,6 @@ def test_row_groups_of_the_index_hold_few_shards(spark):
     meta = pq.ParquetFile(file.removeprefix("file://")).metadata
     sizes = [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
     assert meta.num_rows == 16 and sum(sizes) > 12e6 and max(sizes) < 10e6
+    assert not any(meta.row_group(0).column(i).is_stats_set for i in range(meta.num_columns)), "the writer holds those of all row groups, whole values"
     items = spark.createDataFrame([(1, "word3x17", 0), (2, "word7x59999 word0x0", 0)], "item_id long, text string, rank int")
     assert {(r.item_id, r.doc_id) for r in s.search(index, n, items).collect()} == {(1, 3), (2, 7), (2, 0)}
